@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nodeloom.llm import ngram_join
+from nodeloom.llm import line_dedup, ngram_join, sentencepiece_codec, token_files
+
+#: Folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +19,23 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines, the lines removed and the SHA-256 of the text that stays."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return sentencepiece_codec.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_files.token_files(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

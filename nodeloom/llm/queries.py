@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import line_dedup, ngram_join, sentencepiece_codec, token_files
+from nodeloom.llm import line_dedup, ngram_join, secret_scan, sentencepiece_codec, token_files, toxicity
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -36,6 +36,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.score_documents(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return secret_scan.secret_digest(secret_scan.find_secrets(docs))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import line_dedup, ngram_join, secret_scan, sentencepiece_codec, token_files, toxicity
+from nodeloom.llm import line_dedup, mixing, ngram_join, secret_scan, sentencepiece_codec, token_files, toxicity
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -15,6 +15,10 @@ TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

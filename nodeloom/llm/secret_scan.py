@@ -17,7 +17,7 @@ from re import _parser as sre_parse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -263,7 +263,11 @@ def secret_digest(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
     """Counts of the base kinds, the SHA-256 of the base spans and all spans as one string."""
     name = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     kinds = [rule.kind for rule in base]
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in kinds]
     own = F.filter("found", lambda s: s["kind"].isin(kinds))
     rest = [c for c in found.columns if c != "found"]
     return found.select(*rest, *counts, F.sha2(name(own), 256).alias("base_sha256"), name(F.col("found")).alias("spans"))

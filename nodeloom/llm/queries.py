@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import line_dedup, mixing, ngram_join, secret_scan, sentencepiece_codec, token_files, toxicity
+from nodeloom.llm import line_dedup, media_chunks, mixing, ngram_join, secret_scan, sentencepiece_codec, token_files, toxicity, vector_neighbors, warc_bundles
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -15,10 +15,22 @@ TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_vector_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_neighbors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -54,5 +66,47 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: A page's record; equal payloads of at least 1000 bytes are stored once.
+OP2_SQL = """
+with q as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
+t as (select d, max(page_id) as top from q where n >= 1000 group by d)
+select q.page_id, cast(n as bigint) as payload_bytes, q.d as payload_digest,
+  case when n >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id < top then top end as refers_to
+from q left join t on q.d = t.d
+"""
+
+#: All pairs of a label by cosine, and reachability.
+OP4_SQL = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as x from embeddings),
+ok as (select * from v where label is not null and x is not null and list_sum(list_transform(x, a -> a * a)) > 0),
+link as (
+  select a.vec_id as u, b.vec_id as w from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.x, b.x) >= 0.93),
+reach as (select vec_id as u, vec_id as w from v union select r.u, l.w from reach r join link l on r.w = l.u),
+top as (select u, min(w) as component_id from reach group by u)
+select v.vec_id, coalesce(n, 0) as n_links, component_id, v.vec_id = component_id as kept
+from v join top on v.vec_id = top.u left join (select u, count(*) as n from link group by u) c on v.vec_id = c.u
+"""
+
+#: Distinct five-word shingles, pairs by shared shingles, and reachability.
+OP5_SQL = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), x -> x <> '') as ws from documents),
+s as (
+  select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' '))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+link as (select u, v from p join n x on p.u = x.doc_id join n y on p.v = y.doc_id where 100 * k >= 80 * (x.n + y.n - k)),
+reach as (select doc_id as u, doc_id as v from documents union select r.u, l.v from reach r join link l on r.v = l.u)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, t.component_id
+from documents d left join n on d.doc_id = n.doc_id join (select u, min(v) as component_id from reach group by u) t on d.doc_id = t.u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; tests hold the others against brute force."""
+    return {"op2_warc_bundles": OP2_SQL, "op4_vector_neighbors": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL}

@@ -20,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.llm.wordhash import BLANK, scan, spans
+
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+ODD = re.compile(f"  |^ | $|[{MARK}\0]", re.ASCII)
 #: Characters indexed at once; units and verdicts kept between batches.
-SPAN, UNITS_KEPT, VERDICTS_KEPT = 1_500_000, 500_000, 1_000_000
+SPAN, UNITS_KEPT, VERDICTS_KEPT = 1_500_000, 400_000, 1_000_000
 #: Longest unit that is relaxed together with others, in characters.
 SIDE_BY_SIDE = 64
 #: Makes token numbers positive (a character that is no piece has a negative one); no piece yet.
@@ -55,6 +58,7 @@ class Codec:
         for row, piece in enumerate(pieces):
             self.codes[row, : len(piece)] = [ord(c) for c in piece]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.keys, self.verdicts = np.array([-1]), np.array([False])
 
     def merged(self, text: str) -> list[str]:
@@ -216,31 +220,58 @@ class Codec:
                 self.known[unit] = data[4 * at : 4 * end]
             at = end
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as packed 32-bit integers; null and empty texts have none."""
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null and empty texts have none."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and not ODD.search(t)]
+        for first, run in spans([texts[i] for i in plain]):
+            for i, ids in zip(plain[first : first + len(run)], self._encode_plain(run), strict=True):
+                out[i] = ids
+        for i, text in enumerate(texts):
+            if text and ODD.search(text):
+                out[i] = self._encode_odd(text)
+        return out
+
+    def _ready(self, units: list[str]) -> None:
+        """Make sure that ``known`` has the units; those that come again move to its new generation."""
         if len(self.known) > UNITS_KEPT:
-            self.known.clear()
-        rows = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh: dict[str, None] = {}
-        odd: dict[str, bytes] = {}
-        size = 0
-        for row in rows:
-            for unit in row:
-                if unit not in self.known and unit not in fresh and unit not in odd:
-                    if "\0" in unit or unit.startswith(MARK * 2):
-                        odd[unit] = self.ids_of(self.merged_long(unit))
-                        continue
-                    fresh[unit] = None
+            self.before, self.known = self.known, {}
+        fresh, size = [], 0
+        for unit in units:
+            if unit not in self.known:
+                if (ids := self.before.get(unit)) is not None:
+                    self.known[unit] = ids
+                else:
+                    fresh.append(unit)
                     size += len(unit) + 1
                     if size > SPAN:
-                        self.learn(list(fresh))
-                        fresh, size = {}, 0
+                        self.learn(fresh)
+                        fresh, size = [], 0
         if fresh:
-            self.learn(list(fresh))
-        get = self.known.__getitem__
-        if not odd:
-            return [b"".join(map(get, row)) for row in rows]
-        return [b"".join(odd[u] if u in odd else get(u) for u in row) for row in rows]
+            self.learn(fresh)
+
+    def _encode_plain(self, run: list[bytes]) -> list[np.ndarray]:
+        """Texts whose words are parted by single spaces: each distinct word is looked up once."""
+        raw = b" ".join(run) + b" "
+        hashes, starts, ends = scan(raw, BLANK)
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        units = [MARK + raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self._ready(units)
+        ids = [self.known[u] for u in units]
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        n = sizes[inverse]
+        upto = np.append(0, np.cumsum(n))
+        tokens = flat[np.arange(upto[-1]) - np.repeat(upto[:-1] - (np.cumsum(sizes) - sizes)[inverse], n)]
+        cuts = upto[np.searchsorted(starts, np.append(0, np.cumsum([len(x) + 1 for x in run])))].tolist()
+        return [tokens[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _encode_odd(self, text: str) -> np.ndarray:
+        """A text with runs of spaces, or with the mark or the index's separator as letters."""
+        row = UNIT.findall(MARK + text.replace(" ", MARK))
+        self._ready(list({u for u in row if "\0" not in u and not u.startswith(MARK * 2)}))
+        get = self.known.get
+        return np.frombuffer(b"".join(get(u) or self.ids_of(self.merged_long(u)) for u in row), np.int32)
 
     def merged_long(self, unit: str) -> list[str]:
         """Merges for the rare units that the index can't hold: runs of space marks, and the separator."""
@@ -314,12 +345,11 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                 while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= TEXT_SPAN):
                     size += len(texts[hi] or "")
                     hi += 1
-                packed = own.encode(texts[lo:hi])
-                arrays = [np.frombuffer(p, np.int32) for p in packed]
+                arrays = own.encode(texts[lo:hi])
                 sizes = np.array([len(a) for a in arrays], np.int64)
                 back = [own.decode(a) == (t or "").replace(MARK, " ") for a, t in zip(arrays, texts[lo:hi], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(arrays)))
-                columns = [batch.column(0).slice(lo, hi - lo), lists, pa.array(sizes), pa.array([zlib.crc32(p) for p in packed], pa.int64()), pa.array(back)]
+                columns = [batch.column(0).slice(lo, hi - lo), lists, pa.array(sizes), pa.array([zlib.crc32(a.astype("<i4").tobytes()) for a in arrays], pa.int64()), pa.array(back)]
                 yield pa.record_batch(columns, [id_col, "ids", "n_tokens", "ids_crc32", "round_trip"])
                 lo = hi
 

@@ -1,8 +1,8 @@
 """Token-ID output: Arrow IPC files of fixed-size-list batches, for zero-copy access to sequences.
 
 All documents, in ascending id order, form one stream of ids; each range of ids is a shard. A shard is
-an Arrow file of batches of ``ROWS`` sequences with two fixed-size-list columns, ``ids`` (uint16) and ``mask`` (uint8, 0 on
-the padding behind a shard's last id), and an Arrow file with the place of each document in it. Sequence k of a shard is row
+an Arrow file of batches of ``ROWS`` sequences with two fixed-size-list columns, ``ids`` (uint16) and ``mask`` (one bit
+each, false on the padding behind a shard's last id), and an Arrow file with the place of each document in it. Sequence k of a shard is row
 ``k % ROWS`` of batch ``k // ROWS``; a memory map gives its ids without a copy.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.llm.common import scratch, stored
+from nodeloom.llm.wordhash import scan, spans
 
 #: Ids in a sequence, sequences in a batch, words kept between batches.
-LENGTH, ROWS, WORDS_KEPT = 2048, 256, 600_000
+LENGTH, ROWS, WORDS_KEPT = 2048, 256, 400_000
 #: Text bytes encoded at once.
 TEXT_SPAN = 2_000_000
 
@@ -38,19 +40,40 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the files hold ids of 16 bits")
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        rows = [t.encode().split() if t else [] for t in texts]
-        fresh = list({w for row in rows for w in row if w not in self.known})
+    def _learn(self, fresh: list[bytes]) -> None:
+        for word in fresh:
+            if (ids := self.before.get(word)) is not None:
+                self.known[word] = ids
+        fresh = [w for w in fresh if w not in self.known]
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
+        for lo in range(0, len(fresh), 5_000):
+            part = fresh[lo : lo + 5_000]
             for word, found in zip(part, many([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u2").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, row)) for row in rows]
+                self.known[word] = array("H", found.ids).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; each distinct word of about ``SPAN`` bytes of text is looked up once."""
+        out: list[np.ndarray] = []
+        for _, run in spans(texts):
+            raw = b"\n".join(run) + b"\n"
+            hashes, starts, ends = scan(raw)
+            _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            if len(self.known) > WORDS_KEPT:  # words that come again move to the new generation
+                self.before, self.known = self.known, {}
+            self._learn([w for w in distinct if w not in self.known])
+            ids = [self.known[w] for w in distinct]
+            flat = np.frombuffer(b"".join(ids), np.uint16)
+            sizes = np.array([len(x) // 2 for x in ids], np.int64)
+            begins = np.cumsum(sizes) - sizes
+            n = sizes[inverse]
+            upto = np.append(0, np.cumsum(n))
+            tokens = flat[np.arange(upto[-1]) - np.repeat(upto[:-1] - begins[inverse], n)]
+            cuts = upto[np.searchsorted(starts, np.append(0, np.cumsum([len(x) + 1 for x in run])))]
+            out += [tokens[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -63,7 +86,7 @@ def encoder(tokenizer_file: str) -> WordEncoder:
 
 
 def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class ShardWriter:
@@ -97,8 +120,8 @@ class ShardWriter:
         for lo in range(0, stop, block):
             ids = flat[lo : min(lo + block, stop)]
             pad = -len(ids) % self.length
-            mask = np.ones(len(ids) + pad, np.uint8)
-            mask[len(ids) :] = 0
+            mask = np.ones(len(ids) + pad, bool)
+            mask[len(ids) :] = False
             ids = np.append(ids, np.zeros(pad, np.uint16)).astype(np.uint16)
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
             self.writer.write_batch(pa.record_batch(columns, schema=sequence_schema(self.length)))
@@ -127,7 +150,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
         from pyspark import TaskContext
 
         own, writer, name = encoder(tokenizer_file), None, uuid.uuid4().hex
-        end = np.array([end_id], np.uint16).tobytes()
+        end = np.uint16(end_id)
         for batch in batches:
             ids, texts, lo = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
             while lo < len(texts):
@@ -135,9 +158,9 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
                 while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= TEXT_SPAN):
                     size += len(texts[hi] or "")
                     hi += 1
-                for doc, packed in zip(ids[lo:hi], own.encode(texts[lo:hi]), strict=True):
+                for doc, found in zip(ids[lo:hi], own.encode(texts[lo:hi]), strict=True):
                     writer = writer or ShardWriter(folder, name, length)
-                    writer.add(doc, np.frombuffer(packed + end, np.uint16))
+                    writer.add(doc, np.append(found, end))
                 lo = hi
         if writer:
             writer.close()
@@ -171,7 +194,7 @@ def read_documents(shards: DataFrame, folder: str, id_col: str = "doc_id") -> Da
                                     base += len(held)
                                     at += 1
                                     columns = reader.get_batch(at)
-                                    mask = columns.column("mask").flatten().to_numpy()
+                                    mask = columns.column("mask").flatten().to_numpy(zero_copy_only=False)
                                     held = columns.column("ids").flatten().to_numpy()[: int(mask.sum())]
                                 part = held[start - base : start - base + n]
                                 crc = zlib.crc32(part.astype("<u4").tobytes(), crc)

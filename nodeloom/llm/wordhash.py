@@ -12,12 +12,15 @@ import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space is 0x20 alone.
+BLANK = np.zeros(256, bool)
+BLANK[0x20] = True
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240511).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _POW = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 #: Text bytes worked on at once (a longer text is worked on alone).
-SPAN = 1 << 21
+SPAN = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,27 +52,32 @@ def spans(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
-def words(run: list[bytes], split: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, index of its text in ``run``, index of its line in the text).
-
-    Lines are told apart only if ``split`` (one byte) is given.
-    """
-    raw = b"\n".join(run) + b"\n"
-    buf = np.frombuffer(raw.lower(), np.uint8)
-    space = _SPACE[buf]
+def scan(raw: bytes, white: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every word of ``raw``, which ends with white space; nothing is lower-cased."""
+    buf = np.frombuffer(raw, np.uint8)
+    space = white[buf]
     before = np.empty_like(space)
     before[0], before[1:] = True, space[:-1]
     starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(~before & space)
     up, down = _powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * up[:-1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+def words(run: list[bytes], split: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, index of its text in ``run``, index of its line in the text).
+
+    Lines are told apart only if ``split`` (one byte) is given.
+    """
+    raw = b"\n".join(run) + b"\n"
+    hashes, starts, _ = scan(raw.lower())
     offsets = np.zeros(len(run), np.int64)
     offsets[1:] = np.cumsum([len(x) + 1 for x in run])[:-1]
     text = np.searchsorted(offsets, starts, "right") - 1
     line = np.zeros(len(starts), np.int64)
     if split is not None:
-        breaks = np.flatnonzero(buf == split[0])
+        breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == split[0])
         at = np.searchsorted(breaks, starts)
         line = at - np.searchsorted(breaks, offsets)[text]
     return hashes, text, line

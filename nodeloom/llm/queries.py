@@ -80,7 +80,9 @@ from q left join t on q.d = t.d
 OP4_SQL = """
 with recursive v as (
   select vec_id, label, cast(embedding as double[]) as x from embeddings),
-ok as (select * from v where label is not null and x is not null and list_sum(list_transform(x, a -> a * a)) > 0),
+ok as (
+  select * from v where label is not null and x is not null
+  and len(list_filter(x, lambda a: a is null or not isfinite(a))) = 0 and list_sum(list_transform(x, lambda a: a * a)) > 0),
 link as (
   select a.vec_id as u, b.vec_id as w from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id
   where list_cosine_similarity(a.x, b.x) >= 0.93),
@@ -94,9 +96,9 @@ from v join top on v.vec_id = top.u left join (select u, count(*) as n from link
 OP5_SQL = """
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\\x20\\x09-\\x0D]+'), x -> x <> '') as ws from documents),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
 s as (
-  select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' '))
+  select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
     when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
 p as (select a.doc_id as u, b.doc_id as v, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),

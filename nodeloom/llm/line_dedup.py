@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,15 +198,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = removed_lines(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), width, num, den)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << DOC_BITS))
-    bits = F.lit(bitmap_of(gone, place(F.col("id")), DOC_BITS))
+    bits = np.frombuffer(bitmap_of(gone, place(F.col("id")), DOC_BITS), np.uint8)
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        return pd.Series((bits[at.to_numpy() >> 3] >> (at.to_numpy() & 7)) & 1 == 1)
+
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    byte = F.conv(F.hex(F.substring(bits, (place(key) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.call_function("shiftright", byte, F.pmod(place(key), F.lit(8)).cast("int"))
-    touched = docs.withColumn("_key", key).where(hit.bitwiseAND(1) == 1).join(gone.withColumnRenamed("id", "_key"), "_key", "left")
+    hit = marked(place(key))
+    touched = docs.withColumn("_key", key).where(hit).join(gone.withColumnRenamed("id", "_key"), "_key", "left")
     parts = F.split(F.col(text_col), "\n", -1)
     rest = F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce(F.col("removed"), F.array().cast("array<int>")), i))
     touched = touched.withColumns({text_col: F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")), "_lines": F.size(parts), "_removed": F.coalesce(F.size("removed"), F.lit(0))})
-    other = docs.where(hit.bitwiseAND(1) == 0).withColumns({"_lines": F.size(parts), "_removed": F.lit(0)})
+    other = docs.where(~hit).withColumns({"_lines": F.size(parts), "_removed": F.lit(0)})
     columns = [*docs.columns, "_lines", "_removed"]
     out = touched.select(*columns).unionByName(other.select(*columns))
     return out.withColumn("_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_lines")))

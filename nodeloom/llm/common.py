@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,29 +72,56 @@ def bitmap_of(rows: DataFrame, position: Column, bits: int) -> bytes:
     return bytes(out)
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """(u, v) edges with the components of ``edges``: each task replaces its rows by a forest of stars to the smallest node.
+
+    No shuffle; a task holds the nodes of its own rows only.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := top.setdefault(x, x)) != x:
+                top[x] = top[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+        nodes = [x for x in top if root(x) != x]
+        for lo in range(0, len(nodes), 1 << 16):
+            part = nodes[lo : lo + (1 << 16)]
+            yield pa.record_batch([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
+
+    return edges.mapInArrow(work, "u long, v long")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of ``edges``; component is the smallest node reachable.
+    """(node, component) for every node of ``edges`` (64-bit ids); component is the smallest node reachable.
 
-    Large-star and small-star steps written as minima per node: each round is grouped
-    aggregates and joins, so no neighbour list is gathered anywhere. Rounds end when the
-    edge set no longer changes; every round is a scratch table. Null ends are ignored.
+    Rounds of a forest per task and of large-star and small-star steps, written as minima per node: grouped aggregates and
+    joins, so no neighbour list is gathered anywhere. They end when every node hangs on one node that hangs on
+    none; every round is a scratch table. Null ends are ignored.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    e = stored(e, "edges")
+    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    e = stored(forest(e), "edges")
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    mark = None
     while True:
+        e = stored(forest(e), "edges")
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
+            break
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < u").select("u", "m")).where("u <> v").distinct()
+        large = large.union(low.where("m < u").select("u", "m")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.union(down).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
+        e = small.union(down).where("u <> v").distinct()
     tops = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)

@@ -25,8 +25,8 @@ from nodeloom.llm.wordhash import BLANK, scan, spans
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 ODD = re.compile(f"  |^ | $|[{MARK}\0]", re.ASCII)
-#: Characters indexed at once; units and verdicts kept between batches.
-SPAN, UNITS_KEPT, VERDICTS_KEPT = 1_500_000, 400_000, 1_000_000
+#: Characters indexed at once; bytes of text whose words are looked up at once; units and verdicts kept between batches.
+SPAN, RUN, UNITS_KEPT, VERDICTS_KEPT = 1_500_000, 1 << 21, 400_000, 1_000_000
 #: Longest unit that is relaxed together with others, in characters.
 SIDE_BY_SIDE = 64
 #: Makes token numbers positive (a character that is no piece has a negative one); no piece yet.
@@ -223,12 +223,13 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null and empty texts have none."""
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and not ODD.search(t)]
-        for first, run in spans([texts[i] for i in plain]):
+        odd = [bool(t and ODD.search(t)) for t in texts]
+        plain = [i for i, t in enumerate(texts) if t and not odd[i]]
+        for first, run in spans([texts[i] for i in plain], RUN):
             for i, ids in zip(plain[first : first + len(run)], self._encode_plain(run), strict=True):
                 out[i] = ids
         for i, text in enumerate(texts):
-            if text and ODD.search(text):
+            if odd[i]:
                 out[i] = self._encode_odd(text)
         return out
 

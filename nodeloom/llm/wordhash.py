@@ -38,12 +38,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["up"][:n], _POW["down"][:n]
 
 
-def spans(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, encoded texts) for runs of texts of about ``SPAN`` bytes."""
+def spans(texts: list[str | None], most: int = SPAN) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, encoded texts) for runs of texts of about ``most`` bytes."""
     first, run, size = 0, [], 0
     for i, text in enumerate(texts):
         data = text.encode() if text else b""
-        if run and size + len(data) > SPAN:
+        if run and size + len(data) > most:
             yield first, run
             first, run, size = i, [], 0
         run.append(data)

@@ -9,6 +9,7 @@ each, false on the padding behind a shard's last id), and an Arrow file with the
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -24,9 +25,13 @@ from nodeloom.llm.common import scratch, stored
 from nodeloom.llm.wordhash import scan, spans
 
 #: Ids in a sequence, sequences in a batch, words kept between batches.
-LENGTH, ROWS, WORDS_KEPT = 2048, 256, 400_000
-#: Text bytes encoded at once.
-TEXT_SPAN = 2_000_000
+LENGTH, ROWS, WORDS_KEPT = 2048, 256, 700_000
+#: Text bytes encoded at once, and those whose words are looked up at once.
+TEXT_SPAN, RUN = 2_000_000, 1 << 21
+
+
+#: A mark between a letter and white space.
+LAST_MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[ \n])")
 
 
 class WordEncoder:
@@ -54,10 +59,17 @@ class WordEncoder:
                 self.known[word] = array("H", found.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; each distinct word of about ``SPAN`` bytes of text is looked up once."""
+        """The ids of each text; each distinct word of about ``RUN`` bytes of text is looked up once.
+
+        The tokenizer lower-cases all but its special tokens and parts letters from marks, so where none of them can
+        appear, A-Z are lower-cased and a mark behind the last letter of a word is looked up as a word of its own.
+        """
         out: list[np.ndarray] = []
-        for _, run in spans(texts):
+        for _, run in spans(texts, RUN):
             raw = b"\n".join(run) + b"\n"
+            if b"<|" not in raw:
+                raw = LAST_MARK.sub(rb" \1", raw.lower())
+                run = raw[:-1].split(b"\n") if raw.count(b"\n") == len(run) else [LAST_MARK.sub(rb" \1", (x + b"\n").lower())[:-1] for x in run]
             hashes, starts, ends = scan(raw)
             _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]

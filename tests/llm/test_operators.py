@@ -175,8 +175,9 @@ def test_token_files_equal_the_tokenizer(spark, empty):
 def test_toxicity_on_held_out_documents(spark, docs):
     table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.score_documents(table.select("doc_id", "text"), labels).where("held_out").join(labels.where("toxic is not null"), "doc_id").toPandas()
-    toxic, clean = out[out.toxic == 1].predicted, out[out.toxic == 0].predicted
-    assert len(toxic) > 20 and toxic.mean() > 0.8 and clean.mean() < 0.1, (toxic.mean(), clean.mean())
+    toxic, clean = out[out.toxic == 1], out[out.toxic == 0]
+    auc = (out.score.rank()[out.toxic == 1].sum() - len(toxic) * (len(toxic) + 1) / 2) / (len(toxic) * len(clean))
+    assert len(toxic) > 20 and auc > 0.9 and toxic.predicted.mean() > 0.6 and clean.predicted.mean() < 0.02
     none = toxicity.score_documents(docs, labels.limit(0)).collect()
     assert {r.predicted for r in none} == {0} and len(none) == len(texts())
 

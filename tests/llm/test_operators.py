@@ -182,6 +182,22 @@ def test_toxicity_on_held_out_documents(spark, docs):
     assert {r.predicted for r in none} == {0} and len(none) == len(texts())
 
 
+def test_toxicity_learns_every_ngram_of_the_sample(spark):
+    rows = [(i, f"{sentence(i, 30)} {'vile' if i % 2 else 'kind'} words" + (" zxqvornak" if i == 41 else ""), i % 2) for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned = [t for (i, t, _) in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sum("zxqvornak" in t for t in learned) == 1
+    pad = chr(toxicity.PAD) * (toxicity.ORDER - 1)
+    coded = lambda t: [pad + "".join(chr(ord(c) + 3) for c in w) + chr(toxicity.END) for w in t.lower().split()]
+    grams = {w[k : k + toxicity.ORDER] for t in learned for w in coded(t) for k in range(len(w) - toxicity.ORDER + 1)}
+    keys = sorted(sum(ord(c) << toxicity.BITS * (toxicity.ORDER - 1 - k) for k, c in enumerate(g)) for g in grams)
+    model = toxicity.fit(table, table.select("doc_id", "toxic"))
+    assert model.ratios.keys.tolist() == keys
+    alone = [coded("zxqvornak")[0][k : k + toxicity.ORDER] for k in range(1, 10)]
+    found = model.ratios.of(np.array([sum(ord(c) << toxicity.BITS * (toxicity.ORDER - 1 - k) for k, c in enumerate(g)) for g in alone]))
+    assert found.sum() > 0
+
+
 def test_secrets_against_plain_regexes(spark, empty):
     rows = [None, "", "password: hunter2hunter2", 'API_KEY = "abcDEF123456+/" passwd=short', "AKIA" + "A" * 14 + " " + "0123456789abcdef" * 2, "é𝔘 token=ABCDEFGHIJKL 0123456789abcde", "x" * 50_000 + " secret='abcdefabcdefabcdef'", "ghp_" + "Z" * 36]
     out = {r.doc_id: r for r in secret_scan.secret_digest(secret_scan.find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}

@@ -123,7 +123,7 @@ def _postings(lines: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _place(doc: Column, line: Column) -> Column:
-    return F.pmod(F.pmod(F.xxhash64(doc), F.lit(1 << LINE_BITS)) + line * F.lit(STEP), F.lit(1 << LINE_BITS))
+    return F.pmod(F.pmod(F.xxhash64(doc), F.lit(1 << LINE_BITS)) + line.cast("long") * F.lit(STEP), F.lit(1 << LINE_BITS))
 
 
 def _line_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:

@@ -149,6 +149,15 @@ def test_line_dedup_against_all_pairs(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_far_down_a_long_document(spark):
+    filler = [""] * 60_000
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, near), (2, "\n".join([*filler, near + " more", "a line of its own here", near]))]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[1].text, out[1]._removed) == (near, 0)
+    assert (out[2].text, out[2]._lines, out[2]._removed) == ("\n".join([*filler, "a line of its own here"]), 60_003, 2)
+
+
 def test_sentencepiece_equals_the_model(docs, empty):
     import sentencepiece
 

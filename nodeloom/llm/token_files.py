@@ -34,6 +34,16 @@ TEXT_SPAN, RUN = 2_000_000, 1 << 21
 LAST_MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[ \n])")
 
 
+def lowered(raw: bytes) -> bytes:
+    """A-Z lower-cased, but for those in front of a character beyond ASCII: it may be a mark that the tokenizer composes with them first."""
+    if raw.isascii():
+        return raw.lower()
+    buf = np.frombuffer(raw, np.uint8)
+    capital = (buf >= 65) & (buf <= 90)
+    capital[:-1] &= buf[1:] < 128
+    return (buf | capital.astype(np.uint8) << 5).tobytes()
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins what ASCII white space separates; words are kept."""
 
@@ -61,15 +71,15 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; each distinct word of about ``RUN`` bytes of text is looked up once.
 
-        The tokenizer lower-cases all but its special tokens and parts letters from marks, so where none of them can
-        appear, A-Z are lower-cased and a mark behind the last letter of a word is looked up as a word of its own.
+        The tokenizer composes, then lower-cases all but its special tokens, and parts letters from marks, so where none of them can
+        appear, A-Z that compose with nothing are lower-cased and a mark behind the last letter of a word is looked up as a word of its own.
         """
         out: list[np.ndarray] = []
         for _, run in spans(texts, RUN):
             raw = b"\n".join(run) + b"\n"
             if b"<|" not in raw:
-                raw = LAST_MARK.sub(rb" \1", raw.lower())
-                run = raw[:-1].split(b"\n") if raw.count(b"\n") == len(run) else [LAST_MARK.sub(rb" \1", (x + b"\n").lower())[:-1] for x in run]
+                raw = LAST_MARK.sub(rb" \1", lowered(raw))
+                run = raw[:-1].split(b"\n") if raw.count(b"\n") == len(run) else [LAST_MARK.sub(rb" \1", lowered(x + b"\n"))[:-1] for x in run]
             hashes, starts, ends = scan(raw)
             _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]

@@ -181,6 +181,17 @@ def test_token_files_equal_the_tokenizer(spark, empty):
     assert token_files.token_files(empty, f"{TOKENIZERS}/word_bpe_49k.json").count() == 0
 
 
+@pytest.mark.parametrize("neighbour", ["Plain Words.", "x<|endoftext|>"])
+def test_token_ids_of_decomposed_capitals(neighbour):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    marks = [*map(chr, range(0x300, 0x370)), "\u0327\u0331", "\u0338", "\u200d", "é", "漢"]
+    rows = [f"{a}{c}{m}{b}. Z" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks for a, b in (("", ""), ("x", "Abc\n"), ("Y", m + "É!"))]
+    found = token_files.WordEncoder(f"{TOKENIZERS}/word_bpe_49k.json").encode([*rows, neighbour])
+    assert [x.tolist() for x in found[:-1]] == [x.ids for x in own.encode_batch(rows, add_special_tokens=False)]
+
+
 def test_toxicity_on_held_out_documents(spark, docs):
     table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.score_documents(table.select("doc_id", "text"), labels).where("held_out").join(labels.where("toxic is not null"), "doc_id").toPandas()

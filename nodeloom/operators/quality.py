@@ -39,6 +39,11 @@ def violations(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("rule", F.element_at(F.array(*map(F.lit, RULES)), F.col("rule_no") + 1))
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """The columns of ``violations`` for files that cannot be read at all."""
+    return files.select("source_file", F.lit(-1).alias("pos"), F.lit(-1).alias("rule_no"), F.lit("unreadable_json").alias("rule"), F.lit("file").alias("label"))
+
+
 def file_validity(nodes: DataFrame) -> DataFrame:
     """(source_file, n_violations, valid) for every file that has nodes."""
     rows = nodes.groupBy("source_file").agg(F.sum(F.size(broken_rules())).alias("n_violations"))

@@ -70,7 +70,7 @@ def import_pending(spark: SparkSession, folder: str, ledger_path: str, store_pat
     """Import all files whose fingerprint is not completed, in path order up to the first invalid one.
 
     All those files are one job. The invalid file is recorded as failed and raises InvalidFile after the files
-    before it are committed; it is tried again by the next run. ``one_file`` takes the first pending file only;
+    before it are committed; it is tried again by the next run. A file that is not JSON is invalid too. ``one_file`` takes the first pending file only;
     ``stop`` is asked before the work begins.
     """
     pending = store.pending_files(source.list_files(spark, folder), latest(table(spark, ledger_path, LEDGER)))
@@ -81,7 +81,8 @@ def import_pending(spark: SparkSession, folder: str, ledger_path: str, store_pat
     if pending.isEmpty():
         return Summary(0, 0, 0, 0)
     nodes = source.read_nodes(spark, folder).join(pending, "source_file")
-    bad = quality.violations(nodes)
+    broken = pending.join(source.readable_files(spark, folder), "source_file", "left_anti")
+    bad = quality.violations(nodes).unionByName(quality.unreadable(broken))
     first = bad.agg(F.min("source_file")).first()[0]
     good = pending if first is None else pending.where(F.col("source_file") < first)
     rows = nodes if first is None else nodes.where(F.col("source_file") < first)
@@ -108,7 +109,7 @@ def import_pending(spark: SparkSession, folder: str, ledger_path: str, store_pat
 def export(spark: SparkSession, folder: str, output_root: str, name: str, chosen: DataFrame, embedder: store.Embedder, mode: str = "update") -> Summary:
     """Export the selected nodes of all files with a manifest; ``generate`` starts afresh, ``update`` adds.
 
-    Only selected nodes are validated. In update mode files whose effective speakers the manifest has are skipped and
+    Only selected nodes are validated; a file that is not JSON is an error, as its speakers are unknown. In update mode files whose effective speakers the manifest has are skipped and
     stored ids are not embedded again. The manifest's tables are written to a new version folder and
     take effect when the version table names it.
     """
@@ -124,7 +125,8 @@ def export(spark: SparkSession, folder: str, output_root: str, name: str, chosen
     decision = manifest.skip_decision(files, old, old_speakers, selection.effective(speakers, chosen))
     todo = files.join(decision.where("not skip").select("source_file"), "source_file", "left_semi")
     taken = selection.included(nodes.join(todo.select("source_file"), "source_file", "left_semi"), chosen)
-    bad = quality.violations(taken)
+    broken = files.join(source.readable_files(spark, folder), "source_file", "left_anti")
+    bad = quality.violations(taken).unionByName(quality.unreadable(broken))
     if not bad.isEmpty():
         text = quality.digest(bad, F.lit("all"), "group").first()
         raise InvalidFile(text["digest"] + (f" and {text['more']} more" if text["more"] else ""))

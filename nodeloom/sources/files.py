@@ -21,15 +21,31 @@ def list_files(spark: SparkSession, folder: str, pattern: str = PATTERN) -> Data
     return rows.select(path.alias("source_file"), F.concat_ws("|", path, "length", F.unix_micros("modificationTime")).alias("fingerprint"))
 
 
+def _parsed(files: DataFrame) -> DataFrame:
+    """(source_file, title, documents, readable) of rows (source_file, value).
+
+    A file that as a whole is no VARIANT (its size limit, a key twice) is read element by element, each its own VARIANT.
+    """
+    parts = F.from_json("value", "documents array<variant>, episode_title variant, _corrupt_record string")
+    rows = files.select("source_file", "value", F.try_parse_json("value").alias("w"))
+    rows = rows.select("source_file", "w", F.when(F.col("w").isNull(), parts).alias("p"))
+    return rows.select(
+        "source_file",
+        text_of(F.coalesce(field(F.col("w"), "episode_title"), F.col("p.episode_title"))).alias("title"),
+        F.coalesce(F.try_variant_get("w", "$.documents", "array<variant>"), F.col("p.documents")).alias("documents"),
+        (F.col("w").isNotNull() | (F.col("p").isNotNull() & F.col("p._corrupt_record").isNull())).alias("readable"),
+    )
+
+
 def parse_nodes(files: DataFrame) -> DataFrame:
     """Nodes of rows (source_file, value), value being a file's JSON: one row per object in ``documents``.
 
     Elements that are no objects are dropped, but keep their numbers. Content and ids are texts whatever their
     JSON type: an absent content is empty, a null one the text None. Empty, zero or false ids, dates and
-    scopes count as absent. ``label`` names a node in messages. A file that is not JSON gives no rows.
+    scopes count as absent. ``label`` names a node in messages. A file that cannot be read gives no rows;
+    ``readable_files`` does not name it.
     """
-    whole = files.select("source_file", F.try_parse_json("value").alias("w"))
-    rows = whole.select("source_file", text_of(field(F.col("w"), "episode_title")).alias("file_title"), F.posexplode(F.try_variant_get("w", "$.documents", "array<variant>")).alias("index", "d"))
+    rows = _parsed(files).where("readable").select("source_file", F.col("title").alias("file_title"), F.posexplode("documents").alias("index", "d"))
     rows = rows.where(is_kind(F.col("d"), "OBJECT")).withColumn("m", field(F.col("d"), "metadata"))
     m = F.when(is_kind(F.col("m"), "OBJECT"), F.col("m")).otherwise(F.parse_json(F.lit("{}")))
     rows = rows.withColumn("m", m)
@@ -51,7 +67,16 @@ def parse_nodes(files: DataFrame) -> DataFrame:
     )
 
 
+def _texts(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFrame:
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return reader.text(paths).select(F.col("_metadata.file_path").alias("source_file"), "value")
+
+
 def read_nodes(spark: SparkSession, paths: str | list[str], pattern: str = PATTERN) -> DataFrame:
     """Nodes of all files below a folder, or of the named files."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return parse_nodes(reader.text(paths).select(F.col("_metadata.file_path").alias("source_file"), "value"))
+    return parse_nodes(_texts(spark, paths, pattern))
+
+
+def readable_files(spark: SparkSession, paths: str | list[str], pattern: str = PATTERN) -> DataFrame:
+    """(source_file) of the files whose JSON can be read, whatever is in it."""
+    return _parsed(_texts(spark, paths, pattern)).where("readable").select("source_file")

@@ -71,6 +71,30 @@ def test_export_generates_and_updates(spark, tmp_path):
     assert (head.episode_count, head.chunk_count, head.speaker_count) == (2, 3, 2)
 
 
+@pytest.mark.parametrize("damaged", ['{"documents": [{"page_content": "cut', "no json"])
+def test_unreadable_file_fails(spark, tmp_path, damaged):
+    write(f"{tmp_path}/in", "a", node(1))
+    with open(f"{tmp_path}/in/b.processed_documents.json", "w") as f:
+        f.write(damaged)
+    with pytest.raises(imports.InvalidFile, match="unreadable_json"):
+        run(spark, tmp_path)
+    ledger = {r.path.rsplit("/", 1)[1][0]: r.status for r in imports.latest(imports.table(spark, f"{tmp_path}/ledger", imports.LEDGER)).collect()}
+    assert ledger == {"a": "completed", "b": "failed"}
+    none = spark.createDataFrame([], "source_file string, speaker string")
+    with pytest.raises(imports.InvalidFile, match="unreadable_json"):
+        imports.export(spark, f"{tmp_path}/in", f"{tmp_path}/out", "x", none, store.hash_embedder(8))
+    write(f"{tmp_path}/in", "b", node(2))
+    assert run(spark, tmp_path) == imports.Summary(1, 1, 1, 0)
+
+
+def test_file_that_is_no_variant_as_a_whole(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/in")
+    with open(f"{tmp_path}/in/a.processed_documents.json", "w") as f:
+        f.write('{"x": 1, "x": 2, "episode_title": "T", "documents": [%s, "{}", null, 3, %s]}' % (json.dumps(node(1)), json.dumps(node(2))))
+    assert [(r.pos, r.node_id, r.file_title) for r in files.read_nodes(spark, f"{tmp_path}/in").orderBy("pos").collect()] == [(0, "n1", "T"), (4, "n2", "T")]
+    assert run(spark, tmp_path) == imports.Summary(1, 2, 2, 0)
+
+
 def test_antijoin_below_embedding(spark):
     nodes = spark.createDataFrame([("a", "x")], "node_id string, page_content string")
     plan = store.embedded(store.pending_nodes(nodes, nodes.select("node_id")), store.hash_embedder(4))._jdf.queryExecution().optimizedPlan().toString()

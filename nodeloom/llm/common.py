@@ -41,11 +41,38 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all scratch tables of this library; call it when no result is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/nodeloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_root(spark)}/nodeloom")
+
+
+class Scratch:
+    """The scratch tables of one run, deleted together once what they led to is stored elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.count = spark, scratch(spark, name), 0
+
+    def store(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}-{name}"
+        df.write.option("compression", codec).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        delete(self.spark, self.folder)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with underscores behind it until df has no such column (letter case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -53,6 +80,11 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bits_for(rows: int, most: int) -> int:
+    """Bits (as a power of two, 2**15 to 2**most) of a bitmap in which ``rows`` values fill a sixteenth at most, if they may."""
+    return min(most, max(15, (16 * rows).bit_length()))
+
+
 def bitmap_of(rows: DataFrame, position: Column, bits: int) -> bytes:
     """A bitmap of 2**bits bits in which the bits at the values of ``position`` (0 to 2**bits - 1) are set.
 

@@ -6,9 +6,14 @@ whether or not that earlier line stays.
 
 Equal token sets are one class, told by a 128-bit digest: all but its first line go at once. The first
 lines are joined: tokens ordered by rarity (a sketch over all lines), prefix filter, length filter,
-positional filter, then the true intersection. A star round pairs each line with the first line of
-each posting list, which settles large groups with few pairs; a second round pairs every line that
-is not settled with all earlier lines of its lists, so no match is missed.
+positional filter, then the true intersection:
+
+* a star round pairs each line with the first line of each of its posting lists, which settles large groups of
+  near copies with one pair per posting;
+* what is left of a list of at most ``SHORT`` lines becomes pairs; they must share as many prefix tokens as
+  their sizes ask for;
+* the open lines of a longer list meet all its lines block by block in a task that holds one block and returns
+  the lines that have an earlier match, never pairs.
 """
 
 from __future__ import annotations
@@ -21,18 +26,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import bitmap_of, stored
+from nodeloom.llm.common import Scratch, bitmap_of, bits_for, free_name
 from nodeloom.llm.wordhash import mix, spans, words
 
-#: Counters of the frequency sketch and bits of the bitmaps: fixed sizes, so they may travel with tasks.
-BINS_LOG2, TOKEN_BITS, LINE_BITS, DOC_BITS = 18, 25, 24, 23
+#: Counters of the frequency sketch (fixed size) and most bits of a bitmap: what travels with tasks is bounded.
+BINS_LOG2, MOST_BITS = 18, 26
 NULL_ID = -(1 << 63)
-#: Spreads the lines of a document over the line bitmap.
+#: Spreads the lines of a document over the bitmap of wanted lines.
 STEP = 40503
+#: Longest posting list whose pairs become rows; open lines that a task holds; lines that it reads against them.
+SHORT, BLOCK, READ = 32, 512, 8192
+#: A line: its document's id, a hash of the text where ids may repeat (else 0), and its number.
+X = "struct<id: long, h: long, line: int>"
 
 
 def line_tokens(run: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, group) pairs sorted by group then token, distinct, and each group's (text, line)."""
+    """(token, group) in order of occurrence, repeated ones too, and each group's (text, line): the lines with words."""
     hashes, text, line = words(run, b"\n")
     if not len(hashes):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -50,61 +59,91 @@ def line_tokens(run: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, n
     short = counts[group] < width
     sums = mix(sums + np.where(short, counts[group], 0).astype(np.uint64))
     at = np.flatnonzero((left >= width) | (short & new))
-    tokens, owner = sums[at], group[at]
-    order = np.lexsort((tokens, owner))
-    tokens, owner = tokens[order], owner[order]
-    distinct = np.ones(len(tokens), bool)
-    distinct[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-    return tokens[distinct], owner[distinct], text[heads], line[heads]
+    return sums[at], group[at], text[heads], line[heads]
+
+
+def _bin(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - BINS_LOG2)).astype(np.int64)
+
+
+def distinct_tokens(tokens: np.ndarray, group: np.ndarray, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (token, group) pairs by group, rank of the token's bin and token."""
+    own = np.zeros(len(tokens), np.int64) if ranks is None else ranks[_bin(tokens)].astype(np.int64)
+    spare = 62 - BINS_LOG2 - int(group.max(initial=0)).bit_length()
+    order = None
+    if spare > 16:  # one sort of whole numbers: group, rank, and the bits of the token behind its bin that fit
+        key = (group << (BINS_LOG2 + spare)) | (own << spare) | ((tokens << np.uint64(BINS_LOG2)) >> np.uint64(64 - spare)).astype(np.int64)
+        order = np.argsort(key)
+        key = key[order]
+        if ((key[1:] == key[:-1]) & (tokens[order][1:] != tokens[order][:-1])).any():
+            order = None
+    if order is None:
+        order = np.lexsort((tokens, own, group))
+    tokens, group = tokens[order], group[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (group[1:] != group[:-1])
+    return tokens[new], group[new]
 
 
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
+    """The place of each bin of tokens in the order of their counts over all lines."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = np.zeros(1 << BINS_LOG2, np.int64)
         for batch in batches:
             for _, run in spans(batch.column(0).to_pylist()):
-                tokens = line_tokens(run, width)[0]
-                bins += np.bincount((tokens >> np.uint64(64 - BINS_LOG2)).astype(np.int64), minlength=len(bins))
+                bins += np.bincount(_bin(line_tokens(run, width)[0]), minlength=len(bins))
         used = np.flatnonzero(bins)
         for lo in range(0, len(used), 1 << 16):
             at = used[lo : lo + (1 << 16)]
             yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(bins[at])], ["bin", "n"])
 
     rows = docs.select("text").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BINS_LOG2, np.int64)
-    out[rows.column("bin").to_numpy()] = rows.column("n").to_numpy()
-    return out
+    bins = np.zeros(1 << BINS_LOG2, np.int64)
+    bins[rows.column("bin").to_numpy()] = rows.column("n").to_numpy()
+    ranks = np.empty(len(bins), np.int32)
+    ranks[np.argsort(bins, kind="stable")] = np.arange(len(bins), dtype=np.int32)
+    return ranks
 
 
 def line_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """A scratch table (id, line, d1, d2, n, prefix) of every line that has words."""
-    bins = _sketch(docs, width)
+    """(x, d1, d2, n, prefix) of every line of docs(id, h, text) that has words."""
+    ranks = _sketch(docs, width)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, more = batch.column("id").to_numpy(), batch.column("h").to_numpy()
             for first, run in spans(batch.column("text").to_pylist()):
                 tokens, owner, text, line = line_tokens(run, width)
                 if not len(tokens):
                     continue
+                tokens, owner = distinct_tokens(tokens, owner, ranks)
                 heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
                 n = np.diff(np.append(heads, len(tokens)))
                 d1, d2 = np.add.reduceat(mix(tokens), heads), np.add.reduceat(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), heads)
-                order = np.lexsort((tokens, bins[(tokens >> np.uint64(64 - BINS_LOG2)).astype(np.int64)], owner))
                 length = n + (-num * n // den) + 1  # n - ceil(num * n / den) + 1
                 kept = np.arange(len(tokens)) - heads[owner] < length[owner]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(tokens[order][kept].view(np.int64)))
-                columns = [ids[first + text], line.astype(np.int32), d1.view(np.int64), d2.view(np.int64), n.astype(np.int32)]
-                yield pa.record_batch([*map(pa.array, columns), lists], ["id", "line", "d1", "d2", "n", "prefix"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(tokens[kept].view(np.int64)))
+                columns = [ids[first + text], more[first + text], line.astype(np.int32), d1.view(np.int64), d2.view(np.int64), n.astype(np.int32)]
+                yield pa.record_batch([*map(pa.array, columns), lists], ["id", "h", "line", "d1", "d2", "n", "prefix"])
 
-    return stored(docs.mapInArrow(build, "id long, line int, d1 long, d2 long, n int, prefix array<long>"), "lines")
+    rows = docs.select("id", "h", "text").mapInArrow(build, "id long, h long, line int, d1 long, d2 long, n int, prefix array<long>")
+    return rows.select(F.struct("id", "h", "line").alias("x"), "d1", "d2", "n", "prefix")
 
 
-def _postings(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(tok, x, n, pos) of the first line of each class, for prefix tokens that occur more than once."""
-    mask = (1 << TOKEN_BITS) - 1
-    again = lines.select(F.explode("prefix").alias("tok")).groupBy("tok").count().where("count > 1")
-    bits = np.frombuffer(bitmap_of(again, F.col("tok").bitwiseAND(F.lit(mask)), TOKEN_BITS), np.uint8)
+def _copies(lines: DataFrame) -> DataFrame:
+    """(x) of the lines whose token set an earlier line has: only classes of several lines are joined."""
+    classes = lines.groupBy("d1", "d2").agg(F.min("x").alias("first"), F.count("*").alias("c")).where("c > 1")
+    return lines.select("x", "d1", "d2").join(classes.select("d1", "d2", "first"), ["d1", "d2"]).where("x <> first").select("x").distinct()
+
+
+def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch) -> DataFrame:
+    """(tok, x, n, pos, c, y, m, q): the lines of each posting list of c > 1 first lines of classes; y is its first line."""
+    low = F.col("tok").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")  # half the bytes; a shared value only costs rows
+    again = tables.store(lines.select(F.explode("prefix").alias("tok")).groupBy(low.alias("low")).count().where("count > 1").select("low"), "repeated-tokens")
+    bits = bits_for(again.count(), MOST_BITS)
+    mask = (1 << bits) - 1
+    found = np.frombuffer(bitmap_of(again, F.col("low").bitwiseAND(F.lit(mask)).cast("long"), bits), np.uint8)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,105 +151,227 @@ def _postings(lines: DataFrame, firsts: DataFrame) -> DataFrame:
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             ends = ends - ends[0]
             at = flat & mask
-            hit = np.flatnonzero((bits[at >> 3] >> (at & 7)) & 1)
-            row = np.searchsorted(ends, hit, "right") - 1
-            taken = [batch.column(c).take(pa.array(row)) for c in ("id", "line", "n")]
-            yield pa.record_batch([pa.array(flat[hit]), *taken, pa.array((hit - ends[row]).astype(np.int32))], ["tok", "id", "line", "n", "pos"])
+            hit = (found[at >> 3] >> (at & 7)) & 1 == 1
+            upto = np.append(0, np.cumsum(hit))[ends]
+            rows = np.flatnonzero(np.diff(upto))
+            pos = (np.arange(len(flat)) - np.repeat(ends[:-1], np.diff(ends))).astype(np.int32)[hit]
+            cuts = pa.array(np.append(0, upto[1:][rows]).astype(np.int32))
+            taken = [batch.column(c).take(pa.array(rows)) for c in ("x", "n")]
+            yield pa.record_batch([*taken, pa.ListArray.from_arrays(cuts, pa.array(flat[hit])), pa.ListArray.from_arrays(cuts, pa.array(pos))], ["x", "n", "tok", "pos"])
 
-    rows = lines.select("id", "line", "n", "prefix").mapInArrow(keep, "tok long, id long, line int, n int, pos int")
-    rows = rows.join(firsts, ["id", "line"], "left_semi").distinct()
-    return stored(rows.select("tok", F.struct("id", "line").alias("x"), "n", "pos"), "postings")
+    rows = lines.select("x", "n", "prefix").mapInArrow(keep, f"x {X}, n int, tok array<long>, pos array<int>")
+    rows = tables.store(rows.join(copies, "x", "left_anti").dropDuplicates(["x"]), "postings")
+    rows = rows.select("x", "n", F.explode(F.arrays_zip("tok", "pos")).alias("p")).select("p.tok", "x", "n", "p.pos")
+    heads = rows.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("x", "n", "pos")).alias("y")).where("c > 1")
+    heads = heads.select("tok", "c", F.col("y.x").alias("y"), F.col("y.n").alias("m"), F.col("y.pos").alias("q"))
+    return tables.store(rows.join(heads, "tok"), "lists")
 
 
-def _place(doc: Column, line: Column) -> Column:
-    return F.pmod(F.pmod(F.xxhash64(doc), F.lit(1 << LINE_BITS)) + line.cast("long") * F.lit(STEP), F.lit(1 << LINE_BITS))
+def _wanted(key: str, bits: int) -> Column:
+    """The bit of a line in the bitmap of wanted lines, less what its line number adds."""
+    return F.pmod(F.xxhash64(f"{key}id", f"{key}h"), F.lit(1 << bits))
 
 
 def _line_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """A scratch table (x, tokens) of the wanted lines (x), and a few others."""
-    bits = np.frombuffer(bitmap_of(nodes, _place(F.col("x.id"), F.col("x.line")), LINE_BITS), np.uint8)
+    """(x, tokens) of the wanted lines (x), and a few others: only these lines of a text are cut into tokens."""
+    bits = bits_for(nodes.count(), MOST_BITS)
+    place = F.pmod(_wanted("x.", bits) + F.col("x.line").cast("long") * F.lit(STEP), F.lit(1 << bits))
+    wanted = np.frombuffer(bitmap_of(nodes, place, bits), np.uint8)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, place = batch.column("id").to_numpy(), batch.column("place").to_numpy()
+            ids, more, place = (batch.column(c).to_numpy() for c in ("id", "h", "place"))
             for first, run in spans(batch.column("text").to_pylist()):
-                tokens, owner, text, line = line_tokens(run, width)
-                at = (place[first + text] + line * STEP) & ((1 << LINE_BITS) - 1)
-                hit = np.flatnonzero((bits[at >> 3] >> (at & 7)) & 1)
-                ends = np.searchsorted(owner, np.arange(len(text) + 1))
-                sets = pa.array([tokens[ends[i] : ends[i + 1]].view(np.int64) for i in hit], pa.list_(pa.int64()))
-                yield pa.record_batch([pa.array(ids[first + text[hit]]), pa.array(line[hit].astype(np.int32)), sets], ["id", "line", "tokens"])
-
-    rows = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << LINE_BITS)).alias("place"))
-    rows = rows.mapInArrow(keep, "id long, line int, tokens array<long>")
-    return stored(rows.select(F.struct("id", "line").alias("x"), "tokens"), "line-sets")
-
-
-def _candidates(rows: DataFrame, other: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (x, y), y earlier, that share a token and pass the length and positional filters."""
-    pairs = rows.join(other.select("tok", F.col("x").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q")), "tok").where("y < x")
-    pairs = pairs.where(f"{den} * least(n, m) >= {num} * greatest(n, m)")
-    return pairs.where(f"{num + den} * (least(pos, q) + least(n - pos, m - q)) >= {num} * (n + m)").select("x", "y").distinct()
+                raw = b"\n".join(run) + b"\n"
+                ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+                starts = np.append(0, ends[:-1] + 1)
+                offsets = np.append(0, np.cumsum([len(t) + 1 for t in run])[:-1])
+                text = np.searchsorted(offsets, starts, "right") - 1
+                line = np.arange(len(starts)) - np.searchsorted(starts, offsets)[text]
+                at = (place[first + text] + line * STEP) & ((1 << bits) - 1)
+                hit = np.flatnonzero((wanted[at >> 3] >> (at & 7)) & 1)
+                tokens, owner, which, _ = line_tokens([raw[a:b] for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)], width)
+                if len(tokens):
+                    tokens, owner = distinct_tokens(tokens, owner)
+                    cuts = np.append(0, np.cumsum(np.bincount(owner))).astype(np.int32)
+                    row = hit[which]
+                    columns = [ids[first + text[row]], more[first + text[row]], line[row].astype(np.int32)]
+                    yield pa.record_batch([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(cuts), pa.array(tokens.view(np.int64)))], ["id", "h", "line", "tokens"])
+
+    rows = docs.select("id", "h", "text", _wanted("", bits).alias("place")).mapInArrow(keep, "id long, h long, line int, tokens array<long>")
+    return rows.select(F.struct("id", "h", "line").alias("x"), "tokens").dropDuplicates(["x"])
+
+
+def _near(num: int, den: int) -> Column:
+    """Length filter of sizes n and m."""
+    return F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
+
+
+def _needed(num: int, den: int) -> Column:
+    """How many tokens the prefixes of lines of sizes n and m at the threshold share.
+
+    They share o tokens at least; the j-th of them is among the first j + n - o of the one and the first j + m - o of the other.
+    """
+    o = F.ceil(num * (F.col("n") + F.col("m")) / F.lit(num + den))
+    return o + 1 - F.greatest(*(F.ceil(num * F.col(size) / F.lit(den)) for size in ("n", "m")))
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The later lines x of the pairs whose sets reach the threshold."""
     both = pairs.join(sets, "x").join(sets.select(F.col("x").alias("y"), F.col("tokens").alias("others")), "y")
     both = both.withColumn("shared", F.size(F.array_intersect("tokens", "others")))
-    return both.where(f"{den} * shared >= {num} * (size(tokens) + size(others) - shared)").select("x").distinct()
-
-
-def kept_firsts(docs: DataFrame, lines: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(id, line) of the lines that stay: first of their class, without an earlier match."""
-    firsts = stored(lines.groupBy("d1", "d2").agg(F.min(F.struct("id", "line")).alias("x")).select("x.id", "x.line"), "firsts")
-    postings = _postings(lines, firsts)
-    heads = postings.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("x", "n", "pos")).alias("y")).where("c > 1")
-    star = stored(_candidates(postings, heads.select("tok", "y.x", "y.n", "y.pos"), num, den), "pairs")
-    later = heads.where("c > 2").select("tok")  # lists in which more than the star's pairs exist
-    if star.isEmpty():  # no posting list has a pair that passes the filters with its first line
-        gone = star.select("x")
-    else:
-        gone = stored(_matched(star, _line_sets(docs, star.select("x").union(star.select("y")), width), num, den), "matched")
-    rest = postings.join(later, "tok", "left_semi")
-    pairs = _candidates(rest.join(gone, "x", "left_anti"), rest, num, den).join(star, ["x", "y"], "left_anti")
-    pairs = stored(pairs, "pairs")
-    if not pairs.isEmpty():
-        gone = gone.union(_matched(pairs, _line_sets(docs, pairs.select("x").union(pairs.select("y")), width), num, den)).distinct()
-    return firsts.join(gone.select("x.id", "x.line"), ["id", "line"], "left_anti")
-
-
-def removed_lines(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, removed): per document of docs(id, text) that loses lines, their sorted numbers from 0."""
-    docs = docs.select(F.coalesce("id", F.lit(NULL_ID)).alias("id"), "text")
-    lines = line_table(docs, width, num, den)
-    kept = kept_firsts(docs, lines, width, num, den)
-    gone = lines.select("id", "line").distinct().join(kept, ["id", "line"], "left_anti")
-    return stored(gone.groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("removed")), "removed")
+    return both.where(f"{den} * shared >= {num} * (size(tokens) + size(others) - shared)").select("x")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with ``text_col`` rewritten without its removed lines, plus columns _lines and _removed (counts).
+def _short_pairs(lists: DataFrame, open_lines: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y) of open lines x and earlier lines y of the lists of 3 to SHORT lines.
 
-    Lines end at LF. Lines without words are never matched or removed. A null text stays null (no
-    lines), an empty one empty. Rows that share an id (null counts as one id, before all others)
-    are one document: line k stays in each if it stays in any. An empty table stays empty. Other
-    columns pass unchanged.
+    A pair that shares a longer list is compared there, one that shares a list of two was a pair of the star, so for any other
+    pair the tokens counted here are all that the prefixes share.
     """
-    gone = removed_lines(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), width, num, den)
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << DOC_BITS))
-    bits = np.frombuffer(bitmap_of(gone, place(F.col("id")), DOC_BITS), np.uint8)
+    between = F.col("c").between(3, SHORT)
+    other = lists.where(between).select("tok", F.col("x").alias("y"), F.col("n").alias("m"))
+    pairs = open_lines.where(between).select("tok", "x", "n").join(other, "tok").where("y < x").where(_near(num, den))
+    return pairs.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first(_needed(num, den)).alias("least")).where("shared >= least").select("x", "y")
+
+
+def has_earlier_match(held: list[tuple], index: tuple, line: tuple, tokens: np.ndarray, done: np.ndarray, num: int, den: int) -> None:
+    """Mark in ``done`` the held lines that are later than the given one and match it."""
+    flat, owner, sizes = index
+    lo, hi = np.searchsorted(flat, tokens, "left"), np.searchsorted(flat, tokens, "right")
+    counts = hi - lo
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+    both = np.bincount(owner[at], minlength=len(sizes))
+    for i in np.flatnonzero((den * both >= num * (sizes + len(tokens) - both)) & (both > 0) & ~done):
+        done[i] = line < held[i][0]
+
+
+def _long_matches(lists: DataFrame, gone: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(x) of the open lines of long lists that have an earlier match there.
 
+    A list's open lines are dealt to blocks of about BLOCK, all its lines to blocks of about READ; each pair
+    of blocks is a group of rows, its open lines first.
+    """
+    rows = lists.select("tok", "x", "c").join(gone.withColumn("settled", F.lit(1)), "x", "left")
+    sizes = rows.groupBy("tok").agg(F.sum(F.when(F.col("settled").isNull(), 1).otherwise(0)).alias("u"), F.first("c").alias("c")).where("u > 0")
+    sizes = sizes.select("tok", F.ceil(F.col("u") / BLOCK).alias("i"), F.ceil(F.col("c") / READ).alias("j"))
+    rows = rows.join(sizes, "tok").withColumn("deal", F.xxhash64("x"))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = rows.where("settled is null").select("tok", F.pmod("deal", "i").alias("i"), to("j").alias("j"), F.lit(0).alias("side"), "x")
+    read = rows.select("tok", to("i").alias("i"), F.pmod("deal", "j").alias("j"), F.lit(1).alias("side"), "x")
+    both = held.union(read).join(sets, "x").repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index, done = None, [], None, np.zeros(0, bool)
+
+        def found() -> pa.RecordBatch:
+            x = [held[i][0] for i in np.flatnonzero(done)]
+            return pa.record_batch([pa.array([v[k] for v in x], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["id", "h", "line"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("tok", "i", "j")), strict=True)
+            lists = batch.column("tokens")
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            lines = zip(*(batch.column(c).to_pylist() for c in ("id", "h", "line")), strict=True)
+            for k, (key, side, line) in enumerate(zip(keys, batch.column("side").to_pylist(), lines, strict=True)):
+                if key != now:
+                    if done.any():
+                        yield found()
+                    now, held, index, done = key, [], None, np.zeros(0, bool)
+                tokens = flat[ends[k] : ends[k + 1]]
+                if side == 0:
+                    held.append((line, tokens.copy()))
+                    continue
+                if index is None and held:
+                    every = np.concatenate([t for _, t in held])
+                    sizes = np.array([len(t) for _, t in held])
+                    order = np.argsort(every)
+                    index, done = (every[order], np.repeat(np.arange(len(held)), sizes)[order], sizes), np.zeros(len(held), bool)
+                if held:
+                    has_earlier_match(held, index, line, tokens, done, num, den)
+        if done.any():
+            yield found()
+
+    rows = both.select("tok", "i", "j", "side", "x.id", "x.h", "x.line", "tokens").mapInArrow(compare, "id long, h long, line int")
+    return rows.select(F.struct("id", "h", "line").alias("x"))
+
+
+def removed_lines(docs: DataFrame, tables: Scratch, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(id, h, removed): per document of docs(id, h, text) that loses lines, their sorted numbers from 0."""
+    lines = tables.store(line_table(docs, width, num, den), "lines")
+    copies = tables.store(_copies(lines), "copies")
+    lists = _postings(lines, copies, tables)
+    positional = f"{num + den} * (least(pos, q) + least(n - pos, m - q)) >= {num} * (n + m)"
+    star = tables.store(lists.where("x <> y").where(_near(num, den)).where(positional).select("x", "y").distinct(), "star")
+    sets = tables.store(_line_sets(docs, star.select("x").union(star.select("y")).distinct(), width), "line-sets")
+    gone = tables.store(_matched(star, sets, num, den).distinct(), "gone")
+    open_lines = lists.where("c > 2").join(gone, "x", "left_anti")
+    pairs = tables.store(_short_pairs(lists, open_lines, num, den).join(star, ["x", "y"], "left_anti"), "pairs")
+    long = lists.where(F.col("c") > SHORT)
+    sets = tables.store(_line_sets(docs, pairs.select("x").union(pairs.select("y")).union(long.select("x")).distinct(), width), "line-sets")
+    more = _matched(pairs, sets, num, den).union(_long_matches(long, gone, sets, num, den))
+    every = copies.union(gone).union(more).distinct()
+    return every.groupBy("x.id", "x.h").agg(F.array_sort(F.collect_list("x.line")).alias("removed"))
+
+
+def _marked(bits: np.ndarray, at: Column) -> Column:
     @F.pandas_udf("boolean")
     def marked(at: pd.Series) -> pd.Series:
         return pd.Series((bits[at.to_numpy() >> 3] >> (at.to_numpy() & 7)) & 1 == 1)
 
+    return marked(at)
+
+
+def _in_bitmap(rows: DataFrame, key: Column, own: Column) -> Column:
+    """Whether ``own`` may be among the values ``key`` of rows."""
+    bits = bits_for(rows.count(), MOST_BITS)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    return _marked(np.frombuffer(bitmap_of(rows, place(key), bits), np.uint8), place(own))
+
+
+def _without(text: Column, removed: Column) -> Column:
+    """The text without the lines of the given numbers (null: as it is)."""
+
+    def rest(t: str | None, gone: np.ndarray | None) -> str | None:
+        if t is None or gone is None:
+            return t
+        less = set(gone.tolist())
+        return "\n".join([part for k, part in enumerate(t.split("\n")) if k not in less])
+
+    @F.pandas_udf("string")
+    def without(text: pd.Series, removed: pd.Series) -> pd.Series:
+        return pd.Series([rest(t, gone) for t, gone in zip(text, removed, strict=True)], dtype=object)
+
+    return without(text, removed)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with ``text_col`` rewritten without its removed lines, plus columns _lines and _removed (counts).
+
+    Lines end at LF. Lines without words are never matched or removed. A null text stays null (no
+    lines), an empty one empty. Rows that share an id (null is an id before all others) are documents of their own, in
+    the order of a hash of their text; rows with equal id and text are one document: their first lines stay in each. An empty
+    table stays empty. Other columns pass unchanged, whatever their names; if docs has a column ``_lines`` or
+    ``_removed``, the count's name gets underscores behind it until it is free.
+    """
+    tables = Scratch(docs.sparkSession, "line-dedup")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    hit = marked(place(key))
-    touched = docs.withColumn("_key", key).where(hit).join(gone.withColumnRenamed("id", "_key"), "_key", "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    rest = F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce(F.col("removed"), F.array().cast("array<int>")), i))
-    touched = touched.withColumns({text_col: F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")), "_lines": F.size(parts), "_removed": F.coalesce(F.size("removed"), F.lit(0))})
-    other = docs.where(~hit).withColumns({"_lines": F.size(parts), "_removed": F.lit(0)})
-    columns = [*docs.columns, "_lines", "_removed"]
-    out = touched.select(*columns).unionByName(other.select(*columns))
-    return out.withColumn("_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_lines")))
+    again = tables.store(docs.groupBy(key.alias("id")).count().where("count > 1").select("id"), "repeated-ids")
+    h = F.lit(0).cast("long") if again.isEmpty() else F.when(_in_bitmap(again, F.col("id"), key), F.xxhash64(text_col)).otherwise(0)
+    gone = removed_lines(docs.select(key.alias("id"), h.alias("h"), F.col(text_col).alias("text")), tables, width, num, den)
+    gone = Scratch(docs.sparkSession, "removed-lines").store(gone, "removed")
+    tables.drop()
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("id"), h.alias("h"))
+    hit = _in_bitmap(gone, F.col("id"), F.col("id"))
+    packed = packed.withColumn("hit", hit)
+    text = F.col(f"row.`{text_col}`")
+    lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
+    names = [free_name(docs, "_lines"), free_name(docs, "_removed")]
+
+    def result(rows: DataFrame, own: Column, removed: Column) -> DataFrame:
+        columns = [own.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+        return rows.select(*columns, lines.alias(names[0]), removed.alias(names[1]))
+
+    touched = packed.where("hit").join(gone, ["id", "h"], "left")
+    touched = result(touched, _without(text, F.col("removed")), F.coalesce(F.size("removed"), F.lit(0)))
+    return touched.unionByName(result(packed.where("not hit"), text, F.lit(0)))

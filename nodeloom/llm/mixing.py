@@ -19,8 +19,8 @@ from nodeloom.llm.common import BROADCAST_ROWS, stored
 
 #: Weights of the sources in order, repeating; share of all tokens to take; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Newton steps between two scratch tables, and most such rounds; steps end once every source is met to TOLERANCE.
-STEPS, ROUNDS, TOLERANCE = 4, 12, 1e-6
+#: Steps between two scratch tables (the last of them halves the bracket); they end once every source is met to TOLERANCE.
+STEPS, TOLERANCE = 4, 1e-6
 #: Rates and offsets are whole numbers of 1 / UNIT; levels of 2**LEVEL_BITS thresholds each place the cut.
 UNIT, LEVEL_BITS, LEVELS = 1 << 40, 11, 4
 
@@ -75,8 +75,8 @@ def tilts(cells: DataFrame, targets: DataFrame, small: bool, most: int = MOST) -
     scales = cells.groupBy("source").agg(F.max("size").cast("double").alias("scale"))
     state = _joined(targets.where(f"source_size > 0 and target < {most} * source_size"), scales, small)
     state = stored(state.withColumns({"tilt": F.lit(0.0), "low": F.lit(-1e9), "high": F.lit(1e9), "miss": F.lit(1.0)}), "tilts")
-    for _ in range(ROUNDS):
-        for _ in range(STEPS):
+    while True:
+        for k in range(STEPS):
             rows = _joined(cells, state.select("source", "scale", "tilt"), small).withColumn("rate", _rate(most))
             tokens = F.col("docs") * F.col("size") * F.col("rate")
             slope = F.when(F.col("rate") < most, tokens * F.col("size") / F.col("scale")).otherwise(0.0)
@@ -85,11 +85,12 @@ def tilts(cells: DataFrame, targets: DataFrame, small: bool, most: int = MOST) -
             off = F.col("tokens") - F.col("target")
             state = state.withColumns({"low": F.when(off < 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(off > 0, F.col("tilt")).otherwise(F.col("high")), "miss": F.abs(off) / F.col("target")})
             step = F.col("tilt") - F.col("tokens") / F.col("slope") + F.col("target") / F.col("slope")
-            inside = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high"))
+            inside = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high")) & F.lit(k < STEPS - 1)
             tilt = F.when(F.col("miss") <= TOLERANCE, F.col("tilt")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
             state = state.withColumn("tilt", tilt).drop("tokens", "slope")
         state = stored(state, "tilts")
-        if state.agg(F.max("miss")).first()[0] in (None, 0.0) or state.where(F.col("miss") > TOLERANCE).isEmpty():
+        # a bracket without room for another number ends its source: no tilt meets the target better
+        if state.where((F.col("miss") > TOLERANCE) & (F.col("high") - F.col("low") > 1e-12 * (1 + F.abs("tilt")))).isEmpty():
             break
     return state.select("source", "source_size", "target", "scale", "tilt")
 
@@ -159,7 +160,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (not at all, once, or more)."""
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    rows = with_copies(docs.withColumn("size", word_count(F.col("text"))), mixing_plan(sizes, **options))
-    return rows.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it (not at all, once, or more).
+
+    Rows without words (null and empty texts) stay once if their source has no words at all, and else as often as its cut says
+    (they take nothing either way). Null ids and sources and repeated rows are as in ``mix``; all columns pass
+    unchanged, whatever their names; an empty table stays empty.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    sizes = stored(rows.drop("row"), "sizes")
+    rows = with_copies(rows, mixing_plan(sizes, **options)).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

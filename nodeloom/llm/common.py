@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +106,24 @@ def bitmap_of(rows: DataFrame, position: Column, bits: int) -> bytes:
     return bytes(out)
 
 
+def in_bitmap(bits: bytes, at: Column) -> Column:
+    """Whether the bit at the place ``at`` (a long) is set."""
+    table = np.frombuffer(bits, np.uint8)
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        return pd.Series((table[at.to_numpy() >> 3] >> (at.to_numpy() & 7)) & 1 == 1)
+
+    return marked(at)
+
+
+def may_be_among(rows: DataFrame, key: Column, own: Column, most: int) -> Column:
+    """Whether ``own`` may be among the values ``key`` of rows: never false for one that is."""
+    bits = bits_for(rows.count(), most)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    return in_bitmap(bitmap_of(rows, place(key), bits), place(own))
+
+
 def forest(edges: DataFrame) -> DataFrame:
     """(u, v) edges with the components of ``edges``: each task replaces its rows by a forest of stars to the smallest node.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import Scratch, bitmap_of, bits_for, free_name
+from nodeloom.llm.common import BROADCAST_ROWS, Scratch, bitmap_of, bits_for, free_name, may_be_among
 from nodeloom.llm.wordhash import mix, spans, words
 
 #: Counters of the frequency sketch (fixed size) and most bits of a bitmap: what travels with tasks is bounded.
@@ -314,19 +314,10 @@ def removed_lines(docs: DataFrame, tables: Scratch, width: int = 5, num: int = 8
     return every.groupBy("x.id", "x.h").agg(F.array_sort(F.collect_list("x.line")).alias("removed"))
 
 
-def _marked(bits: np.ndarray, at: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def marked(at: pd.Series) -> pd.Series:
-        return pd.Series((bits[at.to_numpy() >> 3] >> (at.to_numpy() & 7)) & 1 == 1)
-
-    return marked(at)
-
-
-def _in_bitmap(rows: DataFrame, key: Column, own: Column) -> Column:
-    """Whether ``own`` may be among the values ``key`` of rows."""
-    bits = bits_for(rows.count(), MOST_BITS)
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    return _marked(np.frombuffer(bitmap_of(rows, place(key), bits), np.uint8), place(own))
+def _small(gone: DataFrame) -> bool:
+    """Whether rows and removed lines are few enough to broadcast."""
+    rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS // 10 and numbers <= BROADCAST_ROWS
 
 
 def _without(text: Column, removed: Column) -> Column:
@@ -357,13 +348,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables = Scratch(docs.sparkSession, "line-dedup")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     again = tables.store(docs.groupBy(key.alias("id")).count().where("count > 1").select("id"), "repeated-ids")
-    h = F.lit(0).cast("long") if again.isEmpty() else F.when(_in_bitmap(again, F.col("id"), key), F.xxhash64(text_col)).otherwise(0)
+    h = F.lit(0).cast("long") if again.isEmpty() else F.when(may_be_among(again, F.col("id"), key, MOST_BITS), F.xxhash64(text_col)).otherwise(0)
     gone = removed_lines(docs.select(key.alias("id"), h.alias("h"), F.col(text_col).alias("text")), tables, width, num, den)
     gone = Scratch(docs.sparkSession, "removed-lines").store(gone, "removed")
     tables.drop()
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("id"), h.alias("h"))
-    hit = _in_bitmap(gone, F.col("id"), F.col("id"))
-    packed = packed.withColumn("hit", hit)
     text = F.col(f"row.`{text_col}`")
     lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
     names = [free_name(docs, "_lines"), free_name(docs, "_removed")]
@@ -372,6 +361,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         columns = [own.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
         return rows.select(*columns, lines.alias(names[0]), removed.alias(names[1]))
 
-    touched = packed.where("hit").join(gone, ["id", "h"], "left")
-    touched = result(touched, _without(text, F.col("removed")), F.coalesce(F.size("removed"), F.lit(0)))
-    return touched.unionByName(result(packed.where("not hit"), text, F.lit(0)))
+    def joined(rows: DataFrame, other: DataFrame) -> DataFrame:
+        return result(rows.join(other, ["id", "h"], "left"), _without(text, F.col("removed")), F.coalesce(F.size("removed"), F.lit(0)))
+
+    if _small(gone):
+        return joined(packed, F.broadcast(gone))
+    # only texts that may lose lines move; a shuffled join keeps the two Python functions in tasks of their own
+    packed = packed.withColumn("hit", may_be_among(gone, F.col("id"), F.col("id"), MOST_BITS))
+    return joined(packed.where("hit"), gone.hint("merge")).unionByName(result(packed.where("not hit"), text, F.lit(0)))

@@ -1,13 +1,14 @@
 """Media columns: payloads cut at content-defined places, stored once per distinct chunk.
 
 A rolling gear hash over the last 32 bytes cuts a payload where its low bits are zero (between ``LEAST`` and
-``MOST`` bytes apart), so equal passages become equal chunks wherever they stand. A task writes each of its chunks
-to a pack file once, as a Zstandard frame; a Spark join over chunk digests gives every digest one place in
-all packs; the ordered list of places is a payload's recipe. Reading follows recipes, checks every
-chunk against its digest and rebuilds the payload.
-
-The stored form of a payload is the row of its chunks' frames in order. The chunks move through no
-shuffle: only digests and places do.
+``MOST`` bytes apart), so equal passages become equal chunks wherever they stand. Spark groups the chunk digests of
+all payloads. A chunk that occurs once goes into the pack file of the task that cuts it, as a Zstandard frame; the frames
+of chunks that may occur again are grouped by digest, each is written once, and a join over digests gives its place. The
+ordered list of places is a payload's recipe. Reading follows recipes, checks every chunk against its digest and
+rebuilds the payload.
+
+The stored form of a payload is the row of its chunks' frames in order. Chunks that occur once move through no
+shuffle; of the others a task sends each one about once, however often it has it.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import scratch, stored
+from nodeloom.llm.common import bitmap_of, bits_for, scratch, sized, stored
 
 #: Shortest chunk, bits that are zero at a cut, longest chunk, payload unit and pad byte.
 LEAST, ZERO_BITS, MOST, UNIT, PAD = 512, 11, 16384, 576, b"\xff"
-#: Chunks kept while reading, in bytes; distinct chunks a task remembers.
-CACHE, REMEMBERED = 32 << 20, 200_000
+#: Chunks kept while reading, in bytes; digests whose frame a task has sent that it remembers (it sends one that it forgot again);
+#: most bits of the bitmap of digests that occur again.
+CACHE, REMEMBERED, MOST_BITS = 32 << 20, 50_000, 26
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
 
 
@@ -62,56 +64,104 @@ def cut_points(payload: bytes) -> list[int]:
     return ends
 
 
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def repeated_chunks(payloads: DataFrame) -> tuple[bytes, int]:
+    """(bitmap, bits) of the keys of the digests that occur more than once; other digests may share a bit."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
+            keys = []
+            for text in batch.column(0).to_pylist():
+                payload, lo = padded(text)[0], 0
+                for hi in cut_points(payload):
+                    keys.append(_key(hashlib.sha256(payload[lo:hi]).digest()))
+                    lo = hi
+            yield pa.record_batch([pa.array(keys, pa.int64())], ["key"])
+
+    found = payloads.select("text").mapInArrow(work, "key long").groupBy("key").count().where("count > 1").select("key")
+    found = stored(found, "repeated-chunks")
+    bits = bits_for(found.count(), MOST_BITS)
+    return bitmap_of(found, F.col("key").bitwiseAND(F.lit((1 << bits) - 1)), bits), bits
+
+
 def write_packs(payloads: DataFrame, folder: str) -> DataFrame:
-    """Store the chunks of rows (id, text); a scratch table (pack, row, id, n_bytes, seq, digest, start, length).
+    """Store the chunks of rows (id, text) that occur once; a scratch table (pack, row, id, n_bytes, seq, digest, start, length, frame).
 
-    A task that runs again writes a pack of another name; only packs named in the table count.
+    start is null for a chunk that may occur again; one row of each such digest in each task has its frame. A task that runs
+    again writes a pack of another name; only packs named in the table count.
     """
+    bitmap, bits = repeated_chunks(payloads)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, path = fs.FileSystem.from_uri(folder)
         filesystem.create_dir(path, recursive=True)
-        name, at, row = uuid.uuid4().hex, 0, 0
-        seen: OrderedDict[bytes, tuple[int, int]] = OrderedDict()
+        name, at, row, mask = uuid.uuid4().hex, 0, 0, (1 << bits) - 1
+        sent: OrderedDict[bytes, None] = OrderedDict()
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
         with filesystem.open_output_stream(f"{path}/{name}") as sink:
             for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
-                out: dict[str, list] = {k: [] for k in ("row", "id", "n_bytes", "seq", "digest", "start", "length")}
+                out: dict[str, list] = {k: [] for k in ("row", "id", "n_bytes", "seq", "digest", "start", "length", "frame")}
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     payload, size = padded(text)
                     lo = 0
                     for seq, hi in enumerate(cut_points(payload)):
                         chunk = payload[lo:hi]
                         digest = hashlib.sha256(chunk).digest()
-                        place = seen.get(digest)
-                        if place is None:
+                        place = _key(digest) & mask
+                        start = length = frame = None
+                        if not bitmap[place >> 3] >> (place & 7) & 1:
+                            packed = pack.compress(chunk)
+                            sink.write(packed)
+                            start, length = at, len(packed)
+                            at += length
+                        elif digest not in sent:
                             frame = pack.compress(chunk)
-                            sink.write(frame)
-                            place = seen[digest] = (at, len(frame))
-                            at += len(frame)
-                            if len(seen) > REMEMBERED:
-                                seen.popitem(last=False)
-                        for key, value in zip(out, (row, doc, size, seq, digest, *place), strict=True):
+                            sent[digest] = None
+                            if len(sent) > REMEMBERED:
+                                sent.popitem(last=False)
+                        for key, value in zip(out, (row, doc, size, seq, digest, start, length, frame), strict=True):
                             out[key].append(value)
                         lo = hi
                     row += 1
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
                 columns = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
                 yield pa.record_batch([pa.array([name] * len(out["row"])), *columns], ["pack", *out])
 
-    rows = payloads.select("id", "text").mapInArrow(work, "pack string, row long, id long, n_bytes long, seq int, digest binary, start long, length int")
+    rows = payloads.select("id", "text").mapInArrow(work, "pack string, row long, id long, n_bytes long, seq int, digest binary, start long, length int, frame binary")
     return stored(rows, "chunks")
 
 
-def recipes(chunks: DataFrame) -> DataFrame:
-    """chunks with (at_pack, at_start, at_length): the one place of each digest.
+def write_shared(chunks: DataFrame, folder: str) -> DataFrame:
+    """Write each frame that the chunks carry once; a scratch table (digest, at_pack, at_start, at_length)."""
 
-    Only digests that occur in several places need the join.
-    """
-    places = chunks.groupBy("digest").agg(F.min(F.struct("pack", "start", "length")).alias("place"), F.max(F.struct("pack", "start", "length")).alias("other"))
-    many = places.where("place <> other").select("digest", "place")
-    out = chunks.join(many, "digest", "left").withColumn("place", F.coalesce("place", F.struct("pack", "start", "length")))
-    return out.select("pack", "row", "id", "n_bytes", "seq", "digest", F.col("place.pack").alias("at_pack"), F.col("place.start").alias("at_start"), F.col("place.length").alias("at_length"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, path = fs.FileSystem.from_uri(folder)
+        filesystem.create_dir(path, recursive=True)
+        name, at = uuid.uuid4().hex, 0
+        with filesystem.open_output_stream(f"{path}/{name}") as sink:
+            for batch in batches:
+                starts, sizes = [], []
+                for frame in batch.column(1):
+                    data = frame.as_buffer()
+                    sink.write(data)
+                    starts.append(at)
+                    sizes.append(data.size)
+                    at += data.size
+                yield pa.record_batch([batch.column(0), pa.array([name] * len(sizes), pa.string()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32())], ["digest", "at_pack", "at_start", "at_length"])
+
+    frames = chunks.where("frame is not null").groupBy("digest").agg(F.min("frame").alias("frame"))  # all frames of a digest are equal
+    return stored(frames.mapInArrow(work, "digest binary, at_pack string, at_start long, at_length int"), "shared-chunks")
+
+
+def recipes(chunks: DataFrame, shared: DataFrame) -> DataFrame:
+    """(pack, row, id, n_bytes, seq, digest, at_pack, at_start, at_length): the one place of each chunk of each payload."""
+    columns = ["pack", "row", "id", "n_bytes", "seq", "digest"]
+    alone = chunks.where("start is not null").select(*columns, F.col("pack").alias("at_pack"), F.col("start").alias("at_start"), F.col("length").alias("at_length"))
+    others = chunks.where("start is null").select(*columns).join(sized(shared), "digest")
+    return alone.unionByName(others)
 
 
 class PackReader:
@@ -207,5 +257,5 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts have equal values, an empty table gives an empty result, other columns are ignored.
     """
     folder = scratch(docs.sparkSession, "packs")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return read_media(recipes(write_packs(rows, folder)), folder).withColumnRenamed("id", id_col)
+    chunks = write_packs(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), folder)
+    return read_media(recipes(chunks, write_shared(chunks, folder)), folder).withColumnRenamed("id", id_col)

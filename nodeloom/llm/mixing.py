@@ -19,8 +19,8 @@ from nodeloom.llm.common import BROADCAST_ROWS, stored
 
 #: Weights of the sources in order, repeating; share of all tokens to take; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Steps between two scratch tables (the last of them halves the bracket); they end once every source is met to TOLERANCE.
-STEPS, TOLERANCE = 4, 1e-6
+#: Steps between two scratch tables; they end once every source is met to TOLERANCE. Ends of a bracket that is not found yet.
+STEPS, TOLERANCE, FAR = 4, 1e-6, 1e18
 #: Rates and offsets are whole numbers of 1 / UNIT; levels of 2**LEVEL_BITS thresholds each place the cut.
 UNIT, LEVEL_BITS, LEVELS = 1 << 40, 11, 4
 
@@ -74,20 +74,22 @@ def tilts(cells: DataFrame, targets: DataFrame, small: bool, most: int = MOST) -
     """
     scales = cells.groupBy("source").agg(F.max("size").cast("double").alias("scale"))
     state = _joined(targets.where(f"source_size > 0 and target < {most} * source_size"), scales, small)
-    state = stored(state.withColumns({"tilt": F.lit(0.0), "low": F.lit(-1e9), "high": F.lit(1e9), "miss": F.lit(1.0)}), "tilts")
+    state = stored(state.withColumns({"tilt": F.lit(0.0), "low": F.lit(-FAR), "high": F.lit(FAR), "miss": F.lit(FAR)}), "tilts")
     while True:
-        for k in range(STEPS):
+        for _ in range(STEPS):
             rows = _joined(cells, state.select("source", "scale", "tilt"), small).withColumn("rate", _rate(most))
             tokens = F.col("docs") * F.col("size") * F.col("rate")
             slope = F.when(F.col("rate") < most, tokens * F.col("size") / F.col("scale")).otherwise(0.0)
             sums = rows.groupBy("source").agg(_exact(tokens).alias("tokens"), _exact(slope).alias("slope"))
-            state = _joined(state, sums, small)
+            state = _joined(state, sums, small).withColumnRenamed("miss", "was")
             off = F.col("tokens") - F.col("target")
             state = state.withColumns({"low": F.when(off < 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(off > 0, F.col("tilt")).otherwise(F.col("high")), "miss": F.abs(off) / F.col("target")})
             step = F.col("tilt") - F.col("tokens") / F.col("slope") + F.col("target") / F.col("slope")
-            inside = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high")) & F.lit(k < STEPS - 1)
-            tilt = F.when(F.col("miss") <= TOLERANCE, F.col("tilt")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
-            state = state.withColumn("tilt", tilt).drop("tokens", "slope")
+            # Newton's step while it stays in the bracket and gains; else half the bracket, or farther out while it has one end only
+            newton = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high")) & (F.col("miss") <= F.col("was") / 2)
+            out = F.when(F.col("high") == FAR, F.abs("tilt") + 1).when(F.col("low") == -FAR, -F.abs("tilt") - 1)
+            tilt = F.when(F.col("miss") <= TOLERANCE, F.col("tilt")).when(newton, step).otherwise(F.coalesce(F.col("tilt") + out, (F.col("low") + F.col("high")) / 2))
+            state = state.withColumn("tilt", tilt).drop("tokens", "slope", "was")
         state = stored(state, "tilts")
         # a bracket without room for another number ends its source: no tilt meets the target better
         if state.where((F.col("miss") > TOLERANCE) & (F.col("high") - F.col("low") > 1e-12 * (1 + F.abs("tilt")))).isEmpty():

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.llm import line_dedup, media_chunks, mixing, ngram_join, secret_scan, sentencepiece_codec, token_files, toxicity, vector_neighbors, warc_bundles
 
 #: Folder of the public tokenizers' files.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -12,7 +12,6 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.llm.common import scratch, stored
-from nodeloom.llm.wordhash import scan, spans
+from nodeloom.llm.wordhash import distinct_words, spans
 
 #: Ids in a sequence, sequences in a batch, words kept between batches.
 LENGTH, ROWS, WORDS_KEPT = 2048, 256, 700_000
@@ -44,8 +43,15 @@ def lowered(raw: bytes) -> bytes:
     return (buf | capital.astype(np.uint8) << 5).tobytes()
 
 
+#: Texts on which both ways of encoding must agree before words are looked up one by one.
+PROBES = ("A. b.! c'd.e, F..", "one.\n\ntwo,\tThree;  four", "Straße ÀÉ naïve W\u030a H\u0331 J\u030c", "x\u00a0y\u2028z\u3000w", "don't I'LL it's 123 4.5", "漢字かな 한국 ▁ 𝔘", "\x00 \x0b\x0c\r a", "a" * 300)
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins what ASCII white space separates; words are kept."""
+    """Ids of texts by a tokenizer; words are looked up once and kept if it never joins what ASCII white space separates.
+
+    That, and whether letters may be lower-cased first, is tried on PROBES with the tokenizer itself; otherwise it encodes whole texts.
+    """
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,34 +60,50 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the files hold ids of 16 bits")
+        self.specials = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.by_words, self.lowers = True, False
+        self.by_words = self._agrees()
+        self.lowers = self.by_words
+        self.lowers = self.by_words and self._agrees()
+        self.known = {}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [np.array(found.ids, np.uint16) for found in many(texts, add_special_tokens=False)]
+
+    def _agrees(self) -> bool:
+        self.known = {}
+        pairs = zip(self.encode(list(PROBES)), self._whole(list(PROBES)), strict=True)
+        return all(np.array_equal(a, b) for a, b in pairs)
 
     def _learn(self, fresh: list[bytes]) -> None:
         for word in fresh:
             if (ids := self.before.get(word)) is not None:
                 self.known[word] = ids
         fresh = [w for w in fresh if w not in self.known]
-        many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         for lo in range(0, len(fresh), 5_000):
             part = fresh[lo : lo + 5_000]
-            for word, found in zip(part, many([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = array("H", found.ids).tobytes()
+            for word, found in zip(part, self._whole([w.decode() for w in part]), strict=True):
+                self.known[word] = found.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; each distinct word of about ``RUN`` bytes of text is looked up once.
 
-        The tokenizer composes, then lower-cases all but its special tokens, and parts letters from marks, so where none of them can
-        appear, A-Z that compose with nothing are lower-cased and a mark behind the last letter of a word is looked up as a word of its own.
+        A tokenizer that composes, then lower-cases all but its special tokens, and parts letters from marks, gives the same ids if A-Z that
+        compose with nothing are lower-cased before and a mark behind the last letter of a word is looked up as a word of its own; where
+        a special token can appear, the text stays as it is.
         """
+        if not self.by_words:
+            return [ids for lo in range(0, len(texts), 256) for ids in self._whole([t or "" for t in texts[lo : lo + 256]])]
         out: list[np.ndarray] = []
         for _, run in spans(texts, RUN):
             raw = b"\n".join(run) + b"\n"
-            if b"<|" not in raw:
+            if self.lowers and not any(token in low for low in [raw.lower()] for token in self.specials):
                 raw = LAST_MARK.sub(rb" \1", lowered(raw))
                 run = raw[:-1].split(b"\n") if raw.count(b"\n") == len(run) else [LAST_MARK.sub(rb" \1", lowered(x + b"\n"))[:-1] for x in run]
-            hashes, starts, ends = scan(raw)
-            _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            starts, ends, first, inverse = distinct_words(raw)
             distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             if len(self.known) > WORDS_KEPT:  # words that come again move to the new generation
                 self.before, self.known = self.known, {}
@@ -196,6 +218,26 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
     return shards.withColumn("first", F.coalesce(F.sum("total").over(before), F.lit(0)))
 
 
+class Sequences:
+    """Random access to the sequences of one shard through a memory map (a local or mounted file): nothing is copied or decoded."""
+
+    def __init__(self, file: str) -> None:
+        self.reader = pa.ipc.open_file(pa.memory_map(file))
+        last = self.reader.num_record_batches - 1
+        self.count = 0 if last < 0 else last * ROWS + self.reader.get_batch(last).num_rows
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of sequence k: a view of the mapped file, and an Arrow slice of the mapped bits."""
+        if not 0 <= k < self.count:
+            raise IndexError(k)
+        batch, row = self.reader.get_batch(k // ROWS), k % ROWS
+        ids, mask = (batch.column(c).slice(row, 1).flatten() for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
+
+
 def read_documents(shards: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the files of ``shards``."""
 

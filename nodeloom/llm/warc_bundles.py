@@ -6,7 +6,7 @@ WARC file and a reader of one record decompresses one frame. An index maps a rec
 frame and place in the frame.
 
 Of records with equal payloads (of at least ``SHARED`` bytes) one is a response, the others are revisits
-that refer to it.
+that refer to it. Payloads that occur once move through no shuffle; of the others each task sends one copy, however many pages have it.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import scratch, stored
+from nodeloom.llm.common import bitmap_of, bits_for, in_bitmap, scratch, stored
 
 #: Smallest payload that is stored once; record bytes and records in a frame; frames in a bundle.
 SHARED, FRAME_BYTES, FRAME_RECORDS, BUNDLE_FRAMES = 1000, 1 << 18, 64, 4096
+#: Most bits of the bitmap of digests that occur again.
+MOST_BITS = 26
 #: Fixed values of the format: skippable frame, footer, and an end of header.
 SKIPPABLE, SEEKABLE, BREAK = 0x184D2A5E, 0x8F92EAB1, b"\r\n"
 #: The date of the records written here; archives of equal pages are then equal.
@@ -114,29 +116,43 @@ class BundleWriter:
             self.sink = None
 
 
-def with_types(pages: DataFrame) -> DataFrame:
-    """Rows (page_id, url, html) plus digest, refers_to: the page that holds the payload, null for responses.
+def with_types(pages: DataFrame) -> tuple[DataFrame, bytes]:
+    """(rows, bitmap): page_id, url, html, digest, refers_to (the page that holds the payload, null for responses) and place.
 
-    The response is the row with the largest page_id; rows that share that id and payload are all responses.
-    Rows with a null page_id are responses and nothing refers to them.
+    A row whose place has its bit set in the bitmap stands for a payload that may occur again; such pages come a second time, without a
+    place, with their type: these count, and revisits have no html. The response is the row with the largest page_id; rows that share
+    that id and payload are all responses. Rows with a null page_id are responses and nothing refers to them.
     """
     data = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    pages = pages.withColumns({"digest": F.sha1(data), "size": F.octet_length(data)})
-    # only digests that occur more than once are joined; the maximum needs no payload
-    top = pages.where(F.col("size") >= SHARED).groupBy("digest").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low")).where("low < top")
-    pages = pages.join(top.select("digest", "top"), "digest", "left")
-    revisit = (F.col("size") >= SHARED) & (F.col("page_id") < F.col("top"))
-    return pages.select("page_id", "url", "html", "digest", F.when(revisit, F.col("top")).alias("refers_to"))
+    pages = pages.select("page_id", "url", "html", F.sha1(data).alias("digest"), (F.octet_length(data) >= SHARED).alias("large"))
+    again = stored(pages.where("large").groupBy("digest").count().where("count > 1").select("digest"), "repeated-digests")
+    bits = bits_for(again.count(), MOST_BITS)
+    place = F.pmod(F.xxhash64("digest"), F.lit(1 << bits))
+    bitmap = bitmap_of(again, place, bits)
+    every = pages.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to"), F.when(F.col("large"), place).alias("place"))
+    if again.isEmpty():
+        return every, bitmap
+    shared = pages.where("large").where(in_bitmap(bitmap, place))
+    # per digest the largest id and one copy of the payload, both found before rows move
+    held = stored(shared.groupBy("digest").agg(F.max("page_id").alias("top"), F.max("html").alias("html")), "shared-payloads")
+    named = stored(shared.select("page_id", "url", "digest").join(held.select("digest", "top"), "digest"), "shared-pages")
+    revisit = F.coalesce(F.col("page_id") < F.col("top"), F.lit(False))
+    revisits = named.where(revisit).select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", F.col("top").alias("refers_to"))
+    responses = named.where(~revisit).drop("top").join(held.select("digest", "html"), "digest").withColumn("refers_to", F.lit(None).cast("long"))
+    return every.unionByName(revisits.unionByName(responses).withColumn("place", F.lit(None).cast("long"))), bitmap
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write a record per row; the index (name, bundle, frame, start, length) as a scratch table."""
+    rows, bitmap = with_types(pages.select("page_id", "url", "html"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = BundleWriter(folder)
         for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
             out: list[tuple] = []
-            for page, url, html, digest, top in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+            for page, url, html, digest, top, place in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "place")), strict=True):
+                if place is not None and bitmap[place >> 3] >> (place & 7) & 1:
+                    continue
                 payload = (html or "").encode()
                 kind = "response" if top is None else "revisit"
                 name = f"urn:page:{'' if page is None else page}"
@@ -146,7 +162,6 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["name", "bundle", "frame", "start", "length"])
         writer.close()
 
-    rows = with_types(pages.select("page_id", "url", "html"))
     return stored(rows.mapInArrow(work, "name string, bundle string, frame long, start long, length long"), "warc-index")
 
 

@@ -65,6 +65,38 @@ def scan(raw: bytes, white: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
+def distinct_words(raw: bytes, white: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of every word of ``raw``, which ends with white space, an occurrence of each distinct word, and its number for every word.
+
+    Words are grouped by hash and then compared byte by byte, so no two different words are taken for one.
+    """
+    hashes, starts, ends = scan(raw, white)
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    if not len(starts):
+        return starts, ends, first, inverse
+    buf, sizes = np.frombuffer(raw, np.uint8), ends - starts
+    same = sizes == sizes[first][inverse]
+    again = np.flatnonzero(same & (np.arange(len(starts)) != first[inverse]))
+    if len(again):
+        own = sizes[again]
+        heads = np.cumsum(own) - own
+        at = np.arange(own.sum()) + np.repeat(starts[again] - heads, own)
+        differ = buf[at] != buf[at + np.repeat(starts[first][inverse[again]] - starts[again], own)]
+        if differ.any():
+            same[again[np.logical_or.reduceat(differ, heads)]] = False
+    if not same.all():
+        extra: dict[bytes, int] = {}
+        more = []
+        for i in np.flatnonzero(~same).tolist():
+            word = raw[starts[i] : ends[i]]
+            if word not in extra:
+                extra[word] = len(first) + len(more)
+                more.append(i)
+            inverse[i] = extra[word]
+        first = np.append(first, more)
+    return starts, ends, first, inverse
+
+
 def words(run: list[bytes], split: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, index of its text in ``run``, index of its line in the text).
 

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -55,6 +56,23 @@ def test_media_round_trip(docs, empty):
     assert media_chunks.media(empty).count() == 0
 
 
+def test_each_distinct_chunk_is_stored_once(spark, docs, empty):
+    from nodeloom.llm.common import scratch
+
+    shared = sentence(7, 4000)
+    rows = [(i, shared if i % 3 else sentence(i, 3000) + shared) for i in range(40)] + [(None, None), (None, ""), (3, "x" * 3_000_000)]
+    folder = scratch(spark, "test-packs")
+    chunks = media_chunks.write_packs(spark.createDataFrame(rows, "id long, text string").repartition(5), folder)
+    places = media_chunks.recipes(chunks, media_chunks.write_shared(chunks, folder)).collect()
+    cut = [p[a:b] for p in (media_chunks.padded(t)[0] for _, t in rows) for ends in [media_chunks.cut_points(p)] for a, b in zip([0, *ends], ends)]
+    distinct = {hashlib.sha256(c).digest() for c in cut}
+    frames = {(r.at_pack, r.at_start): (r.digest, r.at_length) for r in places}
+    assert len(places) == len(cut) > 2 * len(distinct) and {d for d, _ in frames.values()} == distinct and len(frames) == len(distinct)
+    stored = sum(f.stat().st_size for f in Path(folder.removeprefix("file://")).iterdir())
+    assert stored == sum(n for _, n in frames.values())
+    assert media_chunks.media(empty.select(F.col("doc_id"), "text", F.lit(1).alias("digest"))).count() == 0
+
+
 def test_chunk_ends_move_with_the_content():
     data = np.random.default_rng(0).integers(0, 256, 100_000, np.uint8).tobytes()
     a, b = set(media_chunks.cut_points(data)), {x - 7 for x in media_chunks.cut_points(b"shifted" + data)}
@@ -71,6 +89,18 @@ def test_warc(spark):
     assert {i: out[i][2:] for i in out} == {1: ("revisit", 3), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("revisit", 8), 8: ("response", None)}
 
 
+def test_warc_of_repeated_rows_nulls_and_hot_payloads(spark):
+    hot, other = "h" * 5000, "o" * 1000
+    rows = [(i, "u", hot, 1) for i in range(300)] + [(299, "v", hot, 1), (None, "n", hot, 1), (None, None, None, 1), (7, "u", other, 1), (7, "u", other, 1), (8, "x" * 9, "y" * 3_000_000, 1)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    out = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc_bundles.archived_pages(table).collect())
+    sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    top = {t: max(i for i, _, h, _ in rows if h == t and i is not None) for t in (hot, other, "y" * 3_000_000)}
+    revisit = lambda i, t: i is not None and len(t or "") >= 1000 and i < top[t]
+    assert out == Counter((i, len(t or ""), sha(t), "revisit" if revisit(i, t) else "response", top[t] if revisit(i, t) else None) for i, _, t, _ in rows)
+    assert warc_bundles.archived_pages(table.limit(0)).count() == 0
+
+
 def test_mix(spark, docs, empty):
     rows = [(i, "w " * (1 + i * 7 % 50), ["a", "b", "c", None][i * i % 4 if i % 3 else 0]) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -165,6 +195,41 @@ def test_line_dedup_against_all_pairs(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def plain_line_dedup(rows):
+    """(id, text, lines removed) of rows in their order, by all pairs of lines."""
+    lines = [(r, k, line) for r, (_, t) in enumerate(rows) for k, line in enumerate((t or "").split("\n"))]
+    sets = [shingles(x[2]) for x in lines]
+    gone = {(r, k) for i, (r, k, _) in enumerate(lines) if any(sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i))}
+    return [(d, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (r, k) not in gone), sum(x == r for x, _ in gone)) for r, (d, t) in enumerate(rows)]
+
+
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    rows = [(None, "A\nq q"), (None, "z z z\nA"), (None, None), (4, "b b\n" + sentence(1)), (4, "c\nq q\nd d"), (4, "c\nq q\nd d"), (5, "c"), (6, "")]
+    table = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, _removed int, Removed int")
+    out = line_dedup.dedup_lines(table)
+    assert out.columns == ["doc_id", "text", "_removed", "Removed", "_lines", "_removed_"]
+    key = F.struct(F.coalesce("doc_id", F.lit(line_dedup.NULL_ID)), F.coalesce(F.xxhash64("text"), F.lit(0)))
+    order = {r.text: k for k, r in enumerate(table.dropDuplicates(["text"]).orderBy(key).collect())}
+    distinct = sorted({(i, t) for i, t in rows}, key=lambda r: order[r[1]])
+    kept = {(i, t): (new, n) for (i, t), (_, new, n) in zip(distinct, plain_line_dedup(distinct))}
+    assert Counter((r.doc_id, r.text, r._removed_) for r in out.collect()) == Counter((i, *kept[i, t]) for i, t in rows)
+    assert sum("q q" in (r.text or "") for r in out.collect()) in (1, 2)
+
+
+def test_line_dedup_of_long_posting_lists(spark):
+    """Many lines that share a passage: some are near copies of each other, most are not."""
+    rng = np.random.default_rng(11)
+    base = sentence(21, 40).split()
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for at in rng.integers(0, 40, int(rng.integers(0, 4))):
+            words[at] = f"n{rng.integers(0, 30)}"
+        rows.append((k, " ".join(words) + ("\n" + " ".join(base[:12] + [f"t{k % 50}", f"u{rng.integers(0, 9)}"]) if k % 2 else "")))
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text, r._removed) for r in out.collect()) == plain_line_dedup(rows)
+
+
 def test_line_dedup_far_down_a_long_document(spark):
     filler = [""] * 60_000
     near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -197,6 +262,49 @@ def test_token_files_equal_the_tokenizer(spark, empty):
     assert token_files.token_files(empty, f"{TOKENIZERS}/word_bpe_49k.json").count() == 0
 
 
+def test_token_sequences_by_memory_map(spark):
+    from tokenizers import Tokenizer
+
+    from nodeloom.llm.common import scratch
+
+    own = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    rows = [(i, sentence(i, 300), "clash") for i in range(40)] + [(None, "null id", "x"), (5, sentence(5, 300), "x")]
+    folder = scratch(spark, "test-tokens")
+    table = spark.createDataFrame(rows, "doc_id long, text string, start string")
+    shards = token_files.write_shards(table, f"{TOKENIZERS}/word_bpe_49k.json", 2, folder, length=16).orderBy("shard").collect()
+    stream = []
+    for shard in shards:
+        found = token_files.Sequences(f"{folder.removeprefix('file://')}/{shard.name}.arrow")
+        assert shard.first == len(stream)
+        for k in range(len(found)):
+            ids, mask = found[k]
+            assert len(ids) == 16 and (k == len(found) - 1 or all(mask.to_pylist()))
+            stream += ids[np.array(mask.to_pylist())].tolist()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert stream == [x for _, t, _ in order for x in [*own.encode(t, add_special_tokens=False).ids, 2]]
+    assert token_files.token_files(table, f"{TOKENIZERS}/word_bpe_49k.json").count() == 42
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    from tokenizers import Tokenizer
+
+    file = f"{TOKENIZERS}/byte_bpe_50k.json"
+    own, rows = Tokenizer.from_file(file), [sentence(1), "A b  c\n d", "", None]
+    words = token_files.WordEncoder(file)
+    assert not words.by_words and token_files.WordEncoder(f"{TOKENIZERS}/word_bpe_49k.json").lowers
+    assert [x.tolist() for x in words.encode(rows)] == [own.encode(t or "", add_special_tokens=False).ids for t in rows]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    from nodeloom.llm import wordhash
+
+    monkeypatch.setattr(wordhash, "mix", lambda x: x % np.uint64(3))
+    raw = b"one two three two one four xne one\n"
+    starts, ends, first, inverse = wordhash.distinct_words(raw)
+    words = [raw[a:b] for a, b in zip(starts, ends)]
+    assert [words[first[k]] for k in inverse] == words and len({words[i] for i in first}) == len(first)
+
+
 @pytest.mark.parametrize("neighbour", ["Plain Words.", "x<|endoftext|>"])
 def test_token_ids_of_decomposed_capitals(neighbour):
     from tokenizers import Tokenizer

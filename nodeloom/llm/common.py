@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,27 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodeloom.sources.shared import scratch, shared_root
+
 #: Rows up to which the side of a join counts as small enough to broadcast (checked by a count).
 BROADCAST_ROWS = 100_000
-_local_roots: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode when it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.applicationId not in _local_roots:
-        _local_roots[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _local_roots[sc.applicationId]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name (not yet made) in the shared folder."""
-    return f"{shared_root(spark)}/nodeloom/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -59,7 +44,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.folder, self.count = spark, scratch(spark, name), 0
 
-    def store(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def store(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         self.count += 1
         path = f"{self.folder}/{self.count}-{name}"
         df.write.option("compression", codec).parquet(path)
@@ -114,7 +99,25 @@ def in_bitmap(bits: bytes, at: Column) -> Column:
     def marked(at: pd.Series) -> pd.Series:
         return pd.Series((table[at.to_numpy() >> 3] >> (at.to_numpy() & 7)) & 1 == 1)
 
-    return marked(at)
+    return once(marked)(at)
+
+
+def once(function: Callable) -> Callable:
+    """A Python function that Spark neither copies to other places of the plan nor calls twice for a row, as it may with one that it takes for cheap."""
+    return function.asNondeterministic()
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over a partition's batches; the memory that it leaves free goes back to the system, as the worker process lives on."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
 
 
 def may_be_among(rows: DataFrame, key: Column, own: Column, most: int) -> Column:

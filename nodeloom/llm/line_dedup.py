@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import BROADCAST_ROWS, Scratch, bitmap_of, bits_for, free_name, may_be_among
-from nodeloom.llm.wordhash import mix, spans, words
+from nodeloom.llm.common import BROADCAST_ROWS, Scratch, bitmap_of, bits_for, free_name, may_be_among, once, tidy
+from nodeloom.llm.wordhash import mix, scan, spans
 
 #: Counters of the frequency sketch (fixed size) and most bits of a bitmap: what travels with tasks is bounded.
 BINS_LOG2, MOST_BITS = 18, 26
@@ -42,24 +42,31 @@ X = "struct<id: long, h: long, line: int>"
 
 def line_tokens(run: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(token, group) in order of occurrence, repeated ones too, and each group's (text, line): the lines with words."""
-    hashes, text, line = words(run, b"\n")
+    raw = b"\n".join(run) + b"\n"
+    hashes, starts, _ = scan(raw.lower())
     if not len(hashes):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.ones(len(hashes), bool)
-    new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
-    heads = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
+    breaks = np.frombuffer(raw, np.uint8) == 10
+    place = np.cumsum(breaks)[starts]  # lines of all texts, numbered through
+    heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     counts = np.diff(np.append(heads, len(hashes)))
+    offsets = np.append(0, np.cumsum([len(x) + 1 for x in run])[:-1])
+    firsts = np.searchsorted(np.flatnonzero(breaks), offsets)
+    text = np.searchsorted(firsts, place[heads], "right") - 1
+    line = place[heads] - firsts[text]
     factor = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
-    padded = np.concatenate([hashes, np.zeros(width, np.uint64)])
+    n = max(0, len(hashes) - width + 1)
     sums = np.zeros(len(hashes), np.uint64)
-    left = counts[group] - (np.arange(len(hashes)) - heads[group])  # words to the end of the line
     for k in range(width):
-        sums += np.where(left > k, padded[k : k + len(hashes)] * factor[k], np.uint64(0))
-    short = counts[group] < width
-    sums = mix(sums + np.where(short, counts[group], 0).astype(np.uint64))
-    at = np.flatnonzero((left >= width) | (short & new))
-    return sums[at], group[at], text[heads], line[heads]
+        sums[:n] += hashes[k : k + n] * factor[k]
+    short = np.flatnonzero(counts < width)  # their whole sequence, and its length, is the token
+    sums[heads[short]] = counts[short].astype(np.uint64)
+    for k in range(width - 1):
+        own = short[counts[short] > k]
+        sums[heads[own]] += hashes[heads[own] + k] * factor[k]
+    many = np.maximum(counts - width + 1, 1)
+    at = np.arange(many.sum()) + np.repeat(heads - (np.cumsum(many) - many), many)
+    return mix(sums[at]), np.repeat(np.arange(len(heads)), many), text, line
 
 
 def _bin(tokens: np.ndarray) -> np.ndarray:
@@ -98,7 +105,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
             at = used[lo : lo + (1 << 16)]
             yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(bins[at])], ["bin", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(tidy(count), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     bins = np.zeros(1 << BINS_LOG2, np.int64)
     bins[rows.column("bin").to_numpy()] = rows.column("n").to_numpy()
     ranks = np.empty(len(bins), np.int32)
@@ -127,17 +134,24 @@ def line_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 columns = [ids[first + text], more[first + text], line.astype(np.int32), d1.view(np.int64), d2.view(np.int64), n.astype(np.int32)]
                 yield pa.record_batch([*map(pa.array, columns), lists], ["id", "h", "line", "d1", "d2", "n", "prefix"])
 
-    rows = docs.select("id", "h", "text").mapInArrow(build, "id long, h long, line int, d1 long, d2 long, n int, prefix array<long>")
+    rows = docs.select("id", "h", "text").mapInArrow(tidy(build), "id long, h long, line int, d1 long, d2 long, n int, prefix array<long>")
     return rows.select(F.struct("id", "h", "line").alias("x"), "d1", "d2", "n", "prefix")
 
 
 def _copies(lines: DataFrame) -> DataFrame:
-    """(x) of the lines whose token set an earlier line has: only classes of several lines are joined."""
-    classes = lines.groupBy("d1", "d2").agg(F.min("x").alias("first"), F.count("*").alias("c")).where("c > 1")
-    return lines.select("x", "d1", "d2").join(classes.select("d1", "d2", "first"), ["d1", "d2"]).where("x <> first").select("x").distinct()
+    """(x) of the lines whose token set an earlier line has. Only classes of several lines are joined and looked through."""
+    again = lines.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
+    rows = lines.select("x", "d1", "d2").join(again, ["d1", "d2"])
+    firsts = rows.groupBy("d1", "d2").agg(F.min("x").alias("first"))
+    return rows.join(firsts, ["d1", "d2"]).where("x <> first").select("x")
 
 
-def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch) -> DataFrame:
+def _once(rows: DataFrame, repeated: bool) -> DataFrame:
+    """One row per line x: only rows that are equal in id and text have the same lines."""
+    return rows.dropDuplicates(["x"]) if repeated else rows
+
+
+def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch, repeated: bool) -> DataFrame:
     """(tok, x, n, pos, c, y, m, q): the lines of each posting list of c > 1 first lines of classes; y is its first line."""
     low = F.col("tok").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")  # half the bytes; a shared value only costs rows
     again = tables.store(lines.select(F.explode("prefix").alias("tok")).groupBy(low.alias("low")).count().where("count > 1").select("low"), "repeated-tokens")
@@ -159,8 +173,8 @@ def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch) -> DataFrame
             taken = [batch.column(c).take(pa.array(rows)) for c in ("x", "n")]
             yield pa.record_batch([*taken, pa.ListArray.from_arrays(cuts, pa.array(flat[hit])), pa.ListArray.from_arrays(cuts, pa.array(pos))], ["x", "n", "tok", "pos"])
 
-    rows = lines.select("x", "n", "prefix").mapInArrow(keep, f"x {X}, n int, tok array<long>, pos array<int>")
-    rows = tables.store(rows.join(copies, "x", "left_anti").dropDuplicates(["x"]), "postings")
+    rows = lines.select("x", "n", "prefix").mapInArrow(tidy(keep), f"x {X}, n int, tok array<long>, pos array<int>")
+    rows = tables.store(_once(rows.join(copies, "x", "left_anti"), repeated), "postings")
     rows = rows.select("x", "n", F.explode(F.arrays_zip("tok", "pos")).alias("p")).select("p.tok", "x", "n", "p.pos")
     heads = rows.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("x", "n", "pos")).alias("y")).where("c > 1")
     heads = heads.select("tok", "c", F.col("y.x").alias("y"), F.col("y.n").alias("m"), F.col("y.pos").alias("q"))
@@ -172,7 +186,7 @@ def _wanted(key: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(f"{key}id", f"{key}h"), F.lit(1 << bits))
 
 
-def _line_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def _line_sets(docs: DataFrame, nodes: DataFrame, width: int, repeated: bool) -> DataFrame:
     """(x, tokens) of the wanted lines (x), and a few others: only these lines of a text are cut into tokens."""
     bits = bits_for(nodes.count(), MOST_BITS)
     place = F.pmod(_wanted("x.", bits) + F.col("x.line").cast("long") * F.lit(STEP), F.lit(1 << bits))
@@ -198,8 +212,8 @@ def _line_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                     columns = [ids[first + text[row]], more[first + text[row]], line[row].astype(np.int32)]
                     yield pa.record_batch([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(cuts), pa.array(tokens.view(np.int64)))], ["id", "h", "line", "tokens"])
 
-    rows = docs.select("id", "h", "text", _wanted("", bits).alias("place")).mapInArrow(keep, "id long, h long, line int, tokens array<long>")
-    return rows.select(F.struct("id", "h", "line").alias("x"), "tokens").dropDuplicates(["x"])
+    rows = docs.select("id", "h", "text", _wanted("", bits).alias("place")).mapInArrow(tidy(keep), "id long, h long, line int, tokens array<long>")
+    return _once(rows.select(F.struct("id", "h", "line").alias("x"), "tokens"), repeated)
 
 
 def _near(num: int, den: int) -> Column:
@@ -292,26 +306,29 @@ def _long_matches(lists: DataFrame, gone: DataFrame, sets: DataFrame, num: int,
         if done.any():
             yield found()
 
-    rows = both.select("tok", "i", "j", "side", "x.id", "x.h", "x.line", "tokens").mapInArrow(compare, "id long, h long, line int")
+    rows = both.select("tok", "i", "j", "side", "x.id", "x.h", "x.line", "tokens").mapInArrow(tidy(compare), "id long, h long, line int")
     return rows.select(F.struct("id", "h", "line").alias("x"))
 
 
-def removed_lines(docs: DataFrame, tables: Scratch, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, h, removed): per document of docs(id, h, text) that loses lines, their sorted numbers from 0."""
+def removed_lines(docs: DataFrame, tables: Scratch, repeated: bool, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(id, h, removed): per document of docs(id, h, text) that loses lines, their sorted numbers from 0.
+
+    ``repeated`` says whether several rows may have the same id and h.
+    """
     lines = tables.store(line_table(docs, width, num, den), "lines")
     copies = tables.store(_copies(lines), "copies")
-    lists = _postings(lines, copies, tables)
+    lists = _postings(lines, copies, tables, repeated)
     positional = f"{num + den} * (least(pos, q) + least(n - pos, m - q)) >= {num} * (n + m)"
     star = tables.store(lists.where("x <> y").where(_near(num, den)).where(positional).select("x", "y").distinct(), "star")
-    sets = tables.store(_line_sets(docs, star.select("x").union(star.select("y")).distinct(), width), "line-sets")
+    sets = tables.store(_line_sets(docs, star.select("x").union(star.select("y")), width, repeated), "line-sets")
     gone = tables.store(_matched(star, sets, num, den).distinct(), "gone")
     open_lines = lists.where("c > 2").join(gone, "x", "left_anti")
     pairs = tables.store(_short_pairs(lists, open_lines, num, den).join(star, ["x", "y"], "left_anti"), "pairs")
     long = lists.where(F.col("c") > SHORT)
-    sets = tables.store(_line_sets(docs, pairs.select("x").union(pairs.select("y")).union(long.select("x")).distinct(), width), "line-sets")
+    sets = tables.store(_line_sets(docs, pairs.select("x").union(pairs.select("y")).union(long.select("x")), width, repeated), "line-sets")
     more = _matched(pairs, sets, num, den).union(_long_matches(long, gone, sets, num, den))
-    every = copies.union(gone).union(more).distinct()
-    return every.groupBy("x.id", "x.h").agg(F.array_sort(F.collect_list("x.line")).alias("removed"))
+    every = copies.union(gone).union(more)
+    return every.groupBy("x.id", "x.h").agg(F.array_sort(F.collect_set("x.line")).alias("removed"))
 
 
 def _small(gone: DataFrame) -> bool:
@@ -333,7 +350,7 @@ def _without(text: Column, removed: Column) -> Column:
     def without(text: pd.Series, removed: pd.Series) -> pd.Series:
         return pd.Series([rest(t, gone) for t, gone in zip(text, removed, strict=True)], dtype=object)
 
-    return without(text, removed)
+    return once(without)(text, removed)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -348,8 +365,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables = Scratch(docs.sparkSession, "line-dedup")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     again = tables.store(docs.groupBy(key.alias("id")).count().where("count > 1").select("id"), "repeated-ids")
-    h = F.lit(0).cast("long") if again.isEmpty() else F.when(may_be_among(again, F.col("id"), key, MOST_BITS), F.xxhash64(text_col)).otherwise(0)
-    gone = removed_lines(docs.select(key.alias("id"), h.alias("h"), F.col(text_col).alias("text")), tables, width, num, den)
+    repeated = not again.isEmpty()
+    h = F.lit(0).cast("long") if not repeated else F.when(may_be_among(again, F.col("id"), key, MOST_BITS), F.xxhash64(text_col)).otherwise(0)
+    gone = removed_lines(docs.select(key.alias("id"), h.alias("h"), F.col(text_col).alias("text")), tables, repeated, width, num, den)
     gone = Scratch(docs.sparkSession, "removed-lines").store(gone, "removed")
     tables.drop()
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("id"), h.alias("h"))

@@ -110,7 +110,67 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, t.component_id
 from documents d left join n on d.doc_id = n.doc_id join (select u, min(v) as component_id from reach group by u) t on d.doc_id = t.u
 """
 
+#: Lines by their shingles, all pairs of lines that share one, and the texts without the lines that have an earlier match.
+OP6_SQL = """
+with l as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k from documents where text is not null),
+w as (
+  select doc_id, k, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from l),
+s as (
+  select distinct doc_id, k, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+n as (select doc_id, k, count(*) as n from s group by all),
+p as (
+  select a.doc_id as d, a.k as k, b.doc_id as e, b.k as j, count(*) as c from s a join s b
+  on a.g = b.g and (b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.k < a.k)) group by all),
+gone as (
+  select distinct p.d, p.k from p join n x on p.d = x.doc_id and p.k = x.k join n y on p.e = y.doc_id and p.j = y.k where 100 * c >= 80 * (x.n + y.n - c)),
+r as (
+  select l.doc_id, count(*) as n_lines, count(g.d) as n_removed, string_agg(case when g.d is null then line end, chr(10) order by l.k) as t
+  from l left join gone g on l.doc_id = g.d and l.k = g.k group by l.doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(case when d.text is not null then coalesce(r.t, '') end) as text_sha256
+from documents d left join r on d.doc_id = r.doc_id
+"""
+
+#: kind, pattern over the text or (True) the text in lower case, least characters of group 2; group 1 stands in front of the span,
+#: or (False) is part of it. Fixed values, written out anew for DuckDB.
+_RULES_SQL = (
+    ("assign", r"""()(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""", True, 12),
+    ("access", "()(AKIA[A-Z0-9]+)", False, 18),
+    ("hex", "()([0-9a-f]+)", False, 16),
+    ("private_key", "()(-----BEGIN [A-Z ]*PRIVATE KEY-----)", False, 0),
+    ("github", "()(gh[pousr]_[A-Za-z0-9]{36,})", False, 0),
+    ("slack", "()(xox[abprs]-[A-Za-z0-9-]{10,})", False, 0),
+    ("jwt", r"(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", False, 0),
+    ("google", "()(AIza[A-Za-z0-9_-]{35})", False, 0),
+    ("bearer", r"()(bearer\x20+[a-z0-9._~+/=-]{20,})", True, 0),
+)
+
+
+def _rule_sql(order: int, kind: str, pattern: str, low: bool, least: int) -> str:
+    """(doc_id, kind, o, s, e) of a rule's matches: the parts between them give their places."""
+    text, pattern = ("low" if low else "t"), pattern.replace("'", "''")
+    return f"""select doc_id, '{kind}' as kind, {order} as o, cast(s as bigint) as s, cast(s + n as bigint) as e from (
+  select doc_id, len(v[i]) as size, len(m[i]) - len(a[i]) as n,
+    list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))), 0) + len(a[i]) as s
+  from (select *, unnest(range(1, len(m) + 1)) as i from (
+    select doc_id, regexp_extract_all({text}, '{pattern}') as m, regexp_extract_all({text}, '{pattern}', 1) as a, regexp_extract_all({text}, '{pattern}', 2) as v,
+      regexp_split_to_array({text}, '{pattern}') as p from d))) where size >= {least}"""
+
+
+#: Matches of every rule with their places, base kinds counted and hashed.
+OP10_SQL = (
+    "with d as (select doc_id, coalesce(text, '') as t, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents),\nx as ("
+    + "\nunion all ".join(_rule_sql(k, *rule) for k, rule in enumerate(_RULES_SQL))
+    + """),
+f as (select *, concat(kind, ':', s, ':', e) as one from x)
+select d.doc_id, count(*) filter (where o = 0) as n_assign, count(*) filter (where o = 1) as n_access, count(*) filter (where o = 2) as n_hex,
+  sha256(coalesce(string_agg(one, ',' order by s, o) filter (where o < 3), '')) as base_sha256, coalesce(string_agg(one, ',' order by s, o), '') as spans
+from d left join f on d.doc_id = f.doc_id group by d.doc_id"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; tests hold the others against brute force."""
-    return {"op2_warc_bundles": OP2_SQL, "op4_vector_neighbors": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL}
+    return {"op2_warc_bundles": OP2_SQL, "op4_vector_neighbors": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_secret_scan": OP10_SQL}

@@ -42,7 +42,7 @@ ADDED = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", 0),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/=-]{20,}", 0, 0, re.ASCII | re.IGNORECASE),
 )
@@ -173,7 +173,7 @@ class Scanner:
         """Per named trigram the sorted documents that hold it."""
         buf = _lower(np.frombuffer(raw, np.uint8)).astype(np.int32)
         code = (buf[:-2] << 16) | (buf[1:-1] << 8) | buf[2:]
-        table = np.zeros(1 << 24, np.uint8)
+        table = np.zeros(1 << 24, np.uint16 if len(self.codes) < 1 << 16 else np.int32)
         table[self.codes] = np.arange(1, len(self.codes) + 1)
         at = np.flatnonzero(table[code])
         which, doc = table[code[at]].astype(np.int64) - 1, np.searchsorted(offsets, at, "right") - 1

@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A BPE model never joins a letter with a space mark behind it, so a text is a row of independent
-units: a run of space marks and the letters that follow. The distinct new units of a batch are
-laid end to end; a suffix array over that text is searched for every piece of the vocabulary, which
-gives the range of its occurrences; the occurrences are edges, sorted by end position, and one pass
+units: a run of space marks and the letters that follow. The units of a batch are laid end to end, each distinct one once, as
+equal units have equal paths (those of the batches before are kept); a suffix array over that text is searched for every
+piece of the vocabulary, which gives the range of its occurrences; the occurrences are edges, sorted by end position, and one pass
 over them relaxes each position: an edge extends the path to its start if its piece may follow the
 last piece there, that is, if merging the two pieces' characters gives these two pieces again.
-Exactly one last piece is possible at each position, so the path equals the model's own merges.
+Exactly one last piece is possible at each position, so the path equals the model's own merges. All units go this way:
+runs of space marks and control characters too.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.wordhash import BLANK, scan, spans
+from nodeloom.llm.common import tidy
+from nodeloom.llm.wordhash import BLANK, distinct_words, spans
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-ODD = re.compile(f"  |^ | $|[{MARK}\0]", re.ASCII)
+ODD = re.compile(f"  |^ | $|{MARK}", re.ASCII)
+#: Texts on which a model's own encoder must agree: no normalisation, its kind of merges, bytes for what is no piece.
+PROBES = ("", "a b", "  two  blanks ", "ﬁ Å① ｗｉｄｅ é\u0301", "\0 \0\0x", "漢字 𝔘𝔘", "tab\tand\nlines\n\n", "▁ mark▁▁", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa bbbb", " " * 40)
 #: Characters indexed at once; bytes of text whose words are looked up at once; units and verdicts kept between batches.
 SPAN, RUN, UNITS_KEPT, VERDICTS_KEPT = 1_500_000, 1 << 21, 400_000, 1_000_000
 #: Longest unit that is relaxed together with others, in characters.
@@ -36,7 +40,7 @@ TEXT_SPAN = 2_000_000
 
 
 class Codec:
-    """Encoder and decoder for one BPE model file with byte fallback and identity normalisation."""
+    """Encoder and decoder for one BPE model file with byte fallback and identity normalisation (any other file is an error)."""
 
     def __init__(self, model_file: str) -> None:
         import sentencepiece
@@ -56,10 +60,14 @@ class Codec:
         self.depth = int(self.lengths.max())
         self.codes = np.zeros((len(pieces), self.depth), np.int64)
         for row, piece in enumerate(pieces):
-            self.codes[row, : len(piece)] = [ord(c) for c in piece]
+            self.codes[row, : len(piece)] = [ord(c) + 1 for c in piece]
+        if any(MARK in piece.lstrip(MARK) for piece in pieces):
+            raise ValueError("a piece of the model has a letter in front of a space mark: its texts are no row of units")
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.keys, self.verdicts = np.array([-1]), np.array([False])
+        if [ids.tolist() for ids in self.encode(list(PROBES))] != [model.encode(t) for t in PROBES]:
+            raise ValueError("the model normalises texts or merges in another way")
 
     def merged(self, text: str) -> list[str]:
         """The model's merges on a short text, one by one: best score first, leftmost among equals."""
@@ -125,7 +133,7 @@ class Codec:
         bare &= codes > 0
         more = np.flatnonzero(bare)
         start, length = np.append(start, more), np.append(length, 1 + 0 * more)
-        token = np.append(token, -codes[more] - 2)
+        token = np.append(token, -codes[more] - 1)
         return start, start + length, token
 
     def judge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -189,9 +197,11 @@ class Codec:
 
     def learn(self, units: list[str]) -> None:
         """Put the ids of the units (as 32-bit integers) into ``known``."""
-        codes = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.array([len(u) for u in units])
         first = np.append(0, np.cumsum(sizes + 1)[:-1])
+        codes = np.zeros(int((sizes + 1).sum()), np.int64)  # a character's code point and one, 0 behind each unit
+        letters = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes[np.arange(len(letters)) + np.repeat(np.arange(len(units)), sizes)] = letters.astype(np.int64) + 1
         last, back = self.relax(*self.edges(codes), first, sizes)
         at, owner = first + sizes, np.arange(len(units))
         paths, owners = [], []
@@ -254,8 +264,7 @@ class Codec:
     def _encode_plain(self, run: list[bytes]) -> list[np.ndarray]:
         """Texts whose words are parted by single spaces: each distinct word is looked up once."""
         raw = b" ".join(run) + b" "
-        hashes, starts, ends = scan(raw, BLANK)
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        starts, ends, first, inverse = distinct_words(raw, BLANK)
         units = [MARK + raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         self._ready(units)
         ids = [self.known[u] for u in units]
@@ -268,48 +277,10 @@ class Codec:
         return [tokens[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _encode_odd(self, text: str) -> np.ndarray:
-        """A text with runs of spaces, or with the mark or the index's separator as letters."""
+        """A text with runs of spaces, or with the mark as a letter."""
         row = UNIT.findall(MARK + text.replace(" ", MARK))
-        self._ready(list({u for u in row if "\0" not in u and not u.startswith(MARK * 2)}))
-        get = self.known.get
-        return np.frombuffer(b"".join(get(u) or self.ids_of(self.merged_long(u)) for u in row), np.int32)
-
-    def merged_long(self, unit: str) -> list[str]:
-        """Merges for the rare units that the index can't hold: runs of space marks, and the separator."""
-        import heapq
-
-        parts: list[str | None] = list(unit)
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap: list[tuple[float, int, str]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(parts):
-                both = parts[i] + parts[j]
-                if both in self.scores:
-                    heapq.heappush(heap, (-self.scores[both], i, both))
-
-        for i in range(len(parts)):
-            offer(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            if parts[i] is None or (j := after[i]) >= len(parts) or parts[i] + parts[j] != both:
-                continue
-            parts[i], parts[j] = both, None
-            after[i] = after[j]
-            if after[j] < len(parts):
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [p for p in parts if p is not None]
-
-    def ids_of(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for piece in pieces:
-            own = self.ids.get(piece)
-            out += [own] if own is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return np.array(out, np.int32).tobytes()
+        self._ready(list(set(row)))
+        return np.frombuffer(b"".join([self.known[u] for u in row]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: piece marks become spaces, the first space is the model's own."""
@@ -355,4 +326,4 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                 lo = hi
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
-    return rows.mapInArrow(work, f"`{id_col}` long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(tidy(work), f"`{id_col}` long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")

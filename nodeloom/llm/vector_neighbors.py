@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from nodeloom.llm.common import connected_components, sized, stored
+from nodeloom.llm.common import connected_components, sized, stored, tidy
 
 TABLES, HASHES, PROBES, BLOCK = 8, 2, 2, 1024
 
@@ -80,42 +81,41 @@ def buckets(vectors: np.ndarray) -> np.ndarray:
     order = gap.argsort(2)[:, :, :PROBES]
     change = np.take_along_axis((second - best) * powers, order, 2)
     keys[:, :, 1 : 1 + order.shape[2]] = home[:, :, None] + change
-    return keys
+    return np.where(keys < 0, -1, keys % ((1 << 31) - 1)).astype(np.int32)  # only beyond 16,384 dimensions do buckets fall together
 
 
-def unit(row: np.ndarray) -> np.ndarray | None:
-    """The row in double precision with length one; None if it is zero or not finite."""
-    x = row.astype(float)
-    if not len(x) or not np.isfinite(x).all():
-        return None
-    most = np.abs(x).max()
-    if most == 0:
-        return None
-    x = x / most
-    return x / np.sqrt((x * x).sum())
+def units(rows: np.ndarray) -> np.ndarray:
+    """The rows (finite, none of them zero) in double precision with length one."""
+    x = rows.astype(float)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def prepared(batch: pa.RecordBatch) -> list[np.ndarray | None]:
-    return [unit(np.array(v, float)) if v is not None and None not in v else None for v in batch.column("v").to_pylist()]
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, ends) of a list column without nulls."""
+    ends = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), ends - ends[0]
 
 
 def meetings(classes: DataFrame) -> DataFrame:
-    """A row (label, dim, tab, bucket, home) plus the class's columns for each bucket that it is in."""
+    """A row (label, dim, tab, bucket, home) plus the class's columns (node, m, v) for each bucket that it is in."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
-            rows = prepared(batch)
-            for d in sorted({len(r) for r in rows if r is not None}):
-                own = [i for i, r in enumerate(rows) if r is not None and len(r) == d]
-                keys = buckets(np.stack([rows[i] for i in own]))
+            flat, ends = _flat(batch.column("v"))
+            sizes = np.diff(ends)
+            for d in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == d)
+                keys = buckets(units(flat[(ends[own][:, None] + np.arange(d)).ravel()].reshape(len(own), d)))
                 at = np.argwhere(keys >= 0)
-                part = batch.take(pa.array([own[i] for i in at[:, 0]]))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * keys[0].size), pa.array(keys.reshape(len(own), -1)[at[:, 0]].ravel()))
-                columns = [part.column(c) for c in ("id", "label", "m", "v")]
-                more = [pa.array(np.full(len(at), d, np.int32)), pa.array(at[:, 1].astype(np.int32)), pa.array(keys[tuple(at.T)]), pa.array(at[:, 2] == 0), flat]
-                yield pa.record_batch(columns + more, ["id", "label", "m", "v", "dim", "tab", "bucket", "home", "keys"])
+                part = batch.take(pa.array(own[at[:, 0]]))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * keys[0].size), pa.array(keys.reshape(len(own), -1)[at[:, 0]].ravel()))
+                columns = [part.column(c) for c in ("node", "label", "m", "v")]
+                more = [pa.array(np.full(len(at), d, np.int32)), pa.array(at[:, 1].astype(np.int32)), pa.array(keys[tuple(at.T)]), pa.array(at[:, 2] == 0), lists]
+                yield pa.record_batch(columns + more, ["node", "label", "m", "v", "dim", "tab", "bucket", "home", "keys"])
 
-    return classes.select("id", "label", "m", "v").mapInArrow(work, "id long, label long, m long, v array<float>, dim int, tab int, bucket long, home boolean, keys array<long>")
+    kind = dict(classes.dtypes)["v"]
+    return classes.select("node", "label", "m", "v").mapInArrow(tidy(work), f"node long, label long, m long, v {kind}, dim int, tab int, bucket int, home boolean, keys array<int>")
 
 
 def compare(tab: int, bucket: int, a: dict, b: dict | None, least: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -159,76 +159,87 @@ def compare(tab: int, bucket: int, a: dict, b: dict | None, least: float) -> tup
 
 
 def found_links(rows: DataFrame, least: float) -> DataFrame:
-    """(id, n, other) from the bucket rows: n adds to the links of id, other (if not null) is linked with it."""
+    """(node, n, other) from the bucket rows: n adds to the links of node, other (if not null) is linked with it."""
     bucket = ["label", "dim", "tab", "bucket"]
     large = rows.groupBy(*bucket).agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).withColumn("blocks", F.ceil(F.col("c") / BLOCK)).drop("c")
     rows = rows.join(sized(stored(large, "large-buckets")), bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
     keys = [*bucket, "lo", "hi"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now: tuple = ()
+        held: list[tuple[np.ndarray, ...]] = []
 
         def done() -> tuple[list, list]:
-            if len(held) < 2:
+            if sum(len(h[0]) for h in held) < 2:
                 return [], []
-            sides = []
+            block, node, many, home, lists, x = (np.concatenate(part) for part in zip(*held, strict=True))
+            x, sides = units(x), []
             for side in (now[4], now[5]) if now[4] != now[5] else (now[4],):
-                own = [h for h in held if h[0] == side]
-                sides.append({"id": np.array([h[1] for h in own], np.int64), "m": np.array([h[2] for h in own], float), "home": np.array([h[3] for h in own], bool), "keys": np.array([h[4] for h in own], np.int64).reshape(len(own), TABLES, 1 + PROBES), "x": np.stack([unit(np.array(h[5], float)) for h in own]) if own else None})
-            if any(s["x"] is None for s in sides):
+                own = block == side
+                sides.append({"id": node[own], "m": many[own].astype(float), "home": home[own], "keys": lists[own].reshape(-1, TABLES, 1 + PROBES), "x": x[own]})
+            if any(not len(s["id"]) for s in sides):
                 return [], []
             return compare(now[2], now[3], sides[0], sides[1] if len(sides) > 1 else None, least)
 
         def told(totals: list, forest: list) -> pa.RecordBatch:
-            ids = [x for x, _ in totals] + [x for x, _ in forest]
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.array([c for _, c in totals] + [0] * len(forest), pa.int64()), pa.array([None] * len(totals) + [y for _, y in forest], pa.int64())], ["id", "n", "other"])
+            nodes = [x for x, _ in totals] + [x for x, _ in forest]
+            return pa.record_batch([pa.array(nodes, pa.int64()), pa.array([c for _, c in totals] + [0] * len(forest), pa.int64()), pa.array([None] * len(totals) + [y for _, y in forest], pa.int64())], ["node", "n", "other"])
 
         for batch in batches:
-            key_rows = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
-            same = [key_rows[i] == (key_rows[i - 1] if i else now) for i in range(len(key_rows))]
-            lists, vectors = batch.column("keys"), batch.column("v")
-            block, ids, many, home = (batch.column(c).to_pylist() for c in ("block", "id", "m", "home"))
+            columns = [batch.column(c).to_numpy() for c in keys]
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "node", "m", "home")]
+            (lists, _), (flat, ends) = _flat(batch.column("keys")), _flat(batch.column("v"))
+            lists = lists.reshape(batch.num_rows, -1)
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+            cuts = np.append(np.flatnonzero(new), batch.num_rows)
+            # a bucket of one row has no pairs; the first and the last one may go on in other batches
+            cuts = [(a, b) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b - a > 1 or k in (0, len(cuts) - 2)]
             totals, forest = [], []
-            for i, key in enumerate(key_rows):
-                if not same[i]:
-                    if len(held) > 1:
-                        more = done()
-                        totals += more[0]
-                        forest += more[1]
+            for a, b in cuts:
+                key = tuple(int(c[a]) for c in columns)
+                if key != now:
+                    for part, more in zip((totals, forest), done(), strict=True):
+                        part += more
                     now, held = key, []
-                alone = not same[i] and i + 1 < len(key_rows) and not same[i + 1]
-                if not alone:
-                    held.append((block[i], ids[i], many[i], home[i], lists[i].values.to_numpy(), vectors[i].values.to_numpy()))
+                held.append((*(c[a:b].copy() for c in own), lists[a:b].copy(), flat[ends[a] : ends[b]].reshape(b - a, -1).copy()))
             yield told(totals, forest)
         yield told(*done())
 
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return rows.select(*keys, "block", "id", "m", "home", "keys", "v").mapInArrow(work, "id long, n long, other long")
+    return rows.select(*keys, "block", "node", "m", "home", "keys", "v").mapInArrow(tidy(work), "node long, n long, other long")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Only vectors with equal non-null labels and equal dimensions are compared. Vectors that are null, empty,
-    zero, or hold null or non-finite values link with nothing. A row with a null id counts for others as
-    a member of its class only, has null component_id and is not kept. Rows that share an id each count. An empty
-    table gives an empty result; other columns are ignored.
+    zero, or hold null or non-finite values link with nothing. A row with a null id counts for others, has a null component_id
+    and is not kept. Rows that share an id each count, and each has the links of its own vector. Vectors of doubles stay doubles. An
+    empty table gives an empty result; other columns are ignored.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
+    kind = vectors.schema[vector_col].dataType
+    kind = "array<float>" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast(kind).alias("v"))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(whole & F.col("label").isNotNull(), F.lit(False))
     # -0.0 equals 0.0
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float"))).withColumn("k", F.when(usable, F.sha2(F.to_json(F.struct("label", "v")).cast("binary"), 256)))
-    classes = rows.where("k is not null").groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("m"))
-    firsts = rows.where("k is not null and id is not null").join(classes, ["k", "id"]).dropDuplicates(["k", "id"])
-    found = stored(found_links(meetings(firsts), least), "vector-links")
-    links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    components = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    tops = classes.withColumnRenamed("id", "top").join(links.withColumnRenamed("id", "top"), "top", "left").join(components.toDF("top", "component"), "top", "left")
-    out = rows.join(tops, "k", "left")
-    top = F.when(F.col("id").isNotNull(), F.coalesce("component", "top", "id"))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(kind[6:-1]))).withColumn("k", F.when(usable, F.sha2(F.to_json(F.struct("label", "v")).cast("binary"), 256)))
+    classes = rows.where("k is not null").groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
+    # a class is a node named by its smallest id, or by a hash if it has none or another class has the same
+    shared = classes.where("id is not null").groupBy("id").count().where("count > 1").select("id", F.lit(1).alias("shared"))
+    classes = classes.join(sized(shared), "id", "left").withColumn("node", F.when(F.col("shared").isNull() & F.col("id").isNotNull(), F.col("id")).otherwise(F.xxhash64("k")))
+    classes = stored(classes.select("k", "id", "m", "label", "v", "node"), "vector-classes")
+    found = stored(found_links(meetings(classes), least), "vector-links")
+    links = found.groupBy("node").agg(F.sum("n").alias("n"))
+    components = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    tops = classes.select("k", "id", "m", "node").join(links, "node", "left").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least_ids = tops.groupBy("component").agg(F.min("id").alias("top"))
+    tops = tops.join(least_ids, "component").select("k", "m", "n", "top")
+    out = rows.select("id", "k").join(tops, "k", "left")
+    top = F.when(F.col("id").isNotNull(), F.coalesce("top", "id"))
     n = F.coalesce(F.col("m") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long")
     return out.select(F.col("id").alias(id_col), n.alias("n_links"), top.alias("component_id"), F.coalesce(F.col("id") == top, F.lit(False)).alias("kept"))

@@ -159,6 +159,19 @@ def test_vectors_against_all_pairs(spark):
     assert all(out[i].n_links == 0 for i in (900, 901, 902, 903))
 
 
+def test_vectors_of_shared_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(vector_neighbors, "BLOCK", 8)  # buckets of several blocks
+    rng = np.random.default_rng(4)
+    one, two = rng.normal(size=8), rng.normal(size=8)
+    near = lambda v, e=0.01: (v + rng.normal(size=8) * e).tolist()
+    rows = [(1, near(one), 0, 9.0), (1, near(two), 0, 9.0), (2, near(one), 0, 9.0), (3, near(two), 0, 9.0), (None, near(one), 0, 9.0), (None, None, 0, 9.0), (4, near(one), None, 9.0), (5, [], 0, 9.0)]
+    rows += [(20 + i, near(one, 1e-6), 1, 9.0) for i in range(40)] + [(70, rows[0][1], 0, 9.0)]
+    out = vector_neighbors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, component double")).collect()
+    found = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
+    assert found == Counter([(1, 3, 1, True), (1, 1, 1, True), (2, 3, 1, False), (3, 1, 1, False), (None, 3, None, False), (None, 0, None, False), (4, 0, 4, True), (5, 0, 5, True), (70, 3, 1, False)] + [(20 + i, 39, 20, i == 0) for i in range(40)])
+    assert vector_neighbors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
 def groups(sets):
     top = list(range(len(sets)))
     for i in range(len(sets)):
@@ -244,10 +257,27 @@ def test_sentencepiece_equals_the_model(docs, empty):
 
     model = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
     for r in sentencepiece_codec.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model").collect():
-        assert r.ids == model.encode(texts()[r.doc_id - 1] or "") and r.round_trip and r.n_tokens == len(r.ids)
+        ids = model.encode(texts()[r.doc_id - 1] or "")
+        assert r.ids == ids and r.round_trip and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<i4").tobytes())
     assert sentencepiece_codec.encode_documents(empty, f"{TOKENIZERS}/piece_bpe_32k.model").count() == 0
 
 
+def test_sentencepiece_of_odd_texts_and_decoding(spark):
+    import sentencepiece
+
+    file = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model, rng = sentencepiece.SentencePieceProcessor(model_file=file), np.random.default_rng(8)
+    pool = ["the", "  ", " ", "   ", "\0", "\n", "\t", "▁", "é", "漢", "ing", "aa", ".", "𝔘", "1", " a", "ﬁ"]
+    rows = ["".join(pool[k] for k in rng.integers(0, len(pool), int(n))) for n in rng.integers(1, 60, 400)] + [" " * 3000, "a" * 3000, "\0" * 200, "x  y\0 " * 2000]
+    codec = sentencepiece_codec.Codec(file)
+    found = codec.encode(rows)
+    assert [x.tolist() for x in found] == [model.encode(t) for t in rows]
+    assert [codec.decode(x) for x in found] == [model.decode(x.tolist()) for x in found]
+    table = spark.createDataFrame([(None, "a b", 1), (None, None, 2), (3, "x" * 2_000_00 + " y", 3), (3, "a b", 3), (3, "a b", 3)], "doc_id long, text string, ids int")
+    out = sentencepiece_codec.encode_documents(table, file).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in out) == sorted((i is None, len(model.encode(t or ""))) for i, t in ((None, "a b"), (None, None), (3, "x" * 200_000 + " y"), (3, "a b"), (3, "a b")))
+
+
 def test_token_files_equal_the_tokenizer(spark, empty):
     from tokenizers import Tokenizer
 
@@ -413,17 +443,3 @@ def test_trigram_queries_are_implied(pattern):
     for t in ("abc1xyz", "bcdee", "acd", "bcd", "abd22xyz", "abcdee", ""):
         if re.search(pattern, t):
             assert query is True or any(all(g in t.encode() for g in way) for way in query)
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
-    before = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:3]:
-        docs = spark.createDataFrame(stage(spark, docs, sf).toPandas(), docs.schema)
-        assert 0 < docs.count() <= before and docs.columns == list(corpus_pipeline.COLUMNS), name
-        before = docs.count()
-    sets = [shingles(r.text) for r in docs.orderBy("doc_id").collect()]
-    assert groups(sets) == list(range(len(sets)))

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from nodeloom.operators.store import hash_embedder
+from nodeloom.operators.store import named_embedder
 from nodeloom.plans.imports import import_pending
 from nodeloom.sources.files import list_files
 from nodeloom.sources.settings import load_config, resolve
@@ -26,10 +26,12 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("nodeloom").getOrCreate()
     folder = resolve(base, config.processed_data_dir)
     if args.action == "doctor":
-        print(f"{list_files(spark, folder).count()} files in {folder}")
+        print(f"{list_files(spark, folder, config.file_glob).count()} files in {folder}")
         return
     stop = Path(resolve(base, config.stop_file))
-    out = import_pending(spark, folder, resolve(base, config.state_path), f"{resolve(base, config.persist_dir)}/{config.collection_name}", hash_embedder(), args.one_file, config.skip_existing_ids, stop.exists)
+    store = f"{resolve(base, config.persist_dir)}/{config.collection_name}"
+    options = {"file_glob": config.file_glob, "batch_size": config.import_batch_size, "progress": lambda s: print(f"files={s.files} documents={s.documents}")}
+    out = import_pending(spark, folder, resolve(base, config.state_path), store, named_embedder(config.embedding_model), args.one_file, config.skip_existing_ids, stop.exists, **options)
     print(f"stopped={out.stopped} files={out.files} documents={out.documents} inserted={out.inserted} skipped={out.skipped_existing}")
 
 

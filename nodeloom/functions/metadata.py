@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from nodeloom.functions.text import filled, strip
 
@@ -42,21 +42,15 @@ def truthy_text(value: Column) -> Column:
     return F.when(truthy(value), text_of(value))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def listed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Items of a text that is a strict JSON list (its strings) or else a list with commas (stripped)."""
+def _strings(items: Column) -> Column:
+    return F.transform(F.filter(F.try_variant_get(items, "$", "array<variant>"), lambda x: is_kind(x, "STRING")), lambda x: x.cast("string"))
 
-    def items(text: str | None) -> list[str] | None:
-        if text is None:
-            return None
-        try:
-            found = json.loads(text)
-        except ValueError:
-            return [part.strip() for part in text.split(",")]
-        return [x for x in found if isinstance(x, str)] if isinstance(found, list) else []
 
-    for series in texts:
-        yield series.map(items, na_action=None)
+def listed(text: Column) -> Column:
+    """Items of a text that is a strict JSON list (its strings) or else a list with commas (stripped)."""
+    value = F.try_parse_json(text)
+    parts = F.transform(F.split(text, ",", -1), strip)
+    return F.when(text.isNotNull() & value.isNull(), parts).when(is_kind(value, "ARRAY"), _strings(value)).when(value.isNotNull(), F.array().cast("array<string>"))
 
 
 def names_somebody(name: Column) -> Column:
@@ -70,9 +64,7 @@ def speakers(metadata: Column) -> Column:
     """
     one, many = field(metadata, "speaker"), field(metadata, "speakers")
     first = F.when(is_kind(one, "STRING"), F.array(one.cast("string")))
-    items = F.try_variant_get(many, "$", "array<variant>")
-    strings = F.transform(F.filter(items, lambda x: is_kind(x, "STRING")), lambda x: x.cast("string"))
-    rest = F.coalesce(F.when(is_kind(many, "ARRAY"), strings), listed(F.when(is_kind(many, "STRING"), many.cast("string"))))
+    rest = F.coalesce(F.when(is_kind(many, "ARRAY"), _strings(many)), listed(F.when(is_kind(many, "STRING"), many.cast("string"))))
     none = F.array().cast("array<string>")
     found = F.filter(F.concat(F.coalesce(first, none), F.coalesce(rest, none)), lambda x: names_somebody(filled(x)))
     return F.array_distinct(F.transform(found, strip))

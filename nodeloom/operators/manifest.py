@@ -17,9 +17,10 @@ from nodeloom.operators.order import last_of_key
 def lookup(files: DataFrame, entries: DataFrame) -> DataFrame:
     """files (source_file, fingerprint) with entry_file and matched_by: the entry of the fingerprint, else of the path.
 
-    The last of several entries with one key counts. Two joins by one key each, not one by either.
+    The last of several entries with one key counts: by ``ord`` if there is one, else by path and fingerprint. Two joins by one
+    key each, not one by either.
     """
-    entries = entries.withColumn("_ord", F.col("ord") if "ord" in entries.columns else F.monotonically_increasing_id())
+    entries = entries.withColumn("_ord", F.col("ord") if "ord" in entries.columns else F.struct("source_file", "source_fingerprint"))
     by_print = last_of_key(entries, "source_fingerprint", "_ord").select(F.col("source_fingerprint").alias("fingerprint"), F.col("source_file").alias("_by_print"))
     by_file = last_of_key(entries, "source_file", "_ord").select("source_file", F.col("source_file").alias("_by_file"))
     rows = files.join(by_print, "fingerprint", "left").join(by_file, "source_file", "left")
@@ -82,8 +83,8 @@ def tolerant_names(speakers: Column) -> Column:
     return F.filter(names, lambda x: x != "")
 
 
-def header(entries: DataFrame, speakers: DataFrame) -> DataFrame:
-    """One row: episodes, chunks, speakers and the range of dates."""
+def header(entries: DataFrame, speakers: DataFrame, about: dict[str, str] | None = None) -> DataFrame:
+    """One row: what ``about`` says (name, model, description and so on), episodes, chunks, speakers and the range of dates."""
     date = F.nullif(F.col("episode_date"), F.lit(""))
     totals = entries.agg(
         F.count("*").alias("episode_count"),
@@ -91,7 +92,8 @@ def header(entries: DataFrame, speakers: DataFrame) -> DataFrame:
         F.coalesce(F.min(date), F.lit("")).alias("start_date"),
         F.coalesce(F.max(date), F.lit("")).alias("end_date"),
     )
-    return totals.crossJoin(speakers.agg(F.count_distinct("speaker").alias("speaker_count")))  # one row each
+    rows = totals.crossJoin(speakers.agg(F.count_distinct("speaker").alias("speaker_count")))  # one row each
+    return rows.select(*(F.lit(v).alias(k) for k, v in (about or {}).items()), *rows.columns)
 
 
 def speaker_structs(names: Column) -> Column:

@@ -19,7 +19,7 @@ def _absent(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) == ""
 
 
-def broken_rules(named: bool = True) -> Column:
+def broken_rules() -> Column:
     """The numbers (from 0) of the rules that a node breaks, in order."""
     text = F.col("page_content")
     kind = lambda kinds: F.coalesce(F.col("node_type").isin(*kinds), F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,11 +43,28 @@ def hash_embedder(size: int = 64) -> Embedder:
     return embed
 
 
-def embedded(nodes: DataFrame, embedder: Embedder) -> DataFrame:
+#: Embedders by name, made on the driver and sent to the tasks; add a model's factory here to configure it by name.
+EMBEDDERS: dict[str, Callable[[], Embedder]] = {}
+
+
+def named_embedder(name: str) -> Embedder:
+    """The embedder of a configuration: ``hash-N`` is the model-free one with N dimensions, others must be in EMBEDDERS."""
+    if name in EMBEDDERS:
+        return EMBEDDERS[name]()
+    if found := re.fullmatch(r"hash-([1-9][0-9]*)", name):
+        return hash_embedder(int(found[1]))
+    raise ValueError(f"no embedder is named {name!r}: add its factory to nodeloom.operators.store.EMBEDDERS")
+
+
+def embedded(nodes: DataFrame, embedder: Embedder, batch_size: int = 64) -> DataFrame:
+    """nodes with ``embedding``; the embedder gets at most ``batch_size`` texts at once."""
+
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(embedder([t or "" for t in batch])), dtype=object)
+            texts = [t or "" for t in batch]
+            parts = [embedder(texts[lo : lo + batch_size]) for lo in range(0, len(texts), batch_size)]
+            yield pd.Series([row for part in parts for row in part], dtype=object)
 
     return nodes.withColumn("embedding", embed("page_content"))
 

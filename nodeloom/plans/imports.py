@@ -6,6 +6,8 @@ before the ledger, so a run that dies in between is repaired by the next one: it
 
 from __future__ import annotations
 
+import dataclasses
+import itertools
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -23,6 +25,9 @@ LEDGER = "fingerprint string, path string, status string, documents long, insert
 STORE = "node_id string, source_file string, pos int, page_content string, metadata_json string, embedding array<float>, commit long"
 ENTRIES = "source_file string, source_fingerprint string, episode_id string, episode_title string, episode_date string, document_count long"
 
+#: Files of one job and commit.
+PER_COMMIT = 1000
+
 
 class InvalidFile(ValueError):
     """A file with violations: it is in the ledger as failed, files behind it were not touched."""
@@ -60,28 +65,19 @@ def stored_nodes(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("node_id").agg(F.max_by(F.struct(*rest), F.struct("commit", "source_file", "pos")).alias("r")).select("node_id", "r.*")
 
 
-def _to_store(nodes: DataFrame, embedder: store.Embedder, path: str, commit: int) -> None:
-    rows = store.embedded(store.last_by_id(nodes.select("node_id", "source_file", "pos", "page_content", "metadata_json")), embedder)
+def _to_store(nodes: DataFrame, embedder: store.Embedder, path: str, commit: int, batch_size: int) -> None:
+    rows = store.embedded(store.last_by_id(nodes.select("node_id", "source_file", "pos", "page_content", "metadata_json")), embedder, batch_size)
     rows = rows.withColumn("metadata_json", flat_json("metadata_json")).withColumn("commit", F.lit(commit).cast("long"))
     rows.select("node_id", "source_file", "pos", "page_content", "metadata_json", "embedding", "commit").write.mode("append").parquet(path)
 
 
-def import_pending(spark: SparkSession, folder: str, ledger_path: str, store_path: str, embedder: store.Embedder, one_file: bool = False, skip_existing: bool = True, stop: Callable[[], bool] = lambda: False) -> Summary:
-    """Import all files whose fingerprint is not completed, in path order up to the first invalid one.
-
-    All those files are one job. The invalid file is recorded as failed and raises InvalidFile after the files
-    before it are committed; it is tried again by the next run. A file that is not JSON is invalid too. ``one_file`` takes the first pending file only;
-    ``stop`` is asked before the work begins.
-    """
-    pending = store.pending_files(source.list_files(spark, folder), latest(table(spark, ledger_path, LEDGER)))
-    if one_file:
-        pending = pending.orderBy("source_file").limit(1)
-    if stop():
-        return Summary(0, 0, 0, 0, True)
-    if pending.isEmpty():
-        return Summary(0, 0, 0, 0)
-    nodes = source.read_nodes(spark, folder).join(pending, "source_file")
-    broken = pending.join(source.readable_files(spark, folder), "source_file", "left_anti")
+def _import_group(spark: SparkSession, folder: str, files: list[tuple[str, str]], ledger_path: str, store_path: str, embedder: store.Embedder, skip_existing: bool, file_glob: str, batch_size: int) -> Summary:
+    """Import the named files (source_file, fingerprint) as one job and one commit; see ``import_pending``."""
+    pending, paths = spark.createDataFrame(files, "source_file string, fingerprint string"), [path for path, _ in files]
+    # parsed once; the rules, the counts and the store all read this table
+    source.read_nodes(spark, folder, file_glob, paths).write.mode("overwrite").parquet(f"{ledger_path}.nodes")
+    nodes = spark.read.parquet(f"{ledger_path}.nodes")
+    broken = pending.join(source.readable_files(spark, folder, file_glob, paths), "source_file", "left_anti")
     bad = quality.violations(nodes).unionByName(quality.unreadable(broken))
     first = bad.agg(F.min("source_file")).first()[0]
     good = pending if first is None else pending.where(F.col("source_file") < first)
@@ -93,7 +89,7 @@ def import_pending(spark: SparkSession, folder: str, ledger_path: str, store_pat
     done = good.join(counts, "source_file", "left").select("fingerprint", F.col("source_file").alias("path"), F.lit("completed").alias("status"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "inserted", "skipped_existing")), F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("updated_at"), F.lit(commit).cast("long").alias("commit"))
     # counted against the store as it was, so written to a staging folder before the store grows
     done.write.mode("overwrite").parquet(f"{ledger_path}.staged")
-    _to_store(store.pending_nodes(rows, ids) if skip_existing else rows, embedder, store_path, commit)
+    _to_store(store.pending_nodes(rows, ids) if skip_existing else rows, embedder, store_path, commit, batch_size)
     done = spark.read.schema(LEDGER).parquet(f"{ledger_path}.staged")
     done.write.mode("append").parquet(ledger_path)
     if first is not None:
@@ -106,17 +102,54 @@ def import_pending(spark: SparkSession, folder: str, ledger_path: str, store_pat
     return Summary(*(x or 0 for x in out))
 
 
-def export(spark: SparkSession, folder: str, output_root: str, name: str, chosen: DataFrame, embedder: store.Embedder, mode: str = "update") -> Summary:
+def import_pending(
+    spark: SparkSession,
+    folder: str,
+    ledger_path: str,
+    store_path: str,
+    embedder: store.Embedder,
+    one_file: bool = False,
+    skip_existing: bool = True,
+    stop: Callable[[], bool] = lambda: False,
+    file_glob: str = source.GLOB,
+    per_commit: int = PER_COMMIT,
+    batch_size: int = 64,
+    progress: Callable[[Summary], None] = lambda summary: None,
+) -> Summary:
+    """Import all files whose fingerprint is not completed, in path order up to the first invalid one.
+
+    ``per_commit`` files are one job: only they are read, and when the store and the ledger have them they are done, whatever happens
+    later. ``stop`` is asked before each job, ``progress`` gets the sums so far behind each. The invalid file is recorded as failed and
+    raises InvalidFile after the files before it are committed; it is tried again by the next run. A file that is not JSON is
+    invalid too. ``one_file`` takes the first pending file only. With ``skip_existing`` stored ids stay as they are, else they
+    are replaced. The embedder gets ``batch_size`` texts at once.
+    """
+    total = Summary(0, 0, 0, 0)
+    if stop():
+        return dataclasses.replace(total, stopped=True)
+    pending = store.pending_files(source.list_files(spark, folder, file_glob), latest(table(spark, ledger_path, LEDGER)))
+    pending = pending.select("source_file", "fingerprint").orderBy("source_file")
+    names = (tuple(row) for row in (pending.limit(1) if one_file else pending).toLocalIterator())  # a job's names at a time
+    while group := list(itertools.islice(names, per_commit)):
+        if total.files and stop():
+            return dataclasses.replace(total, stopped=True)
+        part = _import_group(spark, folder, group, ledger_path, store_path, embedder, skip_existing, file_glob, batch_size)
+        total = Summary(total.files + part.files, total.documents + part.documents, total.inserted + part.inserted, total.skipped_existing + part.skipped_existing)
+        progress(total)
+    return total
+
+
+def export(spark: SparkSession, folder: str, output_root: str, name: str, chosen: DataFrame, embedder: store.Embedder, mode: str = "update", file_glob: str = source.GLOB, batch_size: int = 64, about: dict[str, str] | None = None) -> Summary:
     """Export the selected nodes of all files with a manifest; ``generate`` starts afresh, ``update`` adds.
 
     Only selected nodes are validated; a file that is not JSON is an error, as its speakers are unknown. In update mode files whose effective speakers the manifest has are skipped and
     stored ids are not embedded again. The manifest's tables are written to a new version folder and
-    take effect when the version table names it.
+    take effect when the version table names it. ``about`` (database, model, device, description) goes into the manifest's header.
     """
     if mode not in ("generate", "update"):
         raise ValueError("mode is generate or update")
     base = f"{output_root.rstrip('/')}/{spark.range(1).select(folder_name(F.lit(name))).first()[0]}"
-    files, nodes = source.list_files(spark, folder), source.read_nodes(spark, folder)
+    files, nodes = source.list_files(spark, folder, file_glob), source.read_nodes(spark, folder, file_glob)
     speakers = episodes.episode_speakers(nodes)
     versions = table(spark, f"{base}/versions", "version long")
     last = versions.agg(F.max("version")).first()[0] if mode == "update" else None
@@ -125,7 +158,7 @@ def export(spark: SparkSession, folder: str, output_root: str, name: str, chosen
     decision = manifest.skip_decision(files, old, old_speakers, selection.effective(speakers, chosen))
     todo = files.join(decision.where("not skip").select("source_file"), "source_file", "left_semi")
     taken = selection.included(nodes.join(todo.select("source_file"), "source_file", "left_semi"), chosen)
-    broken = files.join(source.readable_files(spark, folder), "source_file", "left_anti")
+    broken = files.join(source.readable_files(spark, folder, file_glob), "source_file", "left_anti")
     bad = quality.violations(taken).unionByName(quality.unreadable(broken))
     if not bad.isEmpty():
         text = quality.digest(bad, F.lit("all"), "group").first()
@@ -141,8 +174,8 @@ def export(spark: SparkSession, folder: str, output_root: str, name: str, chosen
     entries.write.parquet(f"{target}/entries")
     manifest.merged_speakers(old_speakers, episodes.episode_speakers(taken)).write.parquet(f"{target}/speakers")
     summary = (todo.count(), taken.count(), fresh.count())
-    _to_store(fresh, embedder, store_path, version)
+    _to_store(fresh, embedder, store_path, version, batch_size)
     spark.createDataFrame([(store_path,)], "path string").write.parquet(f"{target}/store")
-    manifest.header(spark.read.schema(ENTRIES).parquet(f"{target}/entries"), spark.read.parquet(f"{target}/speakers")).write.json(f"{target}/header")
+    manifest.header(spark.read.schema(ENTRIES).parquet(f"{target}/entries"), spark.read.parquet(f"{target}/speakers"), {"name": name, **(about or {})}).write.json(f"{target}/header")
     spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{base}/versions")
     return Summary(*summary, summary[1] - summary[2])

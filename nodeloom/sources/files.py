@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.functions.metadata import field, is_kind, speakers, text_of, truthy_text
 
-PATTERN = "*.processed_documents.json"
+#: All files of this name, however deep; the default of the configuration. Fixed value.
+GLOB = "**/*.processed_documents.json"
+PATTERN = GLOB.rsplit("/", 1)[1]
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
+def reader_of(spark: SparkSession, folder: str, file_glob: str) -> tuple[DataFrameReader, str]:
+    """A reader limited to the files of a glob, and the path to load: ``**`` stands for any depth, other parts for one level each.
+
+    A folder part with wildcards must match something, as in any path that Spark reads.
+    """
+    *above, name = file_glob.split("/")
+    deep = "**" in above
+    parts = [part for part in above if part not in ("**", ".")]
+    if not deep and any(c in part for part in parts for c in "*?[{"):
+        parts.append(name)
+    path = "/".join([folder.rstrip("/"), *parts])
+    return spark.read.option("recursiveFileLookup", deep).option("pathGlobFilter", name), path
+
+
+def list_files(spark: SparkSession, folder: str, file_glob: str = GLOB) -> DataFrame:
     """(source_file, fingerprint) of the files below a folder; contents are not read.
 
     Names that start with a dot or an underscore are left out, as Spark's readers do. A fingerprint is path, size and
     modification time: a changed file has another one.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    reader, at = reader_of(spark, folder, file_glob)
+    rows = reader.format("binaryFile").load(at)
     path = F.col("_metadata.file_path")
     return rows.select(path.alias("source_file"), F.concat_ws("|", path, "length", F.unix_micros("modificationTime")).alias("fingerprint"))
 
@@ -67,16 +84,19 @@ def parse_nodes(files: DataFrame) -> DataFrame:
     )
 
 
-def _texts(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("source_file"), "value")
+def _texts(spark: SparkSession, folder: str, file_glob: str, only: list[str] | None) -> DataFrame:
+    reader, at = reader_of(spark, folder, file_glob)
+    rows = reader.option("wholetext", True).text(at)
+    if only is not None:  # a filter on the path alone: the other files are not opened
+        rows = rows.where(F.col("_metadata.file_path").isin(only))
+    return rows.select(F.col("_metadata.file_path").alias("source_file"), "value")
 
 
-def read_nodes(spark: SparkSession, paths: str | list[str], pattern: str = PATTERN) -> DataFrame:
-    """Nodes of all files below a folder, or of the named files."""
-    return parse_nodes(_texts(spark, paths, pattern))
+def read_nodes(spark: SparkSession, folder: str, file_glob: str = GLOB, only: list[str] | None = None) -> DataFrame:
+    """Nodes of all files below a folder, or of those that ``only`` names by their source_file."""
+    return parse_nodes(_texts(spark, folder, file_glob, only))
 
 
-def readable_files(spark: SparkSession, paths: str | list[str], pattern: str = PATTERN) -> DataFrame:
+def readable_files(spark: SparkSession, folder: str, file_glob: str = GLOB, only: list[str] | None = None) -> DataFrame:
     """(source_file) of the files whose JSON can be read, whatever is in it."""
-    return _parsed(_texts(spark, paths, pattern)).where("readable").select("source_file")
+    return _parsed(_texts(spark, folder, file_glob, only)).where("readable").select("source_file")

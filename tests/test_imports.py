@@ -160,3 +160,60 @@ def test_stream_starts_imports(spark, tmp_path):
     for _ in range(2):
         incremental.on_new_files(spark, f"{tmp_path}/in", f"{tmp_path}/cp", lambda: seen.append(run(spark, tmp_path).inserted)).awaitTermination()
     assert seen == [1]
+
+
+def test_jobs_of_few_files_progress_and_stop(spark, tmp_path):
+    for name in "abcde":
+        write(f"{tmp_path}/in/{name} %41{{x}}", name, node(name))
+    seen = []
+    first = run(spark, tmp_path, per_commit=2, progress=seen.append, stop=lambda: len(seen) == 1)
+    assert first == imports.Summary(2, 2, 2, 0, True) and seen == [imports.Summary(2, 2, 2, 0)]
+    write(f"{tmp_path}/in", "zz", node("zz", " "))
+    with pytest.raises(imports.InvalidFile, match="zz"):
+        run(spark, tmp_path, per_commit=2, progress=seen.append)
+    assert [s.files for s in seen] == [2, 2] and imports.stored_nodes(spark, f"{tmp_path}/store").count() == 5
+    statuses = imports.latest(imports.table(spark, f"{tmp_path}/ledger", imports.LEDGER)).groupBy("status").count().collect()
+    assert dict(map(tuple, statuses)) == {"completed": 5, "failed": 1}
+
+
+def test_only_the_named_files_are_read(spark, tmp_path):
+    for k in range(6):
+        write(f"{tmp_path}/in", f"f{k}", node(k))
+    paths = [r.source_file for r in files.list_files(spark, f"{tmp_path}/in").orderBy("source_file").collect()]
+    rows = files.read_nodes(spark, f"{tmp_path}/in", only=paths[2:4])
+    assert sorted(r.node_id for r in rows.collect()) == ["n2", "n3"]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [file_path") or "_metadata" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("glob, expected", [("**/*.processed_documents.json", 3), ("*.processed_documents.json", 1), ("x/*.processed_documents.json", 1), ("*/*.processed_documents.json", 1), ("**/b*.json", 1)])
+def test_file_glob(spark, tmp_path, glob, expected):
+    write(f"{tmp_path}/in", "a", node(1))
+    write(f"{tmp_path}/in/x", "b", node(2))
+    write(f"{tmp_path}/in/x/y", "c", node(3))
+    assert files.list_files(spark, f"{tmp_path}/in", glob).count() == expected
+    assert run(spark, tmp_path, file_glob=glob).files == expected
+
+
+def test_embedders_by_name(monkeypatch, spark):
+    assert store.named_embedder("hash-16")(["a b"]).shape == (1, 16)
+    with pytest.raises(ValueError, match="bge"):
+        store.named_embedder("bge")
+    sizes = spark.createDataFrame([(f"n{i}", "x") for i in range(10)], "node_id string, page_content string").coalesce(1)
+    monkeypatch.setitem(store.EMBEDDERS, "count", lambda: lambda texts: [[float(len(texts))] for _ in texts])
+    assert sorted(r.embedding[0] for r in store.embedded(sizes, store.named_embedder("count"), 4).collect()) == [2.0] * 2 + [4.0] * 8
+
+
+def test_command_line(tmp_path, spark, capsys, monkeypatch):
+    from nodeloom import cli
+
+    write(f"{tmp_path}/processed_data/deep", "a", node(1), node(2))
+    with open(f"{tmp_path}/c.json", "w") as f:
+        json.dump({"embedding_model": "hash-8", "import_batch_size": 1, "file_glob": "**/a*.json"}, f)
+    cli.main(["doctor", "--config", f"{tmp_path}/c.json"])
+    cli.main(["import", "--config", f"{tmp_path}/c.json"])
+    out = capsys.readouterr().out
+    assert "1 files in" in out and "stopped=False files=1 documents=2 inserted=2 skipped=0" in out
+    assert len(spark.read.parquet(f"{tmp_path}/store/nodes").first().embedding) == 8
+    (tmp_path / "STOP").touch()
+    cli.main(["--config", f"{tmp_path}/c.json"])
+    assert "stopped=True" in capsys.readouterr().out

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from nodeloom.plans import catalogue
+from nodeloom.plans import catalogue, documents
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("conversations", "labels", "part", "pages", "events", "embeddings")
@@ -11,17 +11,20 @@ def rows(columns, data):
     return sorted(tuple(str(row[columns.index(c)]) for c in sorted(columns)) for row in data)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+QUERIES, SQL = catalogue.queries() | documents.queries(), catalogue.oracle_sql() | documents.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     with duckdb.connect() as db:
         for t in TABLES:
             db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-        result = db.execute(catalogue.oracle_sql()[name])
+        result = db.execute(SQL[name])
         expected = rows([c[0] for c in result.description], result.fetchall())
-    df = catalogue.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     assert rows(df.columns, df.collect()) == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, name):
-    assert catalogue.queries()[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0

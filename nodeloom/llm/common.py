@@ -107,15 +107,20 @@ def once(function: Callable) -> Callable:
     return function.asNondeterministic()
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``work`` over a partition's batches; the memory that it leaves free goes back to the system, as the worker process lives on."""
 
     @functools.wraps(work)
     def run(batches: Iterator) -> Iterator:
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # the C library has no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return run
 

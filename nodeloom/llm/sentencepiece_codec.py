@@ -22,21 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm.common import tidy
-from nodeloom.llm.wordhash import BLANK, distinct_words, spans
+from nodeloom.llm.wordhash import BLANK, distinct_words, mix, spans
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 ODD = re.compile(f"  |^ | $|{MARK}", re.ASCII)
 #: Texts on which a model's own encoder must agree: no normalisation, its kind of merges, bytes for what is no piece.
 PROBES = ("", "a b", "  two  blanks ", "ﬁ Å① ｗｉｄｅ é\u0301", "\0 \0\0x", "漢字 𝔘𝔘", "tab\tand\nlines\n\n", "▁ mark▁▁", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa bbbb", " " * 40)
-#: Characters indexed at once; bytes of text whose words are looked up at once; units and verdicts kept between batches.
-SPAN, RUN, UNITS_KEPT, VERDICTS_KEPT = 1_500_000, 1 << 21, 400_000, 1_000_000
+#: Characters indexed at once; bytes of text whose words are looked up at once; units and (as a power of two) verdicts kept between batches.
+SPAN, RUN, UNITS_KEPT, VERDICTS_LOG2 = 1_000_000, 1 << 20, 250_000, 20
 #: Longest unit that is relaxed together with others, in characters.
 SIDE_BY_SIDE = 64
 #: Makes token numbers positive (a character that is no piece has a negative one); no piece yet.
 OFFSET, NONE = 1 << 20 | 1 << 17, -(1 << 40)
 #: Text characters encoded before a batch of rows is passed on.
-TEXT_SPAN = 2_000_000
+TEXT_SPAN = 1_000_000
 
 
 class Codec:
@@ -65,7 +65,7 @@ class Codec:
             raise ValueError("a piece of the model has a letter in front of a space mark: its texts are no row of units")
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.keys, self.verdicts = np.array([-1]), np.array([False])
+        self.keys, self.verdicts = np.full(1 << VERDICTS_LOG2, -1, np.int64), np.zeros(1 << VERDICTS_LOG2, bool)
         if [ids.tolist() for ids in self.encode(list(PROBES))] != [model.encode(t) for t in PROBES]:
             raise ValueError("the model normalises texts or merges in another way")
 
@@ -137,25 +137,17 @@ class Codec:
         return start, start + length, token
 
     def judge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """``may_follow`` for many pairs; verdicts are kept as sorted keys."""
+        """``may_follow`` for many pairs; a table of fixed size keeps the last verdict of each of its places."""
         keys = ((left + OFFSET) << 21) | (right + OFFSET)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        new = np.unique(keys[self.keys[at] != keys])
-        if len(new):
-            fresh = np.array([self.may_follow((k >> 21) - OFFSET, (k & ((1 << 21) - 1)) - OFFSET) for k in new.tolist()])
-            if len(self.keys) + len(new) > VERDICTS_KEPT:
-                self.keys, self.verdicts = np.array([-1]), np.array([False])
-            where = np.searchsorted(self.keys, new)
-            self.keys, self.verdicts = np.insert(self.keys, where, new), np.insert(self.verdicts, where, fresh)
-            at = np.searchsorted(self.keys, keys)
-            lost = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys)  # after a reset
-            if len(lost):
-                out = np.zeros(len(keys), bool)
-                out[lost] = self.judge(left[lost], right[lost])
-                rest = np.setdiff1d(np.arange(len(keys)), lost)
-                out[rest] = self.verdicts[np.searchsorted(self.keys, keys[rest])]
-                return out
-        return self.verdicts[at]
+        at = (mix(keys.astype(np.uint64)) >> np.uint64(64 - VERDICTS_LOG2)).astype(np.int64)
+        out = self.verdicts[at]
+        miss = np.flatnonzero(self.keys[at] != keys)
+        if len(miss):
+            new, inverse = np.unique(keys[miss], return_inverse=True)
+            out[miss] = np.array([self.may_follow((k >> 21) - OFFSET, (k & ((1 << 21) - 1)) - OFFSET) for k in new.tolist()])[inverse]
+            miss = miss[np.unique(at[miss], return_index=True)[1]]  # one pair a place
+            self.keys[at[miss]], self.verdicts[at[miss]] = keys[miss], out[miss]
+        return out
 
     def relax(self, starts: np.ndarray, ends: np.ndarray, tokens: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The last piece of the path to each position, and where that piece starts.

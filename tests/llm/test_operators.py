@@ -172,6 +172,17 @@ def test_vectors_of_shared_and_null_ids(spark, monkeypatch):
     assert vector_neighbors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("size", [16, 64, 768])
+def test_recall_at_the_threshold(size):
+    """Pairs of cosine 0.93: nearly all meet in a bucket that one of them is at home in."""
+    rng, n = np.random.default_rng(size), 1000
+    a = vector_neighbors.units(rng.normal(size=(n, size)))
+    b = rng.normal(size=(n, size))
+    b = vector_neighbors.units(b - (a * b).sum(1, keepdims=True) * a)
+    p, q = vector_neighbors.buckets(a), vector_neighbors.buckets(vector_neighbors.units(0.93 * a + np.sqrt(1 - 0.93**2) * b))
+    assert ((p[:, :, :1] == q).any(2) | (q[:, :, :1] == p).any(2)).any(1).mean() >= 0.97
+
+
 def groups(sets):
     top = list(range(len(sets)))
     for i in range(len(sets)):
@@ -437,6 +448,16 @@ def test_secrets_against_plain_regexes(spark, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+def test_secrets_of_repeated_rows_and_clashing_columns(spark):
+    base = {"assign": r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+    assert {r.kind: r.pattern for r in secret_scan.BASE} == base and [r.least for r in secret_scan.BASE] == [12, 18, 16]
+    jwt = ".".join(["eyJ" + "a" * 12] * 2 + ["b" * 12])
+    rows = [(None, f"x {jwt}", 1), (7, "token: abcdefghijkl", 2), (7, "token: abcdefghijkl", 2), (8, "eyJ" * 700_000, 3), (9, None, 4)]
+    table = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, spans int, found string")
+    out = secret_scan.secret_digest(secret_scan.find_secrets(table)).collect()
+    assert sorted((r.doc_id or 0, r.n_assign, r.spans) for r in out) == [(0, 0, f"jwt:2:{2 + len(jwt)}"), (7, 1, "assign:0:19"), (7, 1, "assign:0:19"), (8, 0, ""), (9, 0, "")]
+
+
 @pytest.mark.parametrize("pattern", ["(abc|abd)[0-9]+xyz", "a?bcde{2}", "[ab]cd", "x*"])
 def test_trigram_queries_are_implied(pattern):
     query = secret_scan.trigram_query(pattern)

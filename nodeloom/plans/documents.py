@@ -45,6 +45,20 @@ def _member(key: str, value: Column, when: Column) -> Column:
     return F.when(when, F.concat(F.lit(f'"{key}":'), value))
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
+def folder_of(c: Corpus) -> str:
+    """The folder of the JSON files of a session and input, written when first asked for (or when it is gone)."""
+    key = (c.spark.sparkContext.applicationId, c.sf_dir)
+    if key in _written:
+        path = c.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written[key])
+        if path.getFileSystem(c.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return _written[key]
+    _written[key] = write_files(c)
+    return _written[key]
+
+
 def write_files(c: Corpus) -> str:
     """Write the conversations as JSON files; the folder."""
     conv, turn = F.col("conv_id"), F.col("turn")
@@ -97,13 +111,13 @@ def query(sql: str):
 
 
 def _nodes(c: Corpus) -> DataFrame:
-    return read_nodes(c.spark, write_files(c), GLOB)
+    return read_nodes(c.spark, folder_of(c), GLOB)
 
 
 @query("select distinct ep, true as named from raw")
 def json_files(c: Corpus) -> DataFrame:
     """The files, each with a fingerprint of its path, size and time."""
-    found = list_files(c.spark, write_files(c), GLOB)
+    found = list_files(c.spark, folder_of(c), GLOB)
     return found.select(_ep(), F.col("fingerprint").rlike(r"ep=\d+/part-.*\|[0-9]+\|[0-9]+$").alias("named"))
 
 

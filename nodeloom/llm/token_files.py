@@ -12,6 +12,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,9 +70,12 @@ class WordEncoder:
         self.lowers = self.by_words and self._agrees()
         self.known = {}
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids(self, texts: list[str]) -> list[list[int]]:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(found.ids, np.uint16) for found in many(texts, add_special_tokens=False)]
+        return [found.ids for found in many(texts, add_special_tokens=False)]
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.uint16) for ids in self._ids(texts)]
 
     def _agrees(self) -> bool:
         self.known = {}
@@ -85,8 +89,8 @@ class WordEncoder:
         fresh = [w for w in fresh if w not in self.known]
         for lo in range(0, len(fresh), 5_000):
             part = fresh[lo : lo + 5_000]
-            for word, found in zip(part, self._whole([w.decode() for w in part]), strict=True):
-                self.known[word] = found.tobytes()
+            for word, ids in zip(part, self._ids([w.decode() for w in part]), strict=True):
+                self.known[word] = array("H", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; each distinct word of about ``RUN`` bytes of text is looked up once.
@@ -101,8 +105,8 @@ class WordEncoder:
         for _, run in spans(texts, RUN):
             raw = b"\n".join(run) + b"\n"
             if self.lowers and not any(token in low for low in [raw.lower()] for token in self.specials):
-                raw = LAST_MARK.sub(rb" \1", lowered(raw))
-                run = raw[:-1].split(b"\n") if raw.count(b"\n") == len(run) else [LAST_MARK.sub(rb" \1", lowered(x + b"\n"))[:-1] for x in run]
+                run = [LAST_MARK.sub(rb" \1", lowered(x + b"\n"))[:-1] for x in run]
+                raw = b"\n".join(run) + b"\n"
             starts, ends, first, inverse = distinct_words(raw)
             distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             if len(self.known) > WORDS_KEPT:  # words that come again move to the new generation

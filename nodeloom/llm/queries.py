@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import line_dedup, media_chunks, mixing, ngram_join, secret_scan, sentencepiece_codec, token_files, toxicity, vector_neighbors, warc_bundles
+from nodeloom.llm import exact_topk, fill_middle, line_dedup, media_chunks, mixing, ngram_join, periodic_runs, secret_scan, sentencepiece_codec, token_files, toxicity, vector_neighbors, warc_bundles
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
@@ -64,6 +64,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.find_secrets(docs))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return exact_topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = fill_middle.fill_middle(docs).withColumn("restored", fill_middle.restored(F.col("output"), F.col("form")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -171,6 +186,63 @@ from d left join f on d.doc_id = f.doc_id group by d.doc_id"""
 )
 
 
+#: All pairs of a query and another row, their integer products, and the first five.
+OP11_SQL = """
+with v as (
+  select vec_id, list_transform(cast(embedding as double[]), lambda x: cast(floor(256 * x) as bigint)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda a: a is null or not isfinite(a))) = 0),
+p as (
+  select a.vec_id as query_id, b.vec_id, cast(list_inner_product(cast(a.x as double[]), cast(b.x as double[])) as bigint) as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from p)
+select query_id, cast(place as int) as rank, vec_id, score from r where place <= 5
+"""
+
+#: CRC-32 of the decimal doc_id, bit by bit: a character is mixed in (c >= 0), then eight shifts (-1) follow.
+_CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda x:
+    [cast(ascii(x) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end))"""
+
+#: Pairs of equal words of a document, stretches of neighbouring pairs with one distance, and the smallest distance of each stretch.
+OP12_SQL = f"""
+with t as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w, {_CRC32_SQL} as h from documents),
+u as (select doc_id, w, len(w) as n, h, h // 10 as g from t),
+s as (
+  select doc_id, w, n, case when h % 10 = 0 and n > 0 then g % n else n end as a, case when h % 10 = 0 and n > 0 then 1 + (n - g % n) // (3 + g % 8) else 1 end as p from u),
+x as (
+  select doc_id, i, w[1 + case when i < a then i else a + (i - a) % p end] as word from (select *, unnest(range(n)) as i from s)),
+e as (select l.doc_id, l.i, r.i - l.i as q from x l join x r on l.doc_id = r.doc_id and l.word = r.word and l.i < r.i),
+island as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as k from e),
+stretch as (select doc_id, q, min(i) as start, count(*) as c from island group by doc_id, q, k having count(*) >= q and count(*) + q >= 12),
+run as (select doc_id, start, c + q as length, min(q) as period from stretch group by all),
+lost as (select distinct doc_id, unnest(range(start + period, start + length)) as i from run),
+best as (
+  select doc_id, count(*) as n_runs, first({{'start': start, 'length': length, 'period': period}} order by length desc, start, period) as b,
+    string_agg(concat(start, ',', length, ',', period, chr(10)), '' order by start, period) as lines from run group by doc_id),
+kept as (select x.doc_id, string_agg(word, ' ' order by x.i) as t from x anti join lost on x.doc_id = lost.doc_id and x.i = lost.i group by x.doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, b.start as start, b.length as length, b.period as period, 1000 * b.length // b.period as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256
+from documents d left join best on d.doc_id = best.doc_id left join kept on d.doc_id = kept.doc_id
+"""
+
+#: Tokens as a list, cut at the numbers that the hash draws.
+OP13_SQL = """
+with t as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as w,
+    sha256(concat('42:', doc_id)) as h from documents),
+d as (
+  select *, len(w) as n, list_transform(range(4), lambda k: cast(concat('0x', substr(h, 1 + 8 * k, 8)) as bigint)) as r from t),
+c as (
+  select *, least(r[1] % (n + 1), r[2] % (n + 1)) as a, greatest(r[1] % (n + 1), r[2] % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 50 then 'plain' when r[4] % 100 < 80 then 'spm' else 'psm' end as form from d),
+p as (select *, array_to_string(w[1:a], '') as prefix, array_to_string(w[a + 1:b], '') as middle, array_to_string(w[b + 1:], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then concat('<P>', prefix, '<S>', suffix, '<M>', middle) else concat('<S>', suffix, '<P>', prefix, '<M>', middle) end) as output_sha256,
+  sha256(t) as restored_sha256
+from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; tests hold the others against brute force."""
-    return {"op2_warc_bundles": OP2_SQL, "op4_vector_neighbors": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_secret_scan": OP10_SQL}
+    return {"op2_warc_bundles": OP2_SQL, "op4_vector_neighbors": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_secret_scan": OP10_SQL, "op11_exact_topk": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_fill_middle": OP13_SQL}

@@ -7,10 +7,11 @@ otherwise by what both classes share. Words are parted by one gap letter, and th
 A document's features are its log-likelihood ratio per word (length-normalised), that of its most toxic window, and those
 of its ``TOP`` most toxic words one by one; a logistic regression fitted to out-of-fold features makes them a probability.
 
-Labels are learned from a bounded sample: at most ``PER_CLASS`` labelled documents of each class, those with
-the smallest hash of the id, as long as they hold at most ``CHARACTERS`` together. All n-grams of the sample count, those of one
-document too: the continuation counts and discounts rest on them. The bound is also that of the model,
-which travels with the tasks. Scoring reads whole texts.
+Labels are learned from a bounded sample: the ``PER_CLASS`` labelled documents of each class with the smallest hash of
+the id, as long as they hold at most ``CHARACTERS`` together. A document of more than a ``SHARE``-th of these characters is left out by
+itself and does not count, so no text keeps others out; ``Model.left_out`` has the number of all that were left out. All n-grams of the sample count, those of one document too: the continuation counts and discounts rest on them.
+The bound is also that of the model, which travels with the tasks. Scoring reads whole texts. How many top words are features, and
+the discount, are picked by the loss over the folds of the sample.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from nodeloom.llm.common import Scratch, free_name, give_back, once, tidy
 
 #: Most letters in an n-gram, documents learned per class and their characters, folds, words in a window.
 ORDER, PER_CLASS, CHARACTERS, FOLDS, WINDOW = 6, 4000, 16_000_000, 4, 12
+#: A document of more than this part of the characters is not learned from.
+SHARE = 64
 #: Discounts of the classes' own counts that are tried; out-of-fold loss decides.
 DISCOUNTS = (0.8, 2.0, 4.0, 8.0)
 #: The most of a count that a discount takes, so that n-grams of few documents, even of one, keep a part.
 MOST = 0.8
-#: Most toxic words of a text that are features, and characters worked on at once.
-TOP, SPAN = 5, 1 << 19
+#: Most toxic words of a text that are measured, how many of them are tried as features, and characters worked on at once.
+TOP, TOPS, SPAN = 5, (1, 2, 3, 4, 5), 1 << 19
 #: Numbers of the gap in front of the first word, between words, and of letters that the sample does not have.
 GAP, OTHER = 1, 2
 _WORD = np.array([chr(c).isalnum() for c in range(0x3000)])
@@ -205,6 +208,11 @@ def features(texts: list[str | None], models: list[Ratios]) -> list[np.ndarray]:
     return out
 
 
+def with_top(x: np.ndarray, top: int) -> np.ndarray:
+    """The features with only the first ``top`` of the most toxic words."""
+    return np.delete(x, range(2 + top, 2 + TOP), axis=1)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, means, scales) of a ridge logistic regression with both classes weighing the same."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -231,11 +239,13 @@ def probability(x: np.ndarray, weights: np.ndarray, mean: np.ndarray, scale: np.
 class Model:
     ratios: Ratios | None
     fitted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    top: int = TOP
+    left_out: int = 0
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.ratios is None:
             return np.zeros(len(texts))
-        return probability(features(texts, [self.ratios])[0], *self.fitted)
+        return probability(with_top(features(texts, [self.ratios])[0], self.top), *self.fitted)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -243,7 +253,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, characters: int = CHARACTERS) -> DataFrame:
-    """(id, text, toxic, fold) of at most per_class labelled documents of each class that are not held out, within ``characters``.
+    """(id, text, toxic, fold, taken) of at most per_class labelled documents of each class that are not held out.
+
+    Those taken have at most ``characters`` together; the others' texts are null. A document with more than a ``SHARE``-th of
+    ``characters`` is not taken and does not count, so what is taken fills them nearly before the others are left out.
 
     A document with several labels counts as toxic if any says so; of rows that share an id one counts. At most 2 * per_class
     ids are broadcast.
@@ -253,9 +266,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     parts = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     found = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(parts[0].union(parts[1])), "id")
     found = found.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    size = F.length("text")
+    fits = size <= characters // SHARE
     before = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")  # per_class rows at most
-    found = found.withColumn("size", F.sum(F.length("text")).over(before)).where(F.col("size") <= characters)
-    return found.select("id", "text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    found = found.withColumn("taken", fits & (F.sum(F.when(fits, size).otherwise(0)).over(before) <= characters))
+    text = F.when(F.col("taken"), F.col("text"))
+    return found.select("id", text.alias("text"), F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold"), "taken")
 
 
 def _letters(sample: DataFrame) -> Letters:
@@ -304,12 +320,13 @@ def _counts(sample: DataFrame, letters: Letters) -> tuple[np.ndarray, np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, characters: int = CHARACTERS) -> Model:
     """Count n-grams over the sample, fit the models of each fold's rest, then those of the whole sample."""
     tables = Scratch(docs.sparkSession, "toxicity")
-    sample = tables.store(training_sample(docs, labels, per_class, characters), "sample")
+    chosen = tables.store(training_sample(docs, labels, per_class, characters), "sample")
+    sample, left_out = chosen.where("taken"), chosen.where("not taken").count()
     letters = _letters(sample)
     keys, counts = _counts(sample, letters)
     if not (counts.sum((1, 2)) > 0).all():
         tables.drop()
-        return Model(None)
+        return Model(None, left_out=left_out)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, models = None, []
@@ -329,17 +346,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, characte
     seen = rows.mapInArrow(tidy(measure), "d int, y int, " + ", ".join(f"{c} double" for c in names)).toPandas()
     seen = seen.sort_values(list(seen.columns))  # rows arrive in any order
     tables.drop()
-    best: tuple[float, float, tuple] | None = None
+    best: tuple[float, float, int, tuple] | None = None
     for which, d in enumerate(DISCOUNTS):
         own = seen[seen["d"] == which]
         x, y = own[names].to_numpy(), own["y"].to_numpy()
-        fitted = fit_logistic(x, y)
-        p = np.clip(probability(x, *fitted), 1e-9, 1 - 1e-9)
-        loss = -(np.log(p[y == 1]).mean() + np.log(1 - p[y == 0]).mean())
-        if best is None or loss < best[0]:
-            best = (loss, d, fitted)
+        for top in TOPS:
+            z = with_top(x, top)
+            fitted = fit_logistic(z, y)
+            p = np.clip(probability(z, *fitted), 1e-9, 1 - 1e-9)
+            loss = -(np.log(p[y == 1]).mean() + np.log(1 - p[y == 0]).mean())
+            if best is None or loss < best[0]:
+                best = (loss, d, top, fitted)
     whole = counts.sum(1, dtype=np.int64)
-    model = Model(fit_ratios(letters, keys, whole[1], whole[0], (best[1],))[0], best[2])
+    model = Model(fit_ratios(letters, keys, whole[1], whole[0], (best[1],))[0], best[3], best[2], left_out)
     del keys, counts, whole, seen
     give_back()
     return model

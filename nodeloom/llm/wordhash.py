@@ -6,6 +6,7 @@ ASCII, working on UTF-8 bytes equals working on code points. Null texts count as
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240511).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _POW = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Words of so many bytes get a cryptographic hash: the sums below can be made to agree for two long words.
+LONG = 24
 #: Text bytes worked on at once (a longer text is worked on alone).
 SPAN = 1 << 19
 
@@ -62,7 +65,12 @@ def scan(raw: bytes, white: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray
     up, down = _powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    long = np.flatnonzero(ends - starts >= LONG)
+    if len(long):
+        at = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        hashes[long] = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in at]), "<u8")
+    return hashes, starts, ends
 
 
 def distinct_words(raw: bytes, white: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from nodeloom.functions.text import filled, strip
 
@@ -75,13 +70,32 @@ def flat_values(metadata: Column) -> Column:
     return F.transform_values(F.try_variant_get(metadata, "$", "map<string, variant>"), lambda k, v: F.when(v.isNull() | F.is_variant_null(v), F.lit("")).otherwise(v.cast("string")))
 
 
-@F.pandas_udf(StringType())
-def flat_json(metadata: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Metadata as a flat JSON object: null becomes an empty text, nested values become JSON text in ASCII."""
+def ascii_only(json: Column) -> Column:
+    """JSON text with every character beyond printable ASCII as its UTF-16 units, each as a backslash, u and four digits."""
+    parts = F.regexp_extract_all(json, F.lit(r"([\x00-\x7e]+|[^\x00-\x7e]+)"), F.lit(1))
+    units = lambda t: F.regexp_replace(F.lower(F.hex(F.encode(t, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    return F.when(json.rlike(r"^[\x00-\x7e]*$"), json).otherwise(F.array_join(F.transform(parts, lambda t: F.when(t.rlike(r"^[\x00-\x7e]"), t).otherwise(units(t))), ""))
+
+
+def spaced(json: Column) -> Column:
+    """Compact JSON text with a blank behind each comma and colon that is not in a string."""
+    parts = F.regexp_extract_all(json, F.lit(r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++)'), F.lit(1))
+    return F.array_join(F.transform(parts, lambda t: F.when(t.startswith('"'), t).otherwise(F.replace(F.replace(t, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": ")))), "")
+
 
-    def flat(text: str | None) -> str:
-        rows = json.loads(text) if text else {}
-        return json.dumps({k: "" if v is None else v if isinstance(v, str | int | float | bool) else json.dumps(v) for k, v in rows.items()})
+def quoted(text: Column) -> Column:
+    """The text as a JSON string in ASCII."""
+    array = F.to_json(F.array(text))
+    return ascii_only(F.substring(array, F.lit(2), F.length(array) - 2))
 
-    for series in metadata:
-        yield series.map(flat, na_action=None)
+
+def flat_json(metadata: Column) -> Column:
+    """Metadata (JSON text of an object) as a flat JSON object in ASCII: null becomes an empty text, nested values become texts of JSON.
+
+    Numbers keep the form that VARIANT gives them. A null text, or one that is no object, becomes an empty object.
+    """
+    rows = F.map_entries(F.try_variant_get(F.try_parse_json(metadata), "$", "map<string, variant>"))
+    nested = lambda v: is_kind(v, "ARRAY") | is_kind(v, "OBJECT")
+    value = lambda v: F.when(v.isNull() | F.is_variant_null(v), F.lit('""')).when(nested(v), quoted(ascii_only(spaced(F.to_json(v))))).otherwise(ascii_only(F.to_json(v)))
+    members = F.transform(rows, lambda e: F.concat(quoted(e["key"]), F.lit(": "), value(e["value"])))
+    return F.concat(F.lit("{"), F.coalesce(F.array_join(members, ", "), F.lit("")), F.lit("}"))

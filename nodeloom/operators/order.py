@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a global order is cut into; the bounds are the keys with the least hashes.
+from nodeloom.sources.shared import Scratch
+
+#: Ranges that a global order is cut into.
 RANGES = 256
 
 
 def running_total(rows: DataFrame, keys: list[Column], value: Column, name: str) -> DataFrame:
     """rows plus ``name``: the sum of ``value`` over all rows up to this one in the order of ``keys``.
 
-    The bounds of the ranges travel as a literal of at most RANGES keys; a range is a window partition, and the
-    totals of the ranges before it are joined to it.
+    The input is evaluated once, into a scratch table; from there rows go to ranges of the order, each stored as it was dealt. A range is a
+    window partition of its own, and the totals of the ranges before it, one row a range, are joined to it. Rows with equal keys
+    share a range and a total.
     """
-    rows = rows.withColumn("_key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
-    bounds = [r["_key"] for r in rows.select("_key").distinct().orderBy(F.xxhash64("_key"), "_key").limit(RANGES).collect()]
-    limits = rows.sparkSession.createDataFrame([(b,) for b in sorted(bounds)], rows.select("_key").schema).agg(F.array_sort(F.collect_list("_key")).alias("_limits"))
-    rows = rows.crossJoin(F.broadcast(limits))  # one row of at most RANGES keys
-    rows = rows.withColumn("_range", F.size(F.filter("_limits", lambda b: b <= F.col("_key")))).drop("_limits").withColumn("_value", value)
-    totals = rows.groupBy("_range").agg(F.sum("_value").alias("_total"))
+    tables = Scratch(rows.sparkSession, "running-total")
+    names = [f"_k{i}" for i in range(len(keys))]
+    once = tables.store(rows.withColumns({**dict(zip(names, keys, strict=True)), "_value": value}), "rows")
+    dealt = tables.store(once.repartitionByRange(RANGES, *names).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range").agg(F.sum("_value").alias("_total"))
     before = totals.withColumn("_before", F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(before.select("_range", "_before")), "_range")
-    return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.sum("_value").over(inside)).drop("_key", "_range", "_value", "_before")
+    inside = Window.partitionBy("_range").orderBy(*names)
+    out = dealt.join(F.broadcast(before.select("_range", "_before")), "_range")
+    return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.sum("_value").over(inside)).select(*rows.columns, name)
 
 
 def positions(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:

@@ -69,6 +69,27 @@ def embedded(nodes: DataFrame, embedder: Embedder, batch_size: int = 64) -> Data
     return nodes.withColumn("embedding", embed("page_content"))
 
 
+def text_digest(text: Column, model: str) -> Column:
+    """What a vector is stored by: the model's name and the text."""
+    return F.unhex(F.sha2(F.concat(F.lit(f"{model}\n"), F.coalesce(text, F.lit(""))), 256))
+
+
+def new_texts(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """(digest, page_content) of the texts of nodes(digest, page_content) that ``known`` (digest) does not name: each once, however many nodes have it."""
+    fresh = nodes.select("digest", "page_content").join(known.select("digest"), "digest", "left_anti")
+    return fresh.groupBy("digest").agg(F.first("page_content").alias("page_content"))
+
+
+def with_vectors(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """nodes(digest) with the ``embedding`` of their text."""
+    return nodes.join(vectors.groupBy("digest").agg(F.first("embedding").alias("embedding")), "digest", "left")
+
+
+def fresh_ids(ids: DataFrame, known: DataFrame) -> DataFrame:
+    """(node_id, source_file) of ids(node_id, source_file) that are inserted: ids that ``known`` (node_id) lacks, in the first file that has them."""
+    return ids.groupBy("node_id").agg(F.min("source_file").alias("source_file")).join(known.select("node_id"), "node_id", "left_anti")
+
+
 def last_by_id(rows: DataFrame) -> DataFrame:
     """One row per node_id: the last in file and node order."""
     order = F.struct("source_file", "pos")

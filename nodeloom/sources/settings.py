@@ -1,16 +1,17 @@
-"""Configuration and saved selections: small JSON documents that the driver reads and writes."""
+"""Configuration of imports and plans of exports: small values that the driver holds."""
 
 from __future__ import annotations
 
 import dataclasses
 import json
 import os
-import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from nodeloom.functions.text import slug
+
 
 @dataclasses.dataclass
 class ImportConfig:
@@ -43,35 +44,47 @@ def resolve(base: str, value: str) -> str:
     return value if "://" in value else str(Path(base) / Path(os.path.expanduser(value)))
 
 
-def save_selection(path: str, header: dict[str, str], selection: DataFrame, files: DataFrame) -> None:
-    """Write version 1 of a settings file; every file of ``files`` gets its sorted list, empty ones too.
-
-    One line per file passes through the driver: the settings of one folder, not data.
-    """
-    rows = files.select("source_file").join(selection.groupBy("source_file").agg(F.array_sort(F.collect_set("speaker")).alias("s")), "source_file", "left")
-    chosen = {r["source_file"]: list(r["s"] or []) for r in rows.orderBy("source_file").toLocalIterator()}
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_suffix(".tmp")
-    part.write_text(json.dumps({"version": 1, **header, "included_speakers_by_episode": chosen}, indent=2), "utf-8")
-    part.replace(target)
-
-
-def load_selection(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
-    """(header, selection, saved files): a file with an empty list is saved but selects nobody."""
-    found = json.loads(Path(path).read_text("utf-8"))
-    chosen = found.pop("included_speakers_by_episode", None) or {}
-    selection = spark.createDataFrame([(k, s) for k, v in chosen.items() for s in v], "source_file string, speaker string")
-    return found, selection, spark.createDataFrame([(k,) for k in chosen], "source_file string")
-
-
-def load_ledger_json(spark: SparkSession, path: str) -> DataFrame:
-    """(fingerprint, path, status) of a JSON ledger; one that cannot be parsed is copied aside and counts as empty."""
-    source, rows = Path(path), {}
-    if source.exists():
-        try:
-            rows = json.loads(source.read_text("utf-8")).get("files", {})
-        except ValueError:
-            aside = source.with_name(f"{source.stem}.corrupt.{int(time.time())}.json")
-            aside.write_text(source.read_text("utf-8", errors="replace"), "utf-8")
-    return spark.createDataFrame([(k, v.get("path"), v.get("status")) for k, v in rows.items()], "fingerprint string, path string, status string")
+#: What an export falls back to. Fixed value, and the names of this library's own defaults.
+NAMELESS, COLLECTION, MODEL, DEVICE = "Podcast Chat Export", ImportConfig.collection_name, ImportConfig.embedding_model, "auto"
+
+
+@dataclasses.dataclass
+class ExportPlan:
+    """What an export is asked for; the members of a settings document."""
+
+    podcast_name: str = ""
+    database_id: str = ""
+    processed_data_dir: str = ""
+    output_root: str = ""
+    collection_name: str = ""
+    embedding_model: str = ""
+    embedding_device: str = ""
+
+    @classmethod
+    def of(cls, head: dict[str, str]) -> ExportPlan:
+        """The known members of a settings document; a missing name is that of a nameless export."""
+        own = {f.name: str(head.get(f.name) or "") for f in dataclasses.fields(cls)}
+        return cls(**{**own, "podcast_name": own["podcast_name"] or NAMELESS})
+
+    def missing(self, files: int) -> list[str]:
+        """What has to be done before an export can start, in the order in which a form asks for it. Fixed values."""
+        asks = (
+            (self.processed_data_dir, "choose a processed RAG output folder"),
+            (self.output_root, "choose an output folder"),
+            (files, "load at least one processed episode file"),
+            (self.podcast_name.strip(), "enter a podcast name"),
+            (self.collection_name.strip(), "enter a collection"),
+            (self.embedding_model.strip(), "enter an embedding model"),
+        )
+        return [text for there, text in asks if not there]
+
+    def filled(self, spark: SparkSession) -> ExportPlan:
+        """With defaults for what is empty; the id is made from the name."""
+        name = self.podcast_name.strip()
+        made = self.database_id.strip() or spark.range(1).select(slug(F.lit(name))).first()[0]
+        return dataclasses.replace(self, podcast_name=name, database_id=made, collection_name=self.collection_name.strip() or COLLECTION, embedding_model=self.embedding_model.strip() or MODEL, embedding_device=self.embedding_device or DEVICE)
+
+    def about(self) -> dict[str, str]:
+        """The head of a manifest."""
+        own = dataclasses.asdict(self)
+        return {k: own[k] for k in ("database_id", "collection_name", "embedding_model", "embedding_device")} | {"description": f"Generated from processed RAG output in {self.processed_data_dir}"}

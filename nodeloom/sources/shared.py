@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
 
@@ -26,3 +26,31 @@ def shared_root(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name (not yet made) in the shared folder."""
     return f"{shared_root(spark)}/nodeloom/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(Hadoop file system, path) of a path that Spark reads, wherever it is."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    fs, path = file_system(spark, folder)
+    fs.delete(path, True)
+
+
+class Scratch:
+    """Scratch tables of one piece of work, deleted together."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, scratch(spark, name)
+
+    def store(self, rows: DataFrame, name: str, *by: str) -> DataFrame:
+        """Write rows (in folders by the columns ``by``) and read them back."""
+        path = f"{self.folder}/{name}"
+        writer = rows.write.partitionBy(*by) if by else rows.write
+        writer.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def drop(self) -> None:
+        delete(self.spark, self.folder)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.operators import episodes, manifest, order, quality, selection, store
 from nodeloom.plans import imports
-from nodeloom.sources import files, settings
+from nodeloom.sources import commits, files, manifest_json, settings
 from nodeloom.streaming import incremental
 
 
@@ -17,7 +17,7 @@ def node(i, text="some text", **meta):
 def write(folder, name, *nodes, **rest):
     os.makedirs(folder, exist_ok=True)
     with open(f"{folder}/{name}.processed_documents.json", "w") as f:
-        json.dump({"documents": list(nodes), **rest}, f)
+        json.dump({"documents": list(nodes), **rest}, f, indent=2 if name in "abc" else None)
 
 
 def run(spark, base, **options):
@@ -66,9 +66,8 @@ def test_export_generates_and_updates(spark, tmp_path):
     assert imports.export(*args, ann, store.hash_embedder(8)) == imports.Summary(0, 0, 0, 0)
     both = ann.union(spark.createDataFrame([(paths[0], "Bob")], ann.schema))
     assert imports.export(*args, both, store.hash_embedder(8)) == imports.Summary(1, 2, 1, 1)
-    last = imports.table(spark, f"{tmp_path}/out/a b/versions", "version long").agg(F.max("version")).first()[0]
-    head = spark.read.json(f"{tmp_path}/out/a b/manifest-{last}/header").first()
-    assert (head.episode_count, head.chunk_count, head.speaker_count) == (2, 3, 2)
+    document = json.load(open(commits.Commits(spark, f"{tmp_path}/out/a b").markers()[-1]["document"]))
+    assert (document["episode_count"], document["chunk_count"], len(document["speakers"])) == (2, 3, 2)
 
 
 @pytest.mark.parametrize("damaged", ['{"documents": [{"page_content": "cut', "no json"])
@@ -145,12 +144,14 @@ def test_settings(spark, tmp_path):
     with pytest.raises(ValueError):
         settings.ImportConfig(import_batch_size=0)
     chosen = spark.createDataFrame([("f", "B"), ("f", "A")], "source_file string, speaker string")
-    settings.save_selection(f"{tmp_path}/s.json", {"name": "x"}, chosen, spark.createDataFrame([("f",), ("g",)], "source_file string"))
-    header, sel, saved = settings.load_selection(spark, f"{tmp_path}/s.json")
+    listed = spark.createDataFrame([("f", "/f|1|2"), ("g", "/g|1|2")], "source_file string, plain_fingerprint string")
+    manifest_json.write_settings(f"{tmp_path}/s.json", {"name": "x"}, chosen, listed)
+    assert json.load(open(f"{tmp_path}/s.json")) == {"version": 1, "name": "x", "included_speakers_by_episode": {"/f|1|2": ["A", "B"], "/g|1|2": []}}
+    header, sel, saved = manifest_json.read_settings(spark, f"{tmp_path}/s.json")
     assert header["name"] == "x" and sel.count() == 2 and saved.count() == 2
     with open(f"{tmp_path}/l.json", "w") as f:
         f.write("{")
-    assert settings.load_ledger_json(spark, f"{tmp_path}/l.json").count() == 0
+    assert manifest_json.read_ledger(spark, f"{tmp_path}/l.json").count() == 0
     assert any(".corrupt." in x for x in os.listdir(tmp_path))
 
 
@@ -171,7 +172,7 @@ def test_jobs_of_few_files_progress_and_stop(spark, tmp_path):
     write(f"{tmp_path}/in", "zz", node("zz", " "))
     with pytest.raises(imports.InvalidFile, match="zz"):
         run(spark, tmp_path, per_commit=2, progress=seen.append)
-    assert [s.files for s in seen] == [2, 2] and imports.stored_nodes(spark, f"{tmp_path}/store").count() == 5
+    assert [s.files for s in seen] == [2, 2, 3] and seen[-1].pending == 4 and imports.stored_nodes(spark, f"{tmp_path}/store").count() == 5
     statuses = imports.latest(imports.table(spark, f"{tmp_path}/ledger", imports.LEDGER)).groupBy("status").count().collect()
     assert dict(map(tuple, statuses)) == {"completed": 5, "failed": 1}
 
@@ -180,9 +181,9 @@ def test_only_the_named_files_are_read(spark, tmp_path):
     for k in range(6):
         write(f"{tmp_path}/in", f"f{k}", node(k))
     paths = [r.source_file for r in files.list_files(spark, f"{tmp_path}/in").orderBy("source_file").collect()]
-    rows = files.read_nodes(spark, f"{tmp_path}/in", only=paths[2:4])
-    assert sorted(r.node_id for r in rows.collect()) == ["n2", "n3"]
-    assert rows._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [file_path") or "_metadata" in rows._jdf.queryExecution().optimizedPlan().toString()
+    texts = files.named_texts(spark, paths[2:4])
+    assert sorted(r.node_id for r in files.parse_nodes(texts).collect()) == ["n2", "n3"]
+    assert len(texts.inputFiles()) == 2
 
 
 @pytest.mark.parametrize("glob, expected", [("**/*.processed_documents.json", 3), ("*.processed_documents.json", 1), ("x/*.processed_documents.json", 1), ("*/*.processed_documents.json", 1), ("**/b*.json", 1)])
@@ -212,8 +213,8 @@ def test_command_line(tmp_path, spark, capsys, monkeypatch):
     cli.main(["doctor", "--config", f"{tmp_path}/c.json"])
     cli.main(["import", "--config", f"{tmp_path}/c.json"])
     out = capsys.readouterr().out
-    assert "1 files in" in out and "stopped=False files=1 documents=2 inserted=2 skipped=0" in out
-    assert len(spark.read.parquet(f"{tmp_path}/store/nodes").first().embedding) == 8
+    assert "PASS 1 files in" in out and "files=1/1" in out and "stopped=False files=1 documents=2 inserted=2 skipped=0" in out
+    assert len(imports.stored_nodes(spark, f"{tmp_path}/store/nodes").first().embedding) == 8
     (tmp_path / "STOP").touch()
     cli.main(["--config", f"{tmp_path}/c.json"])
     assert "stopped=True" in capsys.readouterr().out

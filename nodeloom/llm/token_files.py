@@ -8,8 +8,8 @@ each, false on the padding behind a shard's last id), and an Arrow file with the
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -21,27 +21,35 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import scratch, stored
+from nodeloom.llm.common import scratch, stored, tidy
 from nodeloom.llm.wordhash import distinct_words, spans
 
 #: Ids in a sequence, sequences in a batch, words kept between batches.
-LENGTH, ROWS, WORDS_KEPT = 2048, 256, 700_000
+LENGTH, ROWS, WORDS_KEPT = 2048, 256, 200_000
 #: Text bytes encoded at once, and those whose words are looked up at once.
 TEXT_SPAN, RUN = 2_000_000, 1 << 21
+#: Rows of a batch taken out of Arrow at once.
+BATCH = 1024
 
 
-#: A mark between a letter and white space.
-LAST_MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[ \n])")
+#: Marks that are words of their own between a letter and white space. Fixed values.
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
 
 
-def lowered(raw: bytes) -> bytes:
+def lowered(buf: np.ndarray) -> np.ndarray:
     """A-Z lower-cased, but for those in front of a character beyond ASCII: it may be a mark that the tokenizer composes with them first."""
-    if raw.isascii():
-        return raw.lower()
-    buf = np.frombuffer(raw, np.uint8)
     capital = (buf >= 65) & (buf <= 90)
     capital[:-1] &= buf[1:] < 128
-    return (buf | capital.astype(np.uint8) << 5).tobytes()
+    return buf | capital.astype(np.uint8) << 5
+
+
+def parted(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with a blank in front of each mark between a letter a-z and a blank or LF, and where texts begin then."""
+    letter = (buf >= 97) & (buf <= 122)
+    white = (buf == 0x20) | (buf == 0x0A)
+    at = np.flatnonzero(letter[:-2] & _MARK[buf[1:-1]] & white[2:]) + 1
+    return np.insert(buf, at, 0x20), offsets + np.searchsorted(at, offsets)
 
 
 #: Texts on which both ways of encoding must agree before words are looked up one by one.
@@ -89,8 +97,10 @@ class WordEncoder:
         fresh = [w for w in fresh if w not in self.known]
         for lo in range(0, len(fresh), 5_000):
             part = fresh[lo : lo + 5_000]
-            for word, ids in zip(part, self._ids([w.decode() for w in part]), strict=True):
-                self.known[word] = array("H", ids).tobytes()
+            found = self._ids([w.decode() for w in part])
+            flat = array("H", itertools.chain.from_iterable(found)).tobytes()  # one array for all, cut where a word's ids end
+            cuts = [0, *itertools.accumulate([2 * len(ids) for ids in found])]
+            self.known.update(zip(part, map(flat.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; each distinct word of about ``RUN`` bytes of text is looked up once.
@@ -104,22 +114,23 @@ class WordEncoder:
         out: list[np.ndarray] = []
         for _, run in spans(texts, RUN):
             raw = b"\n".join(run) + b"\n"
+            offsets = np.append(0, np.cumsum([len(x) + 1 for x in run]))
             if self.lowers and not any(token in low for low in [raw.lower()] for token in self.specials):
-                run = [LAST_MARK.sub(rb" \1", lowered(x + b"\n"))[:-1] for x in run]
-                raw = b"\n".join(run) + b"\n"
+                buf, offsets = parted(lowered(np.frombuffer(raw, np.uint8)), offsets)
+                raw = buf.tobytes()
             starts, ends, first, inverse = distinct_words(raw)
             distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             if len(self.known) > WORDS_KEPT:  # words that come again move to the new generation
                 self.before, self.known = self.known, {}
             self._learn([w for w in distinct if w not in self.known])
-            ids = [self.known[w] for w in distinct]
+            ids = list(map(self.known.__getitem__, distinct))
             flat = np.frombuffer(b"".join(ids), np.uint16)
-            sizes = np.array([len(x) // 2 for x in ids], np.int64)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
             begins = np.cumsum(sizes) - sizes
             n = sizes[inverse]
             upto = np.append(0, np.cumsum(n))
             tokens = flat[np.arange(upto[-1]) - np.repeat(upto[:-1] - begins[inverse], n)]
-            cuts = upto[np.searchsorted(starts, np.append(0, np.cumsum([len(x) + 1 for x in run])))]
+            cuts = upto[np.searchsorted(starts, offsets)]
             out += [tokens[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         return out
 
@@ -199,7 +210,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
 
         own, writer, name = encoder(tokenizer_file), None, uuid.uuid4().hex
         end = np.uint16(end_id)
-        for batch in batches:
+        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             ids, texts, lo = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
             while lo < len(texts):
                 hi, size = lo, 0
@@ -217,7 +228,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # rows that share an id are split and ordered by a hash of the text
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h")
-    shards = stored(rows.select("id", "text").mapInArrow(work, "shard long, name string, total long"), "shards")
+    shards = stored(rows.select("id", "text").mapInArrow(tidy(work), "shard long, name string, total long"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return shards.withColumn("first", F.coalesce(F.sum("total").over(before), F.lit(0)))
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from nodeloom.sources.shared import Scratch
 
-#: Ranges that a global order is cut into.
-RANGES = 256
-
 
 def running_total(rows: DataFrame, keys: list[Column], value: Column, name: str) -> DataFrame:
     """rows plus ``name``: the sum of ``value`` over all rows up to this one in the order of ``keys``.
@@ -21,7 +18,7 @@ def running_total(rows: DataFrame, keys: list[Column], value: Column, name: str)
     tables = Scratch(rows.sparkSession, "running-total")
     names = [f"_k{i}" for i in range(len(keys))]
     once = tables.store(rows.withColumns({**dict(zip(names, keys, strict=True)), "_value": value}), "rows")
-    dealt = tables.store(once.repartitionByRange(RANGES, *names).withColumn("_range", F.spark_partition_id()), "ranges")
+    dealt = tables.store(once.repartitionByRange(*names).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("_range").agg(F.sum("_value").alias("_total"))
     before = totals.withColumn("_before", F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
     inside = Window.partitionBy("_range").orderBy(*names)

@@ -1,6 +1,6 @@
 """Queries over real JSON files: conversations are written as files of processed documents, then listed and parsed.
 
-Ten conversations are one file. The nodes have every shape that the parser must take: absent, null and empty fields, numbers as ids (zero counts as absent), bare
+Ten conversations are one file, named by its number. The nodes have every shape that the parser must take: absent, null and empty fields, numbers as ids (zero counts as absent), bare
 metadata, speakers as a text, a list, a text with commas or a text with a JSON list, elements that are no objects.
 """
 
@@ -11,20 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nodeloom.functions.metadata import flat_values
+from nodeloom.functions.metadata import flat_json, flat_values
 from nodeloom.operators import episodes, manifest, quality, store
 from nodeloom.plans.corpus import Corpus, with_tables
 from nodeloom.sources.files import list_files, read_nodes
-from nodeloom.sources.shared import scratch
-
-#: Spark names the files part-...; the folder of each is its episode.
-GLOB = "**/part-*"
+from nodeloom.sources.shared import file_system, scratch
 
 #: The nodes as they were before they became JSON, for DuckDB.
 NODES = """j as (select n.*, conv_id // 10 as ep, row_number() over (partition by conv_id // 10 order by conv_id, turn) - 1 as pos from n),
 k as (select *, pos = 0 and ep % 3 = 0 as bare, conv_id * 7 + turn as spot from j),
 raw as (select ep, pos, conv_id, turn,
-  case when spot % 29 = 0 then '' when spot % 31 = 0 then 'None' else t end as page_content,
+  case when spot % 29 = 0 then '' when spot % 31 = 0 then 'None' when spot % 37 = 0 then 'Please share the source  material.' else t end as page_content,
   case when bare or (conv_id + turn) % 17 = 0 then null else node_id end as node_id, case when bare then null else node_type end as node_type,
   case when bare then null else nullif(episode_date, '') end as episode_date, case when bare then null else nullif(speaker_scope, '') end as speaker_scope,
   case when not bare and turn > 0 and conv_id <> 0 then cast(conv_id as varchar) end as episode_id,
@@ -83,12 +80,16 @@ def write_files(c: Corpus) -> str:
         _member("gone", F.lit("null"), F.lit(True)),
     ]
     metadata = F.when(F.col("first") & (F.col("ep") % 3 == 0), F.lit("{}")).otherwise(F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*members)), ","), F.lit("}")))
-    content = F.when(at % 29 == 0, F.lit("")).when(at % 31 == 0, F.lit('"page_content":null,')).otherwise(F.concat(F.lit('"page_content":'), F.coalesce(_quoted(F.col("text")), F.lit("null")), F.lit(",")))
+    content = F.when(at % 29 == 0, F.lit("")).when(at % 31 == 0, F.lit('"page_content":null,')).when(at % 37 == 0, F.lit('"page_content":"Please share the source  material.",')).otherwise(F.concat(F.lit('"page_content":'), F.coalesce(_quoted(F.col("text")), F.lit("null")), F.lit(",")))
     rows = rows.select("ep", F.struct("conv_id", "turn", F.concat(F.lit("{"), content, F.lit('"metadata":'), metadata, F.lit("}")).alias("json")).alias("node"))
     files = rows.groupBy("ep").agg(F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x["json"]), ",").alias("nodes"))
     title = F.when(F.col("ep") % 2 == 0, F.concat(F.lit(',"episode_title":"Episode '), F.col("ep"), F.lit('"'))).otherwise(F.lit(""))
     folder = scratch(c.spark, "documents")
     files.select("ep", F.concat(F.lit('{"documents":['), F.col("nodes"), F.lit(',"no object",7]'), title, F.lit("}")).alias("value")).repartition("ep").write.partitionBy("ep").text(folder)
+    fs, _ = file_system(c.spark, folder)
+    for part in fs.globStatus(file_system(c.spark, f"{folder}/ep=*/part-*")[1]):
+        number = part.getPath().getParent().getName().removeprefix("ep=")
+        fs.rename(part.getPath(), file_system(c.spark, f"{folder}/ep={number}/episode.{number}.processed_documents.json")[1])
     return folder
 
 
@@ -111,14 +112,14 @@ def query(sql: str):
 
 
 def _nodes(c: Corpus) -> DataFrame:
-    return read_nodes(c.spark, folder_of(c), GLOB)
+    return read_nodes(c.spark, folder_of(c))
 
 
 @query("select distinct ep, true as named from raw")
 def json_files(c: Corpus) -> DataFrame:
     """The files, each with a fingerprint of its path, size and time."""
-    found = list_files(c.spark, folder_of(c), GLOB)
-    return found.select(_ep(), F.col("fingerprint").rlike(r"ep=\d+/part-.*\|[0-9]+\|[0-9]+$").alias("named"))
+    found = list_files(c.spark, folder_of(c))
+    return found.select(_ep(), F.col("fingerprint").rlike(r"ep=(\d+)/episode\.\1\.processed_documents\.json\|[0-9]+\|[0-9]+$").alias("named"))
 
 
 @query("select ep, pos, page_content, node_id, node_type, episode_date, speaker_scope, episode_id, episode_title, file_title, has_metadata, label from raw")
@@ -143,23 +144,31 @@ def json_flat_values(c: Corpus) -> DataFrame:
     return rows.select(_ep(), F.col("pos").cast("long").alias("pos"), F.size(F.map_keys("flat")).cast("long").alias("n_keys"), *values)
 
 
-@query("""select ep, coalesce(arg_min(coalesce(episode_id, ''), pos) filter (where has_metadata), '') as episode_id,
-  coalesce(arg_min(episode_title, pos) filter (where episode_title is not null), max(file_title), 'stem') as episode_title,
+@query("""select ep, pos, case when bare then '{}' else concat('{', case when turn > 0 then concat('"episode_date": "', coalesce(episode_date, ''), '", "episode_id": ', conv_id) else concat('"episode_date": "', coalesce(episode_date, ''), '"') end,
+  case when turn % 4 = 3 then concat(', "episode_title": "Conversation ', conv_id, '"') else '' end, ', "flag": ', case when turn % 2 = 0 then 'true' else 'false' end, ', "gone": "", "n": ', turn,
+  ', "nested": "{\\"a\\": [1, ', turn, ']}"') end as head from raw""")
+def json_flat_text(c: Corpus) -> DataFrame:
+    """Flattened metadata as the JSON text that the store keeps, up to the node's own id."""
+    rows = _nodes(c).withColumn("flat", flat_json(F.col("metadata_json")))
+    return rows.select(_ep(), F.col("pos").cast("long").alias("pos"), F.when(F.col("flat") == "{}", F.col("flat")).otherwise(F.regexp_extract("flat", r'^(.*?\]\}")', 1)).alias("head"))
+
+
+@query("""select ep, coalesce(nullif(arg_min(coalesce(episode_id, ''), pos) filter (where has_metadata), ''), concat('episode.', ep, '.processed_documents')) as episode_id,
+  coalesce(arg_min(episode_title, pos) filter (where episode_title is not null), max(file_title), concat('episode.', ep)) as episode_title,
   coalesce(arg_min(episode_date, pos) filter (where episode_date is not null), '') as episode_date, count(*) as documents,
   count(*) filter (where length(trim(regexp_replace(page_content, '\\s+', ' ', 'g'))) > 0) as insertable from raw group by ep""")
 def json_rollup(c: Corpus) -> DataFrame:
     """Episodes of the files: the id is that of the first node with metadata, the title falls back to the file's and to its stem."""
-    rows = episodes.rollup(_nodes(c))
-    stem = lambda name, other: F.when(F.col(name).startswith("part-"), other).otherwise(F.col(name)).alias(name)
-    return rows.select(_ep(), stem("episode_id", F.lit("")), stem("episode_title", F.lit("stem")), "episode_date", "documents", "insertable")
+    return episodes.rollup(_nodes(c)).select(_ep(), "episode_id", "episode_title", "episode_date", "documents", "insertable")
 
 
 @query("""select ep, pos, r.i as rule_no, r.name as rule, label from raw,
-  unnest([{'i': 0, 'name': 'empty_content', 'hit': page_content = ''}, {'i': 2, 'name': 'missing_node_id', 'hit': node_id is null},
+  unnest([{'i': 0, 'name': 'empty_content', 'hit': page_content = ''},
+  {'i': 1, 'name': 'asks_for_source', 'hit': page_content = 'Please share the source  material.' and node_type is not null and node_type <> 'leaf_chunk'}, {'i': 2, 'name': 'missing_node_id', 'hit': node_id is null},
   {'i': 3, 'name': 'missing_episode_date', 'hit': episode_date is null}, {'i': 4, 'name': 'missing_speaker_scope', 'hit': node_type is not null and speaker_scope is null}]) as t(r) where r.hit""")
 def json_violations(c: Corpus) -> DataFrame:
-    """Rules that the parsed nodes break; ids are missing here, and no text asks for its source."""
-    return quality.violations(_nodes(c)).where("rule_no <> 1").select(_ep(), F.col("pos").cast("long").alias("pos"), "rule_no", "rule", "label")
+    """Rules that the parsed nodes break, all five."""
+    return quality.violations(_nodes(c)).select(_ep(), F.col("pos").cast("long").alias("pos"), "rule_no", "rule", "label")
 
 
 @query("select conv_id, turn, concat(r, '|Guest|3') as names, array_to_string(list_sort(['3=3', 'guest=Guest', concat(lower(r), '=', r)]), '|') as structs from (select conv_id, turn, coalesce(role, 'x') as r from conversations)")

@@ -163,7 +163,9 @@ def write_document(spark: SparkSession, path: str, head: dict, sections: dict[st
         _lines(rows, sort, f"{tables.folder}/{key}")
     fs, target = file_system(spark, path)
     _, hidden = file_system(spark, f"{target.getParent().toString()}/_{target.getName()}.tmp")
+    fs.setWriteChecksum(False)  # no checksum beside a file that other programs may edit
     out = fs.create(hidden, True)
+    fs.setWriteChecksum(True)
     out.write(bytearray(json.dumps(head, indent=2)[:-2].encode()))
     for key, (brackets, _, _) in sections.items():
         out.write(bytearray(f',\n  "{key}": {brackets[0]}'.encode()))

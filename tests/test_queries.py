@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from nodeloom.plans import catalogue, documents
+from nodeloom.plans import catalogue, documents, imported
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("conversations", "labels", "part", "pages", "events", "embeddings")
@@ -11,7 +11,7 @@ def rows(columns, data):
     return sorted(tuple(str(row[columns.index(c)]) for c in sorted(columns)) for row in data)
 
 
-QUERIES, SQL = catalogue.queries() | documents.queries(), catalogue.oracle_sql() | documents.oracle_sql()
+QUERIES, SQL = catalogue.queries() | documents.queries() | imported.queries(), catalogue.oracle_sql() | documents.oracle_sql() | imported.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -25,16 +25,18 @@ from nodeloom.llm.common import scratch, stored, tidy
 from nodeloom.llm.wordhash import distinct_words, spans
 
 #: Ids in a sequence, sequences in a batch, words kept between batches.
-LENGTH, ROWS, WORDS_KEPT = 2048, 256, 200_000
+LENGTH, ROWS, WORDS_KEPT = 2048, 256, 300_000
 #: Text bytes encoded at once, and those whose words are looked up at once.
-TEXT_SPAN, RUN = 2_000_000, 1 << 21
+TEXT_SPAN, RUN = 4_000_000, 1 << 22
 #: Rows of a batch taken out of Arrow at once.
-BATCH = 1024
+BATCH = 2048
 
 
-#: Marks that are words of their own between a letter and white space. Fixed values.
+#: Marks that are parted from the letters and digits in front of them: all of ASCII but the apostrophe, which may belong to letters. Fixed values.
 _MARK = np.zeros(256, bool)
-_MARK[list(b".,;:!?")] = True
+_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1)]] = True
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:
@@ -45,15 +47,23 @@ def lowered(buf: np.ndarray) -> np.ndarray:
 
 
 def parted(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes with a blank in front of each mark between a letter a-z and a blank or LF, and where texts begin then."""
-    letter = (buf >= 97) & (buf <= 122)
-    white = (buf == 0x20) | (buf == 0x0A)
-    at = np.flatnonzero(letter[:-2] & _MARK[buf[1:-1]] & white[2:]) + 1
+    """The bytes with a blank in front of each run of marks between a letter or digit and a blank or LF, and where texts begin then.
+
+    Letters are a-z and those of two bytes that begin with 0xC3 (but the signs for times and divided by).
+    """
+    mark = _MARK[buf]
+    edge = np.diff(mark.view(np.int8), prepend=0, append=0)
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = (starts > 1) & (stops < len(buf))
+    starts, stops = starts[inside], stops[inside]
+    one, two, behind = buf[starts - 1], buf[starts - 2], buf[stops]
+    letter = _PLAIN[one] | ((two == 0xC3) & (one != 0x97) & (one != 0xB7))
+    at = starts[letter & ((behind == 0x20) | (behind == 0x0A))]
     return np.insert(buf, at, 0x20), offsets + np.searchsorted(at, offsets)
 
 
 #: Texts on which both ways of encoding must agree before words are looked up one by one.
-PROBES = ("A. b.! c'd.e, F..", "one.\n\ntwo,\tThree;  four", "Straße ÀÉ naïve W\u030a H\u0331 J\u030c", "x\u00a0y\u2028z\u3000w", "don't I'LL it's 123 4.5", "漢字かな 한국 ▁ 𝔘", "\x00 \x0b\x0c\r a", "a" * 300)
+PROBES = ("A. b.! c'd.e, F..", "one.\n\ntwo,\tThree;  four", "Straße ÀÉ naïve W\u030a H\u0331 J\u030c", "x\u00a0y\u2028z\u3000w", "a%%% b,&& c.) 9** é,, ü!! ×!! ÷? x'y, z', 'n'. e\u0308, =\u0338 a=\u0338 q- 1.-_ ß) ", "don't I'LL it's 123 4.5", "漢字かな 한국 ▁ 𝔘", "\x00 \x0b\x0c\r a", "a" * 300)
 
 
 class WordEncoder:
@@ -106,7 +116,7 @@ class WordEncoder:
         """The ids of each text; each distinct word of about ``RUN`` bytes of text is looked up once.
 
         A tokenizer that composes, then lower-cases all but its special tokens, and parts letters from marks, gives the same ids if A-Z that
-        compose with nothing are lower-cased before and a mark behind the last letter of a word is looked up as a word of its own; where
+        compose with nothing are lower-cased before and marks behind the last letter or digit of a word are looked up as a word of their own; where
         a special token can appear, the text stays as it is.
         """
         if not self.by_words:

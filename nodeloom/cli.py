@@ -20,7 +20,7 @@ from nodeloom.sources.settings import ExportPlan, ImportConfig, load_config, res
 def run_import(spark: SparkSession, config: ImportConfig, base: str, args: argparse.Namespace) -> None:
     stop = Path(resolve(base, config.stop_file))
     store = f"{resolve(base, config.persist_dir)}/{config.collection_name}"
-    show = lambda s: print(f"files={s.files}/{s.pending} documents={s.documents} inserted={s.inserted}")
+    show = lambda s: print(f"[{min(s.files, s.pending)}/{s.pending}] documents={s.documents} inserted={s.inserted}")
     options = {"file_glob": config.file_glob, "batch_size": config.import_batch_size, "progress": show, "model": config.embedding_model, "ledger_json": args.ledger_json, "per_commit": args.per_commit}
     folder, ledger = resolve(base, config.processed_data_dir), resolve(base, config.state_path)
     out = import_pending(spark, folder, ledger, store, named_embedder(config.embedding_model), args.one_file, config.skip_existing_ids, stop.exists, **options)
@@ -100,7 +100,7 @@ def main(argv: list[str] | None = None) -> None:
         reading = args.action == "export" and args.settings
         plan = ExportPlan.of(manifest_json.read_settings(spark, args.settings)[0]) if reading else ExportPlan()
         given = {k: v for k in ("podcast_name", "database_id", "processed_data_dir", "output_root", "collection_name", "embedding_model") if (v := getattr(args, k))}
-        plan = dataclasses.replace(plan, **given).filled(spark)
+        plan = dataclasses.replace(plan, **given).named_after(spark).filled(spark)
         if args.action == "select":
             save_selection(spark, plan, args.settings, config.file_glob)
             print(f"saved {args.settings}")

@@ -67,6 +67,11 @@ def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
+def parent_name(path: Column) -> Column:
+    """The name of the folder that a path's last part is in; empty if there is none."""
+    return F.regexp_extract(filled(path), r"([^/]+)/+[^/]+/*$", 1)
+
+
 def named(name: Column) -> Column:
     """(id, name) of a speaker."""
     return F.struct(slug(name).alias("id"), name.alias("name"))

@@ -10,6 +10,8 @@ from nodeloom.functions.text import has_text, or_default, stem
 #: Sorts behind every date. Fixed value.
 NO_DATE = "9999-99-99"
 SUFFIX = ".processed_documents"
+#: Stands for a missing date in a label. Fixed value.
+UNDATED = "unknown date"
 
 
 def node_counts(nodes: DataFrame) -> DataFrame:
@@ -61,6 +63,18 @@ def rollup(nodes: DataFrame) -> DataFrame:
     )
 
 
+def labels(rows: DataFrame, badges: DataFrame) -> DataFrame:
+    """(source_file, label) of episodes: badge (source_file, badge), date or that it is unknown, and title."""
+    badge = F.when(F.coalesce("badge", F.lit("")) == "", "").otherwise(F.concat("badge", F.lit(" ")))
+    rows = rows.join(badges, "source_file", "left")
+    return rows.select("source_file", F.concat(badge, or_default(F.col("episode_date"), UNDATED), F.lit(" - "), F.coalesce("episode_title", F.lit(""))).alias("label"))
+
+
+def by_fingerprint(rows: DataFrame, fingerprint: str) -> DataFrame:
+    """The episode with a fingerprint, the first by path if there are several; a filter that reaches the scan."""
+    return rows.where(F.col("fingerprint") == fingerprint).orderBy("source_file").limit(1)
+
+
 def display_order() -> list[Column]:
     """Episodes by date (none last), title in lower case, path."""
     return [or_default(F.col("episode_date"), NO_DATE), F.lower("episode_title"), F.col("source_file")]

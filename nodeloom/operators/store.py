@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -34,10 +35,13 @@ def hash_embedder(size: int = 64) -> Embedder:
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), size), np.float32)
-        for i, text in enumerate(texts):
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                out[i, h % size] += 1 if h >> 63 else -1
+        words = [text.lower().split() for text in texts]
+        number = {word: k for k, word in enumerate(dict.fromkeys(itertools.chain.from_iterable(words)))}  # each is hashed once
+        hashes = np.array([int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big") for word in number], np.uint64)
+        at = np.fromiter((number[word] for own in words for word in own), np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(own) for own in words])
+        place, sign = (hashes % np.uint64(size)).astype(np.int64), np.where(hashes >> np.uint64(63), 1, -1).astype(np.float32)
+        np.add.at(out, (row, place[at]), sign[at])
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     return embed

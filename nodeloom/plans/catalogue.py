@@ -219,6 +219,25 @@ def initial_selection(c: Corpus) -> DataFrame:
     return selection.set_speakers(c.speakers, c.selection.limit(0), True)
 
 
+@query("select source_file, speaker from sp where source_file = '/corpus/conv_3.processed_documents.json'")
+def selection_none_globally(c: Corpus) -> DataFrame:
+    """Nobody is selected anywhere, then everybody in one file."""
+    nobody = selection.set_speakers(c.speakers, c.selection, False)
+    return selection.set_speakers(c.speakers, nobody, True, None, "/corpus/conv_3.processed_documents.json")
+
+
+@query("""select r.source_file, concat(case matched_by when 'fingerprint' then '[imported] ' when 'source_file' then '[changed] ' else '' end,
+  coalesce(nullif(r.episode_date, ''), 'unknown date'), ' - ', r.episode_title) as label from roll r join found f on r.source_file = f.source_file""")
+def episode_labels(c: Corpus) -> DataFrame:
+    return episodes.labels(episodes.rollup(c.nodes), manifest.badges(c.files, c.entries))
+
+
+@query("select source_file, fingerprint from files where fingerprint = (select max(fingerprint) from files where conv_id < 10)")
+def episode_by_fingerprint(c: Corpus) -> DataFrame:
+    mark = c.files.where("conv_id < 10").agg(F.max("fingerprint")).first()[0]
+    return episodes.by_fingerprint(c.files, mark).select("source_file", "fingerprint")
+
+
 _BATCHED = "(select *, (rn - 1) // 3 as batch from (select *, row_number() over (partition by source_file order by turn) as rn from n))"
 
 
@@ -260,6 +279,12 @@ def safe_folder(c: Corpus) -> DataFrame:
     return c.table("pages").select("page_id", text.folder_name(F.col("url")).alias("folder"))
 
 
+@query("select page_id, coalesce(nullif(regexp_extract(url, '([^/]+)/+[^/]+/*$', 1), ''), 'Podcast Export') as name from pages", tables=False)
+def default_names(c: Corpus) -> DataFrame:
+    """What an export is called when only its folder is known: as the folder above."""
+    return c.table("pages").select("page_id", text.or_default(text.parent_name(F.col("url")), text.DEFAULT_FOLDER).alias("name"))
+
+
 @query("select event_id, props ->> '$.k' as k, coalesce(props ->> '$.missing', 'unknown') as missing from events", tables=False)
 def props_metadata(c: Corpus) -> DataFrame:
     value = F.try_parse_json("props")

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.functions.text import slug
+from nodeloom.functions.text import DEFAULT_FOLDER, or_default, parent_name, slug
 
 
 @dataclasses.dataclass
@@ -48,6 +48,12 @@ def resolve(base: str, value: str) -> str:
 NAMELESS, COLLECTION, MODEL, DEVICE = "Podcast Chat Export", ImportConfig.collection_name, ImportConfig.embedding_model, "auto"
 
 
+def device(value: str) -> str:
+    """A device's name in its usual form: nothing is automatic, the first of a kind has a number."""
+    name = value.strip().lower() or DEVICE
+    return "cuda:0" if name == "cuda" else name
+
+
 @dataclasses.dataclass
 class ExportPlan:
     """What an export is asked for; the members of a settings document."""
@@ -82,7 +88,14 @@ class ExportPlan:
         """With defaults for what is empty; the id is made from the name."""
         name = self.podcast_name.strip()
         made = self.database_id.strip() or spark.range(1).select(slug(F.lit(name))).first()[0]
-        return dataclasses.replace(self, podcast_name=name, database_id=made, collection_name=self.collection_name.strip() or COLLECTION, embedding_model=self.embedding_model.strip() or MODEL, embedding_device=self.embedding_device or DEVICE)
+        return dataclasses.replace(self, podcast_name=name, database_id=made, collection_name=self.collection_name.strip() or COLLECTION, embedding_model=self.embedding_model.strip() or MODEL, embedding_device=device(self.embedding_device))
+
+    def named_after(self, spark: SparkSession) -> ExportPlan:
+        """With a name, if it has none: that of the folder above the processed files."""
+        if self.podcast_name.strip():
+            return self
+        found = spark.range(1).select(or_default(parent_name(F.lit(self.processed_data_dir)), DEFAULT_FOLDER)).first()[0]
+        return dataclasses.replace(self, podcast_name=found)
 
     def about(self) -> dict[str, str]:
         """The head of a manifest."""

@@ -13,7 +13,7 @@ from nodeloom import cli
 from nodeloom.functions.metadata import flat_json
 from nodeloom.operators import order, store
 from nodeloom.plans import imports
-from nodeloom.sources import commits, connector, files, manifest_json
+from nodeloom.sources import commits, connector, files, manifest_json, settings
 from nodeloom.sources.settings import ExportPlan
 from nodeloom.streaming import incremental
 
@@ -379,22 +379,25 @@ def test_what_an_export_still_needs(spark):
     plan = ExportPlan(podcast_name=" My  Show! ", processed_data_dir="in", output_root="out").filled(spark)
     assert plan.missing(1) == [] and plan.missing(0) == ["load at least one processed episode file"]
     assert (plan.database_id, plan.collection_name, plan.embedding_model, plan.embedding_device) == ("my-show", "nodes", "hash-64", "auto")
+    assert ExportPlan(processed_data_dir="/data/My Show/out/").named_after(spark).podcast_name == "My Show"
+    assert ExportPlan(processed_data_dir="out").named_after(spark).podcast_name == "Podcast Export"
+    assert [settings.device(d) for d in ("", " CUDA ", "cuda:1", "cpu")] == ["auto", "cuda:0", "cuda:1", "cpu"]
     assert ExportPlan.of({"database_id": "d", "other": "x"}) == ExportPlan(podcast_name="Podcast Chat Export", database_id="d")
 
 
 def test_select_and_export_from_the_command_line(spark, tmp_path, capsys):
     write(f"{tmp_path}/in", "a", node(1), node(2, speaker="Bob"))
     write(f"{tmp_path}/in", "b", node(3))
-    settings = f"{tmp_path}/s.json"
-    cli.main(["select", "--settings", settings, "--processed-data-dir", f"{tmp_path}/in", "--output-root", f"{tmp_path}/out", "--podcast-name", "Show", "--embedding-model", "hash-8"])
-    saved = json.loads(Path(settings).read_text())
+    saved_at = f"{tmp_path}/s.json"
+    cli.main(["select", "--settings", saved_at, "--processed-data-dir", f"{tmp_path}/in", "--output-root", f"{tmp_path}/out", "--podcast-name", "Show", "--embedding-model", "hash-8"])
+    saved = json.loads(Path(saved_at).read_text())
     marks = sorted(saved["included_speakers_by_episode"])
     assert [saved["included_speakers_by_episode"][m] for m in marks] == [["Ann", "Bob"], ["Ann"]]
     # as another program would have saved it: times in nanoseconds, a file that nobody selects from, and no entry for the other
     stat = os.stat(f"{tmp_path}/in/a.processed_documents.json")
     saved["included_speakers_by_episode"] = {f"{tmp_path}/in/a.processed_documents.json|{stat.st_size}|{stat.st_mtime_ns}": ["Bob"]}
-    Path(settings).write_text(json.dumps(saved))
-    cli.main(["export", "--settings", settings, "--mode", "generate"])
+    Path(saved_at).write_text(json.dumps(saved))
+    cli.main(["export", "--settings", saved_at, "--mode", "generate"])
     assert "episodes=2 selected=2 inserted=2" in capsys.readouterr().out
     document = json.loads(Path(commits.Commits(spark, f"{tmp_path}/out/Show").markers()[-1]["document"]).read_text())
     assert [(e["source_file"][-27:], [s["name"] for s in e["speakers"]]) for e in document["episodes"]] == [("/a.processed_documents.json", ["Bob"]), ("/b.processed_documents.json", ["Ann"])]

@@ -213,7 +213,7 @@ def test_command_line(tmp_path, spark, capsys, monkeypatch):
     cli.main(["doctor", "--config", f"{tmp_path}/c.json"])
     cli.main(["import", "--config", f"{tmp_path}/c.json"])
     out = capsys.readouterr().out
-    assert "PASS 1 files in" in out and "files=1/1" in out and "stopped=False files=1 documents=2 inserted=2 skipped=0" in out
+    assert "PASS 1 files in" in out and "[1/1] documents=2" in out and "stopped=False files=1 documents=2 inserted=2 skipped=0" in out
     assert len(imports.stored_nodes(spark, f"{tmp_path}/store/nodes").first().embedding) == 8
     (tmp_path / "STOP").touch()
     cli.main(["--config", f"{tmp_path}/c.json"])

@@ -30,7 +30,7 @@ ODD = re.compile(f"  |^ | $|{MARK}", re.ASCII)
 #: Texts on which a model's own encoder must agree: no normalisation, its kind of merges, bytes for what is no piece.
 PROBES = ("", "a b", "  two  blanks ", "ﬁ Å① ｗｉｄｅ é\u0301", "\0 \0\0x", "漢字 𝔘𝔘", "tab\tand\nlines\n\n", "▁ mark▁▁", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa bbbb", " " * 40)
 #: Characters indexed at once; bytes of text whose words are looked up at once; units and (as a power of two) verdicts kept between batches.
-SPAN, RUN, UNITS_KEPT, VERDICTS_LOG2 = 1_000_000, 1 << 20, 250_000, 20
+SPAN, RUN, UNITS_KEPT, VERDICTS_LOG2 = 400_000, 1 << 20, 250_000, 20
 #: Longest unit that is relaxed together with others, in characters.
 SIDE_BY_SIDE = 64
 #: Makes token numbers positive (a character that is no piece has a negative one); no piece yet.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import sized, tidy
+from nodeloom.llm.common import sized, stored, tidy
 
 SCALE = 256
 #: Bytes of a block of queries as 64-bit floats, vectors of a shard, least number of shards, vectors multiplied at once, lists merged in one step.
@@ -139,9 +139,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     counts = rows.groupBy("size").agg(F.count("*").alias("rows"), F.count_if("asks").alias("asked")).where("asked > 0")
     blocks = F.ceil(8 * F.col("asked") * F.greatest("size", F.lit(1)) / BLOCK_BYTES)
     shards = F.greatest(F.least(F.lit(SPREAD), "rows"), F.ceil(F.col("rows") / SHARD))
-    counts = counts.select("size", blocks.cast("int").alias("blocks"), shards.cast("int").alias("shards"))
+    counts = stored(counts.select("size", blocks.cast("int").alias("blocks"), shards.cast("int").alias("shards")), "sizes")  # one row per length of vectors
     widest = counts.agg(F.max("shards")).first()[0] or 0
-    dealt = rows.join(sized(counts), "size").withColumn("deal", F.xxhash64("h", "id"))  # one row per length of vectors
+    dealt = rows.join(sized(counts), "size").withColumn("deal", F.xxhash64("h", "id"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     some = lambda n: F.pmod("deal", n).cast("int")
     asked = dealt.where("asks").dropDuplicates(["id", "vector"])

@@ -32,6 +32,8 @@ from nodeloom.llm.wordhash import mix, scan, spans
 #: Counters of the frequency sketch (fixed size) and most bits of a bitmap: what travels with tasks is bounded.
 BINS_LOG2, MOST_BITS = 18, 26
 NULL_ID = -(1 << 63)
+#: Bits of a token that tell repeated ones, ranges of them (as a power of two), and tokens that a task packs at once.
+LOW_BITS, RANGES_LOG2, PACKED = 31, 10, 1 << 22
 #: Spreads the lines of a document over the bitmap of wanted lines.
 STEP = 40503
 #: Longest posting list whose pairs become rows; open lines that a task holds; lines that it reads against them.
@@ -138,10 +140,10 @@ def line_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return rows.select(F.struct("id", "h", "line").alias("x"), "d1", "d2", "n", "prefix")
 
 
-def _copies(lines: DataFrame) -> DataFrame:
+def _copies(lines: DataFrame, tables: Scratch) -> DataFrame:
     """(x) of the lines whose token set an earlier line has. Only classes of several lines are joined and looked through."""
     again = lines.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
-    rows = lines.select("x", "d1", "d2").join(again, ["d1", "d2"])
+    rows = tables.store(lines.select("x", "d1", "d2").join(again, ["d1", "d2"]), "members")
     firsts = rows.groupBy("d1", "d2").agg(F.min("x").alias("first"))
     return rows.join(firsts, ["d1", "d2"]).where("x <> first").select("x")
 
@@ -151,10 +153,66 @@ def _once(rows: DataFrame, repeated: bool) -> DataFrame:
     return rows.dropDuplicates(["x"]) if repeated else rows
 
 
+def repeated_tokens(lines: DataFrame) -> DataFrame:
+    """(low): the low LOW_BITS bits of the prefix tokens that occur more than once; a value that two tokens share only costs rows.
+
+    Tasks send their tokens packed, by range of these bits. The task of a range marks what it has seen once and what again in two
+    arrays whose size does not depend on the number of tokens.
+    """
+    width = LOW_BITS - RANGES_LOG2
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange((1 << RANGES_LOG2) + 1, dtype=np.int64) << width
+
+        def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+            low = np.sort(np.concatenate(held))
+            cuts = np.searchsorted(low, edges)
+            rows = np.flatnonzero(np.diff(cuts))
+            data = low.astype("<i4")
+            return pa.record_batch([pa.array(rows.astype(np.int32)), pa.array([data[cuts[r] : cuts[r + 1]].tobytes() for r in rows.tolist()], pa.binary())], ["range", "tokens"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False) & ((1 << LOW_BITS) - 1))
+            size += len(held[-1])
+            if size > PACKED:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, once, twice = None, np.zeros(1 << width, bool), np.zeros(1 << width, bool)
+
+        def found() -> Iterator[pa.RecordBatch]:
+            low = (np.flatnonzero(twice) + (now << width)).astype(np.int32)
+            for lo in range(0, len(low), 1 << 16):
+                yield pa.record_batch([pa.array(low[lo : lo + (1 << 16)])], ["low"])
+
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield from found()
+                    now = part
+                    once[:], twice[:] = False, False
+                values = np.frombuffer(data.as_buffer(), "<i4") - (part << width)  # sorted
+                first = np.ones(len(values), bool)
+                first[1:] = values[1:] != values[:-1]
+                twice[values[~first]] = True
+                values = values[first]
+                twice[values[once[values]]] = True
+                once[values] = True
+        if now is not None:
+            yield from found()
+
+    rows = lines.select("prefix").mapInArrow(tidy(deal), "range int, tokens binary")
+    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(tidy(again), "low int")
+
+
 def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch, repeated: bool) -> DataFrame:
     """(tok, x, n, pos, c, y, m, q): the lines of each posting list of c > 1 first lines of classes; y is its first line."""
-    low = F.col("tok").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")  # half the bytes; a shared value only costs rows
-    again = tables.store(lines.select(F.explode("prefix").alias("tok")).groupBy(low.alias("low")).count().where("count > 1").select("low"), "repeated-tokens")
+    again = tables.store(repeated_tokens(lines), "repeated-tokens")
     bits = bits_for(again.count(), MOST_BITS)
     mask = (1 << bits) - 1
     found = np.frombuffer(bitmap_of(again, F.col("low").bitwiseAND(F.lit(mask)).cast("long"), bits), np.uint8)
@@ -316,7 +374,7 @@ def removed_lines(docs: DataFrame, tables: Scratch, repeated: bool, width: int =
     ``repeated`` says whether several rows may have the same id and h.
     """
     lines = tables.store(line_table(docs, width, num, den), "lines")
-    copies = tables.store(_copies(lines), "copies")
+    copies = tables.store(_copies(lines, tables), "copies")
     lists = _postings(lines, copies, tables, repeated)
     positional = f"{num + den} * (least(pos, q) + least(n - pos, m - q)) >= {num} * (n + m)"
     star = tables.store(lists.where("x <> y").where(_near(num, den)).where(positional).select("x", "y").distinct(), "star")

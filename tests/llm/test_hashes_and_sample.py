@@ -54,3 +54,18 @@ def test_the_sample_is_bounded_by_its_characters(spark):
     assert {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()} == {0: 64, 1: 64}
     none = toxicity.training_sample(table, table.select("doc_id", "toxic"), characters=6399)  # 100 is more than a 64th
     assert none.where("taken").count() == 0 and none.where("text is not null").count() == 0
+
+
+def test_repeated_tokens_equal_a_count(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    tokens = rng.integers(-(1 << 63), (1 << 63) - 1, 3000)
+    tokens = np.concatenate([tokens, tokens[:700], tokens[:5], tokens[:5], tokens[2990:] ^ (1 << 40)])  # some agree in the low bits only
+    rng.shuffle(tokens)
+    lists = [(tokens[lo : lo + 7].tolist(),) for lo in range(0, len(tokens), 7)] + [([],)]
+    lines = spark.createDataFrame(lists, "prefix array<long>")
+    low, n = np.unique(tokens & ((1 << 31) - 1), return_counts=True)
+    for packed in (50, 1 << 22):
+        monkeypatch.setattr(line_dedup, "PACKED", packed)
+        found = [r.low for r in line_dedup.repeated_tokens(lines.repartition(3)).collect()]
+        assert sorted(found) == low[n > 1].tolist()
+    assert line_dedup.repeated_tokens(lines.limit(0)).count() == 0

@@ -26,16 +26,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import BROADCAST_ROWS, Scratch, bitmap_of, bits_for, free_name, may_be_among, once, tidy
-from nodeloom.llm.wordhash import mix, scan, spans
+from nodeloom.llm.common import BROADCAST_ROWS, Scratch, bitmap_of, bits_for, free_name, in_bitmap, may_be_among, once, tidy
+from nodeloom.llm.wordhash import mix, scan_blocks, spans
 
 #: Counters of the frequency sketch (fixed size) and most bits of a bitmap: what travels with tasks is bounded.
 BINS_LOG2, MOST_BITS = 18, 26
+#: Parts in which tasks send their counters to be added up.
+PARTS = 64
 NULL_ID = -(1 << 63)
 #: Bits of a token that tell repeated ones, ranges of them (as a power of two), and tokens that a task packs at once.
 LOW_BITS, RANGES_LOG2, PACKED = 31, 10, 1 << 22
 #: Spreads the lines of a document over the bitmap of wanted lines.
 STEP = 40503
+#: Text bytes counted at once: what is made of them stays in a core's cache.
+PIECE = 1 << 17
 #: Longest posting list whose pairs become rows; open lines that a task holds; lines that it reads against them.
 SHORT, BLOCK, READ = 32, 512, 8192
 #: A line: its document's id, a hash of the text where ids may repeat (else 0), and its number.
@@ -45,17 +49,18 @@ X = "struct<id: long, h: long, line: int>"
 def line_tokens(run: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(token, group) in order of occurrence, repeated ones too, and each group's (text, line): the lines with words."""
     raw = b"\n".join(run) + b"\n"
-    hashes, starts, _ = scan(raw.lower())
+    hashes, starts = scan_blocks(raw.lower())
     if not len(hashes):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    breaks = np.frombuffer(raw, np.uint8) == 10
-    place = np.cumsum(breaks)[starts]  # lines of all texts, numbered through
-    heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    counts = np.diff(np.append(heads, len(hashes)))
+    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    upto = np.append(0, np.searchsorted(starts, breaks))  # words in front of each line of all texts, numbered through
+    counts = np.diff(upto)
+    place = np.flatnonzero(counts)
+    heads, counts = upto[place], counts[place]
     offsets = np.append(0, np.cumsum([len(x) + 1 for x in run])[:-1])
-    firsts = np.searchsorted(np.flatnonzero(breaks), offsets)
-    text = np.searchsorted(firsts, place[heads], "right") - 1
-    line = place[heads] - firsts[text]
+    firsts = np.searchsorted(breaks, offsets)
+    text = np.searchsorted(firsts, place, "right") - 1
+    line = place - firsts[text]
     factor = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
     n = max(0, len(hashes) - width + 1)
     sums = np.zeros(len(hashes), np.uint64)
@@ -98,18 +103,30 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     """The place of each bin of tokens in the order of their counts over all lines."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = np.zeros(1 << BINS_LOG2, np.int64)
+        bins, held, size = np.zeros(1 << BINS_LOG2, np.int64), [], 0
         for batch in batches:
-            for _, run in spans(batch.column(0).to_pylist()):
-                bins += np.bincount(_bin(line_tokens(run, width)[0]), minlength=len(bins))
-        used = np.flatnonzero(bins)
-        for lo in range(0, len(used), 1 << 16):
-            at = used[lo : lo + (1 << 16)]
-            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(bins[at])], ["bin", "n"])
-
-    rows = docs.select("text").mapInArrow(tidy(count), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+            for _, run in spans(batch.column(0).cast(pa.binary()).to_pylist(), PIECE):
+                held.append(_bin(line_tokens(run, width)[0]))
+                size += len(held[-1])
+                if size > len(bins):
+                    bins += np.bincount(np.concatenate(held), minlength=len(bins))
+                    held, size = [], 0
+        for rest in held:
+            np.add.at(bins, rest, 1)
+        if bins.any():
+            yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([part.tobytes() for part in np.split(bins, PARTS)], pa.binary())], ["part", "bins"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, bins in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(bins.as_buffer(), np.int64)
+        yield pa.record_batch([pa.array(sums, pa.int32()), pa.array([part.tobytes() for part in sums.values()], pa.binary())], ["part", "bins"])
+
+    rows = docs.select("text").mapInArrow(tidy(count), "part int, bins binary").repartition("part").mapInArrow(tidy(add), "part int, bins binary").toArrow()
     bins = np.zeros(1 << BINS_LOG2, np.int64)
-    bins[rows.column("bin").to_numpy()] = rows.column("n").to_numpy()
+    for part, counts in zip(rows.column("part").to_pylist(), rows.column("bins").to_pylist(), strict=True):
+        np.split(bins, PARTS)[part][:] = np.frombuffer(counts, np.int64)
     ranks = np.empty(len(bins), np.int32)
     ranks[np.argsort(bins, kind="stable")] = np.arange(len(bins), dtype=np.int32)
     return ranks
@@ -122,7 +139,7 @@ def line_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, more = batch.column("id").to_numpy(), batch.column("h").to_numpy()
-            for first, run in spans(batch.column("text").to_pylist()):
+            for first, run in spans(batch.column("text").cast(pa.binary()).to_pylist()):
                 tokens, owner, text, line = line_tokens(run, width)
                 if not len(tokens):
                     continue
@@ -140,11 +157,19 @@ def line_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return rows.select(F.struct("id", "h", "line").alias("x"), "d1", "d2", "n", "prefix")
 
 
+def _low_bits(again: DataFrame) -> tuple[np.ndarray, int]:
+    """The bitmap of repeated low bits and the mask of a place in it."""
+    bits = bits_for(again.count(), MOST_BITS)
+    mask = (1 << bits) - 1
+    return np.frombuffer(bitmap_of(again, F.col("low").bitwiseAND(F.lit(mask)).cast("long"), bits), np.uint8), mask
+
+
 def _copies(lines: DataFrame, tables: Scratch) -> DataFrame:
-    """(x) of the lines whose token set an earlier line has. Only classes of several lines are joined and looked through."""
-    again = lines.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
-    rows = tables.store(lines.select("x", "d1", "d2").join(again, ["d1", "d2"]), "members")
-    firsts = rows.groupBy("d1", "d2").agg(F.min("x").alias("first"))
+    """(x) of the lines whose token set an earlier line has. Only lines whose digest may be repeated are grouped and joined."""
+    found, mask = _low_bits(tables.store(repeated_tokens(lines.select(F.array("d1").alias("tokens"))), "repeated-digests"))
+    rows = lines.select("x", "d1", "d2").where(in_bitmap(found.tobytes(), F.col("d1").bitwiseAND(F.lit(mask))))
+    rows = tables.store(rows, "members")
+    firsts = rows.groupBy("d1", "d2").agg(F.min("x").alias("first"), F.count("*").alias("c")).where("c > 1").select("d1", "d2", "first")
     return rows.join(firsts, ["d1", "d2"]).where("x <> first").select("x")
 
 
@@ -153,8 +178,8 @@ def _once(rows: DataFrame, repeated: bool) -> DataFrame:
     return rows.dropDuplicates(["x"]) if repeated else rows
 
 
-def repeated_tokens(lines: DataFrame) -> DataFrame:
-    """(low): the low LOW_BITS bits of the prefix tokens that occur more than once; a value that two tokens share only costs rows.
+def repeated_tokens(lists: DataFrame) -> DataFrame:
+    """(low): the low LOW_BITS bits of the tokens, one list a row, that occur more than once; a value that two tokens share only costs rows.
 
     Tasks send their tokens packed, by range of these bits. The task of a range marks what it has seen once and what again in two
     arrays whose size does not depend on the number of tokens.
@@ -206,16 +231,13 @@ def repeated_tokens(lines: DataFrame) -> DataFrame:
         if now is not None:
             yield from found()
 
-    rows = lines.select("prefix").mapInArrow(tidy(deal), "range int, tokens binary")
+    rows = lists.mapInArrow(tidy(deal), "range int, tokens binary")
     return rows.repartition("range").sortWithinPartitions("range").mapInArrow(tidy(again), "low int")
 
 
 def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch, repeated: bool) -> DataFrame:
     """(tok, x, n, pos, c, y, m, q): the lines of each posting list of c > 1 first lines of classes; y is its first line."""
-    again = tables.store(repeated_tokens(lines), "repeated-tokens")
-    bits = bits_for(again.count(), MOST_BITS)
-    mask = (1 << bits) - 1
-    found = np.frombuffer(bitmap_of(again, F.col("low").bitwiseAND(F.lit(mask)).cast("long"), bits), np.uint8)
+    found, mask = _low_bits(tables.store(repeated_tokens(lines.select("prefix")), "repeated-tokens"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +275,7 @@ def _line_sets(docs: DataFrame, nodes: DataFrame, width: int, repeated: bool) ->
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, more, place = (batch.column(c).to_numpy() for c in ("id", "h", "place"))
-            for first, run in spans(batch.column("text").to_pylist()):
+            for first, run in spans(batch.column("text").cast(pa.binary()).to_pylist()):
                 raw = b"\n".join(run) + b"\n"
                 ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
                 starts = np.append(0, ends[:-1] + 1)
@@ -430,7 +452,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables.drop()
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("id"), h.alias("h"))
     text = F.col(f"row.`{text_col}`")
-    lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
+    lines = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     names = [free_name(docs, "_lines"), free_name(docs, "_removed")]
 
     def result(rows: DataFrame, own: Column, removed: Column) -> DataFrame:

@@ -67,9 +67,9 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bits_for(rows: int, most: int) -> int:
-    """Bits (as a power of two, 2**15 to 2**most) of a bitmap in which ``rows`` values fill a sixteenth at most, if they may."""
-    return min(most, max(15, (16 * rows).bit_length()))
+def bits_for(rows: int, most: int, spare: int = 16) -> int:
+    """Bits (as a power of two, 2**15 to 2**most) of a bitmap in which ``rows`` values fill one of ``spare`` at most, if they may."""
+    return min(most, max(15, (spare * rows).bit_length()))
 
 
 def bitmap_of(rows: DataFrame, position: Column, bits: int) -> bytes:

@@ -31,6 +31,8 @@ from nodeloom.llm.wordhash import mix, scan_blocks, spans
 
 #: Counters of the frequency sketch (fixed size) and most bits of a bitmap: what travels with tasks is bounded.
 BINS_LOG2, MOST_BITS = 18, 26
+#: Bits of a bitmap for each value in it: where few of all lines are wanted, most of what a fuller one lets through is not.
+SPARE = 128
 #: Parts in which tasks send their counters to be added up.
 PARTS = 64
 NULL_ID = -(1 << 63)
@@ -159,7 +161,7 @@ def line_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 def _low_bits(again: DataFrame) -> tuple[np.ndarray, int]:
     """The bitmap of repeated low bits and the mask of a place in it."""
-    bits = bits_for(again.count(), MOST_BITS)
+    bits = bits_for(again.count(), MOST_BITS, SPARE)
     mask = (1 << bits) - 1
     return np.frombuffer(bitmap_of(again, F.col("low").bitwiseAND(F.lit(mask)).cast("long"), bits), np.uint8), mask
 
@@ -268,7 +270,7 @@ def _wanted(key: str, bits: int) -> Column:
 
 def _line_sets(docs: DataFrame, nodes: DataFrame, width: int, repeated: bool) -> DataFrame:
     """(x, tokens) of the wanted lines (x), and a few others: only these lines of a text are cut into tokens."""
-    bits = bits_for(nodes.count(), MOST_BITS)
+    bits = bits_for(nodes.count(), MOST_BITS, SPARE)
     place = F.pmod(_wanted("x.", bits) + F.col("x.line").cast("long") * F.lit(STEP), F.lit(1 << bits))
     wanted = np.frombuffer(bitmap_of(nodes, place, bits), np.uint8)
 

@@ -67,7 +67,8 @@ def written(c: Corpus) -> str:
         json = F.concat(F.lit('{"page_content": '), quoted(text), F.lit(', "metadata": {'), metadata, F.lit("}}"))
         rows = c.table("conversations").select(F.lpad(ep.cast("string"), 9, "0").alias("ep"), F.struct("conv_id", "turn", json.alias("json")).alias("node"))
         files = rows.groupBy("ep").agg(F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x["json"]), ",\n").alias("nodes"))  # ten conversations
-        value = F.concat(F.lit('{\n"documents": ['), F.col("nodes"), F.lit("]\n}"))
+        title = F.concat(F.lit('"episode_title": "ep-'), "ep", F.lit('"'))  # else it is the name of the part file, which differs from run to run
+        value = F.concat(F.lit("{\n"), title, F.lit(',\n"documents": ['), F.col("nodes"), F.lit("]\n}"))
         files.select(F.concat(F.lit("ep-"), "ep").alias("ep"), value.alias("value")).repartition("ep").write.partitionBy("ep").text(folder)
 
     return _once(c, "valid-documents", make)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from nodeloom.sources.shared import delete, file_system
+from nodeloom.sources.shared import delete, file_system, listed_by_few_tasks
 
 #: Parts that ids are dealt to. Fixed for a store: its folders are named by it.
 PARTS = 64
@@ -80,7 +80,8 @@ class Commits:
             return self.spark.createDataFrame([], kind)
         base = self.folder(table)
         paths = [f"{base}/commit={n}" for n in (names[-1:] if last_only else names)]
-        return self.spark.read.schema(kind).option("basePath", base).parquet(*paths)
+        with listed_by_few_tasks(self.spark):
+            return self.spark.read.schema(kind).option("basePath", base).parquet(*paths)
 
     def holding(self, table: str, schema: str, key: str, wanted: DataFrame) -> DataFrame:
         """The distinct values of ``key`` that are both in the table and in ``wanted``.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.functions.metadata import field, is_kind, speakers, text_of, truthy_text
-from nodeloom.sources.shared import file_system
+from nodeloom.sources.shared import file_system, listed_by_few_tasks
 
 #: All files of this name, however deep; the default of the configuration. Fixed value.
 GLOB = "**/*.processed_documents.json"
@@ -38,12 +38,14 @@ def list_files(spark: SparkSession, folder: str, file_glob: str = GLOB) -> DataF
     without its scheme, and milliseconds. Files of no bytes, which Spark lists but never reads, are told by their names.
     """
     reader, at = reader_of(spark, folder, file_glob)
-    rows = reader.format("binaryFile").load(at)
+    with listed_by_few_tasks(spark):
+        rows = reader.format("binaryFile").load(at)
     uri = F.col("_metadata.file_path")
     found = rows.select(uri.alias("source_file"), "path", "length", F.unix_micros("modificationTime").alias("micros"))
-    names = spark.createDataFrame([(re.sub("^file:/+", "file:/", name),) for name in rows.inputFiles()], "source_file string")
-    empty = [r[0] for r in names.join(found.select("source_file"), "source_file", "left_anti").collect()]
-    if empty:
+    listed = rows.inputFiles()
+    if len(listed) > rows.select("path").count():
+        names = spark.createDataFrame([(re.sub("^file:/+", "file:/", name),) for name in listed], "source_file string")
+        empty = [r[0] for r in names.join(found.select("source_file"), "source_file", "left_anti").collect()]
         found = found.union(spark.createDataFrame([_empty(spark, name) for name in empty], found.schema))
     plain = F.regexp_replace("path", "^file:/+", "/")
     own = F.concat_ws("|", "source_file", "length", "micros").alias("fingerprint")
@@ -121,7 +123,9 @@ def parse_nodes(files: DataFrame) -> DataFrame:
 
 def texts_of(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:
     reader, at = reader_of(spark, folder, file_glob)
-    return reader.text(at, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    with listed_by_few_tasks(spark):
+        texts = reader.text(at, wholetext=True)
+    return texts.select(F.col("_metadata.file_path").alias("source_file"), "value")
 
 
 def read_nodes(spark: SparkSession, folder: str, file_glob: str = GLOB) -> DataFrame:
@@ -137,4 +141,6 @@ def named_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], "source_file string, value string")
     plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", path) for path in paths]  # names, not patterns
-    return spark.read.text(plain, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    with listed_by_few_tasks(spark):
+        texts = spark.read.text(plain, wholetext=True)
+    return texts.select(F.col("_metadata.file_path").alias("source_file"), "value")

@@ -218,3 +218,19 @@ def test_command_line(tmp_path, spark, capsys, monkeypatch):
     (tmp_path / "STOP").touch()
     cli.main(["--config", f"{tmp_path}/c.json"])
     assert "stopped=True" in capsys.readouterr().out
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for k in range(60):
+        write(f"{tmp_path}/in/f{k:02}", "a", node(k))
+    open(f"{tmp_path}/in/f07/none.processed_documents.json", "w").close()
+    sc = spark.sparkContext
+    sc.setJobGroup(str(tmp_path), "")
+    listed = files.list_files(spark, f"{tmp_path}/in").orderBy("source_file").collect()
+    assert files.read_nodes(spark, f"{tmp_path}/in").count() == 60
+    assert files.named_texts(spark, [r.path for r in listed]).count() == 60  # one has no bytes
+    assert len(listed) == 61
+    told = sc.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup(str(tmp_path)) for s in told.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s and s.name.startswith(("load", "text"))) <= 2 * sc.defaultParallelism
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import tidy
+from nodeloom.llm.common import kept, tidy
 from nodeloom.llm.wordhash import BLANK, distinct_words, mix, spans
 
 MARK = "▁"
@@ -281,13 +281,11 @@ class Codec:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
+KEEPS = "sentencepiece "
 
 
 def codec(model_file: str) -> Codec:
-    if model_file not in _codecs:
-        _codecs[model_file] = Codec(model_file)
-    return _codecs[model_file]
+    return kept(f"{KEEPS}{model_file}", lambda: Codec(model_file))
 
 
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,4 +316,4 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                 lo = hi
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
-    return rows.mapInArrow(tidy(work), f"`{id_col}` long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(tidy(work, KEEPS), f"`{id_col}` long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from nodeloom.llm import line_dedup, ngram_join, toxicity, wordhash
+from nodeloom.llm import common, line_dedup, ngram_join, toxicity, wordhash
 
 
 def agreeing_words(n, a="a", b="b"):
@@ -69,3 +69,10 @@ def test_repeated_tokens_equal_a_count(spark, monkeypatch):
         found = [r.low for r in line_dedup.repeated_tokens(lines.repartition(3)).collect()]
         assert sorted(found) == low[n > 1].tolist()
     assert line_dedup.repeated_tokens(lines.limit(0)).count() == 0
+
+
+def test_work_lets_go_of_what_other_work_has_kept():
+    for _ in range(2):
+        assert list(common.tidy(lambda rows: (common.kept("one model", list) for _ in rows), "one ")(iter([0]))) == [[]]
+    assert "one model" in common._kept
+    assert list(common.tidy(lambda rows: (len(common._kept) for _ in rows))(iter([0]))) == [0]

@@ -240,6 +240,9 @@ def repeated_tokens(lists: DataFrame) -> DataFrame:
 def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch, repeated: bool) -> DataFrame:
     """(tok, x, n, pos, c, y, m, q): the lines of each posting list of c > 1 first lines of classes; y is its first line."""
     found, mask = _low_bits(tables.store(repeated_tokens(lines.select("prefix")), "repeated-tokens"))
+    bits = bits_for(copies.count(), MOST_BITS, SPARE)
+    place = F.pmod(F.xxhash64("x"), F.lit(1 << bits))
+    among = np.frombuffer(bitmap_of(copies, place, bits), np.uint8)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,10 +256,15 @@ def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch, repeated: bo
             pos = (np.arange(len(flat)) - np.repeat(ends[:-1], np.diff(ends))).astype(np.int32)[hit]
             cuts = pa.array(np.append(0, upto[1:][rows]).astype(np.int32))
             taken = [batch.column(c).take(pa.array(rows)) for c in ("x", "n")]
-            yield pa.record_batch([*taken, pa.ListArray.from_arrays(cuts, pa.array(flat[hit])), pa.ListArray.from_arrays(cuts, pa.array(pos))], ["x", "n", "tok", "pos"])
-
-    rows = lines.select("x", "n", "prefix").mapInArrow(tidy(keep), f"x {X}, n int, tok array<long>, pos array<int>")
-    rows = tables.store(_once(rows.join(copies, "x", "left_anti"), repeated), "postings")
+            at = batch.column("place").to_numpy()[rows]
+            maybe = pa.array((among[at >> 3] >> (at & 7)) & 1 == 1)
+            yield pa.record_batch([*taken, pa.ListArray.from_arrays(cuts, pa.array(flat[hit])), pa.ListArray.from_arrays(cuts, pa.array(pos)), maybe], ["x", "n", "tok", "pos", "maybe"])
+
+    rows = lines.select("x", "n", "prefix", place.alias("place")).mapInArrow(tidy(keep), f"x {X}, n int, tok array<long>, pos array<int>, maybe boolean")
+    rows = tables.store(rows, "postings")
+    # only lines that may be copies move to be told from them
+    rows = rows.where("not maybe").drop("maybe").union(rows.where("maybe").drop("maybe").join(copies, "x", "left_anti"))
+    rows = tables.store(_once(rows, repeated), "once") if repeated else rows
     rows = rows.select("x", "n", F.explode(F.arrays_zip("tok", "pos")).alias("p")).select("p.tok", "x", "n", "p.pos")
     heads = rows.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("x", "n", "pos")).alias("y")).where("c > 1")
     heads = heads.select("tok", "c", F.col("y.x").alias("y"), F.col("y.n").alias("m"), F.col("y.pos").alias("q"))

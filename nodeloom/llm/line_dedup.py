@@ -262,13 +262,18 @@ def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch, repeated: bo
 
     rows = lines.select("x", "n", "prefix", place.alias("place")).mapInArrow(tidy(keep), f"x {X}, n int, tok array<long>, pos array<int>, maybe boolean")
     rows = tables.store(rows, "postings")
+    tables.drop("lines", "repeated-tokens")
     # only lines that may be copies move to be told from them
     rows = rows.where("not maybe").drop("maybe").union(rows.where("maybe").drop("maybe").join(copies, "x", "left_anti"))
-    rows = tables.store(_once(rows, repeated), "once") if repeated else rows
+    if repeated:
+        rows = tables.store(_once(rows, repeated), "once")
+        tables.drop("postings")
     rows = rows.select("x", "n", F.explode(F.arrays_zip("tok", "pos")).alias("p")).select("p.tok", "x", "n", "p.pos")
     heads = rows.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("x", "n", "pos")).alias("y")).where("c > 1")
     heads = heads.select("tok", "c", F.col("y.x").alias("y"), F.col("y.n").alias("m"), F.col("y.pos").alias("q"))
-    return tables.store(rows.join(heads, "tok"), "lists")
+    lists = tables.store(rows.join(heads, "tok"), "lists")
+    tables.drop("once" if repeated else "postings")
+    return lists
 
 
 def _wanted(key: str, bits: int) -> Column:
@@ -322,7 +327,10 @@ def _needed(num: int, den: int) -> Column:
 
 def _matched(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The later lines x of the pairs whose sets reach the threshold."""
-    both = pairs.join(sets, "x").join(sets.select(F.col("x").alias("y"), F.col("tokens").alias("others")), "y")
+    # both joins ask for the sets by the same columns, so these move once
+    both = pairs.select(F.col("x").alias("later"), F.col("y").alias("earlier"))
+    both = both.join(sets.alias("a"), F.col("later") == F.col("a.x")).join(sets.alias("b"), F.col("earlier") == F.col("b.x"))
+    both = both.select(F.col("later").alias("x"), F.col("a.tokens").alias("tokens"), F.col("b.tokens").alias("others"))
     both = both.withColumn("shared", F.size(F.array_intersect("tokens", "others")))
     return both.where(f"{den} * shared >= {num} * (size(tokens) + size(others) - shared)").select("x")
 
@@ -403,17 +411,20 @@ def _long_matches(lists: DataFrame, gone: DataFrame, sets: DataFrame, num: int,
 def removed_lines(docs: DataFrame, tables: Scratch, repeated: bool, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, h, removed): per document of docs(id, h, text) that loses lines, their sorted numbers from 0.
 
-    ``repeated`` says whether several rows may have the same id and h.
+    ``repeated`` says whether several rows may have the same id and h. A table goes as soon as no later step reads it.
     """
     lines = tables.store(line_table(docs, width, num, den), "lines")
     copies = tables.store(_copies(lines, tables), "copies")
+    tables.drop("repeated-digests", "members")
     lists = _postings(lines, copies, tables, repeated)
     positional = f"{num + den} * (least(pos, q) + least(n - pos, m - q)) >= {num} * (n + m)"
     star = tables.store(lists.where("x <> y").where(_near(num, den)).where(positional).select("x", "y").distinct(), "star")
     sets = tables.store(_line_sets(docs, star.select("x").union(star.select("y")), width, repeated), "line-sets")
     gone = tables.store(_matched(star, sets, num, den).distinct(), "gone")
+    tables.drop("line-sets")
     open_lines = lists.where("c > 2").join(gone, "x", "left_anti")
     pairs = tables.store(_short_pairs(lists, open_lines, num, den).join(star, ["x", "y"], "left_anti"), "pairs")
+    tables.drop("star")
     long = lists.where(F.col("c") > SHORT)
     sets = tables.store(_line_sets(docs, pairs.select("x").union(pairs.select("y")).union(long.select("x")), width, repeated), "line-sets")
     more = _matched(pairs, sets, num, den).union(_long_matches(long, gone, sets, num, den))

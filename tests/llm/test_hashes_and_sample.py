@@ -76,3 +76,45 @@ def test_work_lets_go_of_what_other_work_has_kept():
         assert list(common.tidy(lambda rows: (common.kept("one model", list) for _ in rows), "one ")(iter([0]))) == [[]]
     assert "one model" in common._kept
     assert list(common.tidy(lambda rows: (len(common._kept) for _ in rows))(iter([0]))) == [0]
+
+
+def test_line_dedup_holds_no_table_that_no_later_step_reads(spark, monkeypatch):
+    held, store, drop = {}, common.Scratch.store, common.Scratch.drop
+    there = set()
+
+    def stored(self, df, name, *codec):
+        held[name] = set(there)
+        there.add(name)
+        return store(self, df, name, *codec)
+
+    def dropped(self, *names):
+        there.difference_update(names or set(there))
+        return drop(self, *names)
+
+    monkeypatch.setattr(common.Scratch, "store", stored)
+    monkeypatch.setattr(common.Scratch, "drop", dropped)
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(k, f"{line} {'x' * (k % 3)}\nown {k}") for k in range(30)]
+    for table in (rows, rows + rows[:1]):  # without and with a repeated id
+        held.clear()
+        there.clear()
+        assert line_dedup.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).agg({"_removed": "sum"}).first()[0] > 20
+        assert "lines" in held["postings"] and not {"lines", "members", "repeated-tokens"} & held["lists"]
+        assert not {"postings", "once", "lines"} & held["star"] and "star" not in held["removed"]
+
+
+def test_line_sets_move_once_for_both_sides_of_the_pairs(spark, tmp_path):
+    before = {key: spark.conf.get(key) for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for key, value in zip(before, ("false", "-1"), strict=True):
+            spark.conf.set(key, value)
+        x = lambda k: (k, 0, 0)
+        spark.createDataFrame([(x(1), [1, 2, 3, 4, 5]), (x(2), [1, 2, 3, 4, 5]), (x(3), [1, 9])], f"x {line_dedup.X}, tokens array<long>").write.parquet(str(tmp_path / "sets"))
+        sets = spark.read.parquet(str(tmp_path / "sets"))
+        pairs = spark.createDataFrame([(x(2), x(1)), (x(3), x(1))], f"x {line_dedup.X}, y {line_dedup.X}")
+        out = line_dedup._matched(pairs, sets, 80, 100)
+        assert [r.x.id for r in out.collect()] == [2]
+        assert out._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

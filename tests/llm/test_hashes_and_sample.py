@@ -3,9 +3,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from nodeloom.llm import common, line_dedup, ngram_join, toxicity, wordhash
+from nodeloom.llm import common, line_dedup, ngram_join, sentencepiece_codec, toxicity, wordhash
+from nodeloom.llm.queries import TOKENIZERS
 
 
 def agreeing_words(n, a="a", b="b"):
@@ -118,3 +120,22 @@ def test_line_sets_move_once_for_both_sides_of_the_pairs(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_a_codec_holds_no_units_behind_its_task(spark, monkeypatch):
+    seen, file = [], f"{TOKENIZERS}/piece_bpe_32k.model"
+    monkeypatch.setattr(sentencepiece_codec, "tidy", lambda work, keeps: seen.append(work) or common.tidy(work, keeps))
+    docs = spark.createDataFrame([(k, f"word{k} and some others {k}") for k in range(50)], "doc_id long, text string")
+    sentencepiece_codec.encode_documents(docs, file)
+    batch = pa.record_batch([pa.array(range(50), pa.int64()), pa.array([f"word{k} and some others {k}" for k in range(50)])], ["doc_id", "text"])
+    try:
+        codec = sentencepiece_codec.codec(file)
+        assert all(all(b.column("round_trip").to_pylist()) for b in seen[0](iter([batch])))
+        assert not codec.known and not codec.before
+        task = seen[0](iter([batch, batch]))
+        next(task)
+        assert codec.known
+        task.close()  # a task that is ended early
+        assert not codec.known and not codec.before
+    finally:
+        common.let_go(None)

@@ -36,6 +36,8 @@ SPARE = 128
 #: Parts in which tasks send their counters to be added up.
 PARTS = 64
 NULL_ID = -(1 << 63)
+#: What the tasks of the sketch tell of their rows with words: smallest and largest id, largest line number.
+EDGES = ("low", "high", "most")
 #: Bits of a token that tell repeated ones, ranges of them (as a power of two), and tokens that a task packs at once.
 LOW_BITS, RANGES_LOG2, PACKED = 31, 10, 1 << 22
 #: Spreads the lines of a document over the bitmap of wanted lines.
@@ -48,6 +50,32 @@ SHORT, BLOCK, READ = 32, 512, 8192
 X = "struct<id: long, h: long, line: int>"
 
 
+class Naming:
+    """How rows name a line: by a long that ends with ``bits`` bits of its number, or (None) by X. Both are in the order of the lines."""
+
+    def __init__(self, bits: int | None) -> None:
+        self.bits, self.type = bits, X if bits is None else "long"
+
+    @classmethod
+    def fitting(cls, low: int, high: int, most: int, repeated: bool) -> Naming:
+        """A long if no id repeats and ids from low to high leave room for line numbers up to most."""
+        bits = most.bit_length()
+        return cls(None if repeated or bits > 31 or not -(1 << 63 - bits) <= low <= high < 1 << 63 - bits else bits)
+
+    def name(self) -> Column:
+        """Of the line of the columns id, h and line."""
+        if self.bits is None:
+            return F.struct("id", "h", "line")
+        return F.shiftleft("id", self.bits).bitwiseOR(F.col("line").cast("long"))
+
+    def parts(self, x: str = "x") -> tuple[Column, Column, Column]:
+        """The document's id, the hash and the number of the line of this name."""
+        if self.bits is None:
+            return F.col(f"{x}.id"), F.col(f"{x}.h"), F.col(f"{x}.line")
+        line = F.col(x).bitwiseAND(F.lit((1 << self.bits) - 1).cast("long")).cast("int")
+        return F.shiftright(x, self.bits).alias("id"), F.lit(0).cast("long").alias("h"), line.alias("line")
+
+
 def line_tokens(run: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(token, group) in order of occurrence, repeated ones too, and each group's (text, line): the lines with words."""
     raw = b"\n".join(run) + b"\n"
@@ -101,13 +129,17 @@ def distinct_tokens(tokens: np.ndarray, group: np.ndarray, ranks: np.ndarray | N
     return tokens[new], group[new]
 
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """The place of each bin of tokens in the order of their counts over all lines."""
+def _sketch(docs: DataFrame, width: int, repeated: bool) -> tuple[np.ndarray, Naming]:
+    """The place of each bin of tokens in the order of their counts over all lines, and the lines' naming."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, held, size = np.zeros(1 << BINS_LOG2, np.int64), [], 0
+        low, high, most = (1 << 63) - 1, NULL_ID, 0
         for batch in batches:
+            ids = batch.column(1).to_numpy()
+            low, high = int(ids.min(initial=low)), int(ids.max(initial=high))
             for _, run in spans(batch.column(0).cast(pa.binary()).to_pylist(), PIECE):
+                most = max(most, *(text.count(b"\n") for text in run))
                 held.append(_bin(line_tokens(run, width)[0]))
                 size += len(held[-1])
                 if size > len(bins):
@@ -116,27 +148,32 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
         for rest in held:
             np.add.at(bins, rest, 1)
         if bins.any():
-            yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([part.tobytes() for part in np.split(bins, PARTS)], pa.binary())], ["part", "bins"])
+            edges = [pa.array([v] * PARTS, pa.int64()) for v in (low, high, most)]
+            yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([part.tobytes() for part in np.split(bins, PARTS)], pa.binary()), *edges], ["part", "bins", *EDGES])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        edges: dict[int, list[int]] = {}
         for batch in batches:
-            for part, bins in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, bins, *own in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(c).to_pylist() for c in EDGES), strict=True):
                 sums[part] = sums.get(part, 0) + np.frombuffer(bins.as_buffer(), np.int64)
-        yield pa.record_batch([pa.array(sums, pa.int32()), pa.array([part.tobytes() for part in sums.values()], pa.binary())], ["part", "bins"])
+                edges[part] = [f(v) for f, v in zip((min, max, max), zip(edges.get(part, own), own, strict=True), strict=True)]
+        columns = [pa.array([edges[part][k] for part in sums], pa.int64()) for k in range(len(EDGES))]
+        yield pa.record_batch([pa.array(sums, pa.int32()), pa.array([part.tobytes() for part in sums.values()], pa.binary()), *columns], ["part", "bins", *EDGES])
 
-    rows = docs.select("text").mapInArrow(tidy(count), "part int, bins binary").repartition("part").mapInArrow(tidy(add), "part int, bins binary").toArrow()
+    kind = ", ".join(["part int", "bins binary", *(f"{c} long" for c in EDGES)])
+    rows = docs.select("text", "id").mapInArrow(tidy(count), kind).repartition("part").mapInArrow(tidy(add), kind).toArrow()
     bins = np.zeros(1 << BINS_LOG2, np.int64)
     for part, counts in zip(rows.column("part").to_pylist(), rows.column("bins").to_pylist(), strict=True):
         np.split(bins, PARTS)[part][:] = np.frombuffer(counts, np.int64)
     ranks = np.empty(len(bins), np.int32)
     ranks[np.argsort(bins, kind="stable")] = np.arange(len(bins), dtype=np.int32)
-    return ranks
+    low, high, most = (rows.column(c).to_pylist() for c in EDGES)
+    return ranks, Naming.fitting(min(low, default=0), max(high, default=0), max(most, default=0), repeated)
 
 
-def line_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def line_table(docs: DataFrame, ranks: np.ndarray, naming: Naming, width: int, num: int, den: int) -> DataFrame:
     """(x, d1, d2, n, prefix) of every line of docs(id, h, text) that has words."""
-    ranks = _sketch(docs, width)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +193,7 @@ def line_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 yield pa.record_batch([*map(pa.array, columns), lists], ["id", "h", "line", "d1", "d2", "n", "prefix"])
 
     rows = docs.select("id", "h", "text").mapInArrow(tidy(build), "id long, h long, line int, d1 long, d2 long, n int, prefix array<long>")
-    return rows.select(F.struct("id", "h", "line").alias("x"), "d1", "d2", "n", "prefix")
+    return rows.select(naming.name().alias("x"), "d1", "d2", "n", "prefix")
 
 
 def _low_bits(again: DataFrame) -> tuple[np.ndarray, int]:
@@ -237,7 +274,7 @@ def repeated_tokens(lists: DataFrame) -> DataFrame:
     return rows.repartition("range").sortWithinPartitions("range").mapInArrow(tidy(again), "low int")
 
 
-def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch, repeated: bool) -> DataFrame:
+def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch, naming: Naming, repeated: bool) -> DataFrame:
     """(tok, x, n, pos, c, y, m, q): the lines of each posting list of c > 1 first lines of classes; y is its first line."""
     found, mask = _low_bits(tables.store(repeated_tokens(lines.select("prefix")), "repeated-tokens"))
     bits = bits_for(copies.count(), MOST_BITS, SPARE)
@@ -260,7 +297,7 @@ def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch, repeated: bo
             maybe = pa.array((among[at >> 3] >> (at & 7)) & 1 == 1)
             yield pa.record_batch([*taken, pa.ListArray.from_arrays(cuts, pa.array(flat[hit])), pa.ListArray.from_arrays(cuts, pa.array(pos)), maybe], ["x", "n", "tok", "pos", "maybe"])
 
-    rows = lines.select("x", "n", "prefix", place.alias("place")).mapInArrow(tidy(keep), f"x {X}, n int, tok array<long>, pos array<int>, maybe boolean")
+    rows = lines.select("x", "n", "prefix", place.alias("place")).mapInArrow(tidy(keep), f"x {naming.type}, n int, tok array<long>, pos array<int>, maybe boolean")
     rows = tables.store(rows, "postings")
     tables.drop("lines", "repeated-tokens")
     # only lines that may be copies move to be told from them
@@ -269,22 +306,22 @@ def _postings(lines: DataFrame, copies: DataFrame, tables: Scratch, repeated: bo
         rows = tables.store(_once(rows, repeated), "once")
         tables.drop("postings")
     rows = rows.select("x", "n", F.explode(F.arrays_zip("tok", "pos")).alias("p")).select("p.tok", "x", "n", "p.pos")
-    heads = rows.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("x", "n", "pos")).alias("y")).where("c > 1")
-    heads = heads.select("tok", "c", F.col("y.x").alias("y"), F.col("y.n").alias("m"), F.col("y.pos").alias("q"))
+    heads = rows.groupBy("tok").agg(F.count("*").alias("c"), F.min("x").alias("y"), F.min_by("n", "x").alias("m"), F.min_by("pos", "x").alias("q")).where("c > 1")
     lists = tables.store(rows.join(heads, "tok"), "lists")
     tables.drop("once" if repeated else "postings")
     return lists
 
 
-def _wanted(key: str, bits: int) -> Column:
+def _wanted(own: Column, h: Column, bits: int) -> Column:
     """The bit of a line in the bitmap of wanted lines, less what its line number adds."""
-    return F.pmod(F.xxhash64(f"{key}id", f"{key}h"), F.lit(1 << bits))
+    return F.pmod(F.xxhash64(own, h), F.lit(1 << bits))
 
 
-def _line_sets(docs: DataFrame, nodes: DataFrame, width: int, repeated: bool) -> DataFrame:
+def _line_sets(docs: DataFrame, nodes: DataFrame, width: int, naming: Naming, repeated: bool) -> DataFrame:
     """(x, tokens) of the wanted lines (x), and a few others: only these lines of a text are cut into tokens."""
     bits = bits_for(nodes.count(), MOST_BITS, SPARE)
-    place = F.pmod(_wanted("x.", bits) + F.col("x.line").cast("long") * F.lit(STEP), F.lit(1 << bits))
+    own, h, line = naming.parts()
+    place = F.pmod(_wanted(own, h, bits) + line.cast("long") * F.lit(STEP), F.lit(1 << bits))
     wanted = np.frombuffer(bitmap_of(nodes, place, bits), np.uint8)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,8 +344,8 @@ def _line_sets(docs: DataFrame, nodes: DataFrame, width: int, repeated: bool) ->
                     columns = [ids[first + text[row]], more[first + text[row]], line[row].astype(np.int32)]
                     yield pa.record_batch([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(cuts), pa.array(tokens.view(np.int64)))], ["id", "h", "line", "tokens"])
 
-    rows = docs.select("id", "h", "text", _wanted("", bits).alias("place")).mapInArrow(tidy(keep), "id long, h long, line int, tokens array<long>")
-    return _once(rows.select(F.struct("id", "h", "line").alias("x"), "tokens"), repeated)
+    rows = docs.select("id", "h", "text", _wanted(F.col("id"), F.col("h"), bits).alias("place")).mapInArrow(tidy(keep), "id long, h long, line int, tokens array<long>")
+    return _once(rows.select(naming.name().alias("x"), "tokens"), repeated)
 
 
 def _near(num: int, den: int) -> Column:
@@ -358,7 +395,7 @@ def has_earlier_match(held: list[tuple], index: tuple, line: tuple, tokens: np.n
         done[i] = line < held[i][0]
 
 
-def _long_matches(lists: DataFrame, gone: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _long_matches(lists: DataFrame, gone: DataFrame, sets: DataFrame, naming: Naming, num: int, den: int) -> DataFrame:
     """(x) of the open lines of long lists that have an earlier match there.
 
     A list's open lines are dealt to blocks of about BLOCK, all its lines to blocks of about READ; each pair
@@ -404,8 +441,8 @@ def _long_matches(lists: DataFrame, gone: DataFrame, sets: DataFrame, num: int,
         if done.any():
             yield found()
 
-    rows = both.select("tok", "i", "j", "side", "x.id", "x.h", "x.line", "tokens").mapInArrow(tidy(compare), "id long, h long, line int")
-    return rows.select(F.struct("id", "h", "line").alias("x"))
+    rows = both.select("tok", "i", "j", "side", *naming.parts(), "tokens").mapInArrow(tidy(compare), "id long, h long, line int")
+    return rows.select(naming.name().alias("x"))
 
 
 def removed_lines(docs: DataFrame, tables: Scratch, repeated: bool, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -413,23 +450,24 @@ def removed_lines(docs: DataFrame, tables: Scratch, repeated: bool, width: int =
 
     ``repeated`` says whether several rows may have the same id and h. A table goes as soon as no later step reads it.
     """
-    lines = tables.store(line_table(docs, width, num, den), "lines")
+    ranks, naming = _sketch(docs, width, repeated)
+    lines = tables.store(line_table(docs, ranks, naming, width, num, den), "lines")
     copies = tables.store(_copies(lines, tables), "copies")
     tables.drop("repeated-digests", "members")
-    lists = _postings(lines, copies, tables, repeated)
+    lists = _postings(lines, copies, tables, naming, repeated)
     positional = f"{num + den} * (least(pos, q) + least(n - pos, m - q)) >= {num} * (n + m)"
     star = tables.store(lists.where("x <> y").where(_near(num, den)).where(positional).select("x", "y").distinct(), "star")
-    sets = tables.store(_line_sets(docs, star.select("x").union(star.select("y")), width, repeated), "line-sets")
+    sets = tables.store(_line_sets(docs, star.select("x").union(star.select("y")), width, naming, repeated), "line-sets")
     gone = tables.store(_matched(star, sets, num, den).distinct(), "gone")
     tables.drop("line-sets")
     open_lines = lists.where("c > 2").join(gone, "x", "left_anti")
     pairs = tables.store(_short_pairs(lists, open_lines, num, den).join(star, ["x", "y"], "left_anti"), "pairs")
     tables.drop("star")
     long = lists.where(F.col("c") > SHORT)
-    sets = tables.store(_line_sets(docs, pairs.select("x").union(pairs.select("y")).union(long.select("x")), width, repeated), "line-sets")
-    more = _matched(pairs, sets, num, den).union(_long_matches(long, gone, sets, num, den))
+    sets = tables.store(_line_sets(docs, pairs.select("x").union(pairs.select("y")).union(long.select("x")), width, naming, repeated), "line-sets")
+    more = _matched(pairs, sets, num, den).union(_long_matches(long, gone, sets, naming, num, den))
     every = copies.union(gone).union(more)
-    return every.groupBy("x.id", "x.h").agg(F.array_sort(F.collect_set("x.line")).alias("removed"))
+    return every.select(*naming.parts()).groupBy("id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def _small(gone: DataFrame) -> bool:
@@ -463,7 +501,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table stays empty. Other columns pass unchanged, whatever their names; if docs has a column ``_lines`` or
     ``_removed``, the count's name gets underscores behind it until it is free.
     """
-    tables = Scratch(docs.sparkSession, "line-dedup")
+    tables = Scratch(docs.sparkSession, "line-dedup", dictionary=False)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     again = tables.store(docs.groupBy(key.alias("id")).count().where("count > 1").select("id"), "repeated-ids")
     repeated = not again.isEmpty()

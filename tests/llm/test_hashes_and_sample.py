@@ -1,9 +1,11 @@
 """Words made so that polynomial hashes agree, and a labelled text that would fill the sample of the toxicity models."""
 
 import zlib
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from nodeloom.llm import common, line_dedup, ngram_join, sentencepiece_codec, toxicity, wordhash
@@ -105,6 +107,42 @@ def test_line_dedup_holds_no_table_that_no_later_step_reads(spark, monkeypatch):
         assert not {"postings", "once", "lines"} & held["star"] and "star" not in held["removed"]
 
 
+def test_line_dedup_names_lines_by_one_number_and_builds_no_dictionaries(spark, monkeypatch):
+    kinds, encodings, store = {}, set(), common.Scratch.store
+
+    def stored(self, df, name, *codec):
+        out = store(self, df, name, *codec)
+        if self.folder.rsplit("/", 1)[-1].startswith("line-dedup"):
+            kinds.setdefault(name, dict(df.dtypes).get("x"))
+            for file in out.inputFiles():
+                meta = pq.ParquetFile(unquote(urlparse(file).path)).metadata
+                encodings.update(e for g in range(meta.num_row_groups) for c in range(meta.num_columns) for e in meta.row_group(g).column(c).encodings)
+        return out
+
+    monkeypatch.setattr(common.Scratch, "store", stored)
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    own = lambda k: f"{line} {'x' * (k % 3)}\nown {k}\n\n{line} and more {k}"
+    found = []
+    for ids in (range(-20, 20), [k << 58 for k in range(-20, 20)], [None, *range(1, 40)]):
+        kinds.clear()
+        table = spark.createDataFrame([(i, own(k)) for k, i in enumerate(ids)], "doc_id long, text string")
+        rows = sorted(line_dedup.dedup_lines(table).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+        found.append(([(r.text, r._removed) for r in rows], kinds["lines"], kinds["postings"], kinds["line-sets"]))
+    assert found[0][0] == found[1][0] == found[2][0] and sum(n for _, n in found[0][0]) > 30
+    assert found[0][1:] == ("bigint",) * 3 and found[1][1] == found[2][1] != "bigint"  # ids that leave no room for a line's number
+    assert encodings and not any("DICTIONARY" in e for e in encodings)
+
+
+def test_names_of_lines_are_in_their_order(spark):
+    ids = [-(1 << 60), -1, 0, 1, (1 << 60) - 1]
+    rows = spark.createDataFrame([(i, 0, n) for i in ids for n in (0, 1, 7)], "id long, h long, line int")
+    naming = line_dedup.Naming.fitting(min(ids), max(ids), 7, False)
+    out = rows.select(naming.name().alias("x")).orderBy("x").select(*naming.parts())
+    assert naming.type == "long" and [tuple(r) for r in out.collect()] == [(i, 0, n) for i in ids for n in (0, 1, 7)]
+    for low, high, most, repeated in ((-(1 << 60) - 1, 0, 7, False), (0, 1 << 60, 7, False), (0, 0, 1 << 31, False), (0, 0, 7, True)):
+        assert line_dedup.Naming.fitting(low, high, most, repeated).type == line_dedup.X
+
+
 def test_line_sets_move_once_for_both_sides_of_the_pairs(spark, tmp_path):
     before = {key: spark.conf.get(key) for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     try:

@@ -160,6 +160,27 @@ def test_line_sets_move_once_for_both_sides_of_the_pairs(spark, tmp_path):
             spark.conf.set(key, value)
 
 
+def test_pieces_are_searched_by_blocks_of_characters(monkeypatch):
+    codec = sentencepiece_codec.Codec(f"{TOKENIZERS}/piece_bpe_32k.model")
+    longest = sorted(codec.ids, key=len)[-40:]
+    units = [*longest, "a", "▁", "▁the", "𝔘\U0010ffff", "\0", "▁" * 40, *(p[:-1] for p in longest), *(p[1:] + "x" for p in longest)]
+    codes = np.array([c for u in units for c in (*(ord(x) + 1 for x in u), 0)], np.int64)
+    calls, where = [], np.where
+    monkeypatch.setattr(np, "where", lambda *a: calls.append(1) or where(*a))
+    found = set(zip(*(x.tolist() for x in codec.edges(codes)), strict=True))
+    monkeypatch.undo()
+    plain, at = set(), 0
+    for u in units:
+        for i in range(len(u)):
+            plain |= {(at + i, at + j, codec.ids[u[i:j]]) for j in range(i + 1, len(u) + 1) if u[i:j] in codec.ids}
+            plain |= set() if u[i] in codec.ids else {(at + i, at + i + 1, -ord(u[i]) - 2)}
+        at += len(u) + 1
+    assert found == plain
+    # two calls a step of the searches: those are for blocks behind the first, each over what the blocks before it leave
+    steps = int(np.log2(len(codes))) + 2
+    assert len(calls) <= 4 * steps * (-(-codec.depth // sentencepiece_codec.BLOCK) - 1)
+
+
 def test_a_codec_holds_no_units_behind_its_task(spark, monkeypatch):
     seen, file = [], f"{TOKENIZERS}/piece_bpe_32k.model"
     monkeypatch.setattr(sentencepiece_codec, "tidy", lambda work, keeps: seen.append(work) or common.tidy(work, keeps))

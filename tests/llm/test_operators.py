@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nodeloom.llm import line_dedup, media_chunks, mixing, ngram_join, secret_scan, sentencepiece_codec, token_files, toxicity, vector_neighbors, warc_bundles
+from nodeloom.llm import line_dedup, media_chunks, mixing, ngram_join, secret_scan, sentencepiece_codec, token_files, toxicity, vector_neighbors, warc_bundles, wordhash
 from nodeloom.llm.queries import TOKENIZERS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -208,6 +208,30 @@ def test_ngram_join_against_all_pairs(spark, docs, empty):
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.first_of_each_group(docs).count() == len(set(groups([shingles(t) for t in texts()])))
 
 
+def test_prefixes_leave_common_shingles_out_where_all_counters_are_full(spark):
+    passage = "a passage of twelve words or so that very many documents share"
+    rows = [(f"{sentence(k, 150)} {passage} {sentence(1000 + k, 150)}",) for k in range(200)]
+    _, common = ngram_join.sketch(spark.createDataFrame(rows, "text string").repartition(3), 5)
+    shared = set(next(wordhash.shingle_sets([passage])).tolist())
+    full = np.full(1 << ngram_join.BINS_LOG2, 5000)
+    for tokens in wordhash.shingle_sets([r[0] for r in rows]):
+        _, prefix = ngram_join.prefix_of(tokens, full, common, 5400.0, 80, 100)
+        assert shared < set(tokens.tolist()) and not shared & set(prefix.tolist())
+
+
+def test_blocks_meet_only_where_sizes_can_reach_the_threshold(spark):
+    n = spark.range(1, 2001).select(F.col("id").alias("n"), ngram_join.size_class(F.col("id"), 80, 100).alias("scale"))
+    scales = {r.n: r.scale for r in n.collect()}
+    assert all(scales[m] - scales[k] in (0, 1) for k in scales for m in range(k, min(2000, k * 100 // 80) + 1))
+    groups = spark.createDataFrame([(7, scale, ngram_join.OTHERS, 2) for scale in range(10)], "cluster long, scale long, name long, blocks long")
+    meets = {}
+    for r in ngram_join.meeting_blocks(groups).collect():
+        meets.setdefault(r.meet, []).append((r.block.scale, r.block.k))
+    assert sorted(map(sorted, meets.values())) == sorted(
+        [[(s, k)] for s in range(10) for k in range(2)] + [[(s, 0), (s, 1)] for s in range(10)] + [[(s, k), (s + 1, m)] for s in range(9) for k in range(2) for m in range(2)]
+    )
+
+
 def test_line_dedup_against_all_pairs(docs, empty):
     lines = [(d, k, line) for d, t in enumerate(texts()) for k, line in enumerate((t or "").split("\n"))]
     sets = [shingles(x[2]) for x in lines]

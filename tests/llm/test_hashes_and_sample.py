@@ -1,6 +1,8 @@
 """Words made so that polynomial hashes agree, and a labelled text that would fill the sample of the toxicity models."""
 
+import time
 import zlib
+from types import SimpleNamespace
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -36,6 +38,25 @@ def test_near_duplicates_and_lines_tell_such_words_apart(spark):
     assert kept == {1: (one, 0), 2: (two, 0), 3: ("", 1), 4: (f"x {one} y", 0), 5: (f"x {two} y", 0)}
 
 
+def test_the_driver_collects_garbage_between_scratch_tables(spark, monkeypatch):
+    calls = []
+    system = SimpleNamespace(gc=lambda: calls.append(1))
+    session = SimpleNamespace(sparkContext=SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(System=system)))))
+    monkeypatch.setattr(common, "COLLECT_EVERY", 60.0)
+    monkeypatch.setattr(common, "_collected", began := time.monotonic())
+    common.collect_garbage(session)
+    common.stored(spark.range(3), "rows")
+    assert not calls and common._collected == began  # not yet
+    for k in (1, 2):
+        monkeypatch.setattr(common, "_collected", began - 60)
+        common.collect_garbage(session)
+        common.collect_garbage(session)
+        assert len(calls) == k
+    monkeypatch.setattr(common, "_collected", began - 60)
+    assert sorted(r.id for r in common.stored(spark.range(3), "rows").collect()) == [0, 1, 2]
+    assert common._collected > began
+
+
 def test_a_long_labelled_text_keeps_no_other_out(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 20)) + (" vile words" if i % 2 else " kind words"), i % 2) for i in range(200)]
